@@ -1,0 +1,34 @@
+"""Broadcast decisions that depend on a checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate for a plan, taken before anything runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    """The session's automatic broadcast threshold in bytes, -1 when switched off."""
+    sql_conf = df.sparkSession._jsparkSession.sessionState().conf()
+    return int(sql_conf.autoBroadcastJoinThreshold())
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    return estimated_bytes(df) <= broadcast_limit(df)
+
+
+def restrict_to_keys(events: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Keep the events of listed entities, if the list is small enough to broadcast.
+
+    This is only a reduction ahead of an aggregation; callers still join the listed entities
+    afterwards. Above the limit the events pass unchanged, because shuffling raw events for a
+    semi-join costs more than shuffling their per-entity partial sums.
+    """
+    keys = keys.select(key)
+    if not fits_broadcast(keys):
+        return events
+    return events.join(F.broadcast(keys), key, "left_semi")
