@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from cohortrail.functions.columns import days_between
 
 
+def entity_totals(
+    events: DataFrame, *, entity: str, ts: str, flags: dict[str, str]
+) -> DataFrame:
+    """Event count, observed span and flag totals; the NULL entity is a group of its own."""
+    return events.groupBy(entity).agg(
+        F.count(F.lit(1)).alias("n_encounters"),
+        F.min(ts).alias("first_ts"),
+        F.max(ts).alias("last_ts"),
+        days_between(F.min(ts), F.max(ts)).alias("days_observed"),
+        *[F.sum(flag).alias(name) for name, flag in flags.items()],
+    )
+
+
 def entity_summary(
     events: DataFrame,
     *,
@@ -16,22 +29,19 @@ def entity_summary(
     flags: dict[str, str],
     distinct: dict[str, Column],
 ) -> DataFrame:
-    """Event count, observed span, flag totals and distinct counts; NULL entity is a group.
+    """The totals of each entity together with exact distinct counts.
 
-    Distinct counts run as Catalyst's expanded aggregation: the first exchange is keyed by
-    (entity, value), so one entity with a third of all events is spread over many tasks, and the
-    second exchange carries partial counts only.
+    Distinct counts expand each event once per counted value. Kept apart from the totals, the
+    expanded rows carry keys only. They are exchanged by (entity, value), which spreads an entity
+    with a third of all events over many tasks; what then goes to the entity is partial counts.
+    Both parts have one row per entity and are merged by a union, so the NULL entity survives.
     """
-    totals = [F.sum(flag).alias(name) for name, flag in flags.items()]
-    distincts = [F.count_distinct(value).alias(name) for name, value in distinct.items()]
-    return events.groupBy(entity).agg(
-        F.count(F.lit(1)).alias("n_encounters"),
-        F.min(ts).alias("first_ts"),
-        F.max(ts).alias("last_ts"),
-        days_between(F.min(ts), F.max(ts)).alias("days_observed"),
-        *totals,
-        *distincts,
+    totals = entity_totals(events, entity=entity, ts=ts, flags=flags)
+    counts = events.groupBy(entity).agg(
+        *[F.count_distinct(value).alias(name) for name, value in distinct.items()]
     )
+    both = totals.unionByName(counts, allowMissingColumns=True)
+    return both.groupBy(entity).agg(*[F.max(c).alias(c) for c in both.columns if c != entity])
 
 
 def gap_profile(events: DataFrame, *, entity: str, ts: str) -> DataFrame:
@@ -106,15 +116,18 @@ def follow_up(
     Only events strictly after the index count. Every index row is added once as an empty
     contribution, so rows without later events (or with a NULL entity) keep zeros without a
     second join. The inner join leaves adaptive execution free to split a hot entity's events,
-    and the exchange after it carries partial counts per index row.
+    and the exchange after it carries partial counts per index row. Joining null-safe keeps
+    Catalyst from filtering one of the two uses of the index table, which would stop it from
+    computing that table once for both.
     """
-    later = events.where(F.col(ts).isNotNull()).select(
+    later = events.where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(
         F.col(entity).alias("e_entity"),
         F.col(ts).alias("e_ts"),
         (F.col(flag) == 1).alias("flagged"),
     )
-    matched = index.join(
-        later, (F.col(entity) == F.col("e_entity")) & (F.col("e_ts") > F.col("index_ts"))
+    matched = later.join(
+        index,
+        F.col("e_entity").eqNullSafe(F.col(entity)) & (F.col("e_ts") > F.col("index_ts")),
     ).select(*index.columns, "e_ts", "flagged")
     empty = index.select(
         *index.columns,

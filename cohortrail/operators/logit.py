@@ -83,16 +83,14 @@ def odds_ratios(
 
 
 def _fit(cells: DataFrame, terms, outcome: str) -> list[tuple]:
+    """One weighted fit; each pattern enters as its share of ones, weighted by its rows."""
     columns = [f"x{i}" for i in range(len(terms))]
-    design = cells.select(
+    ones, zeros = F.col(f"{outcome}_1"), F.col(f"{outcome}_0")
+    design = cells.where(ones + zeros > 0).select(
         *[column.alias(name) for name, (_, column) in zip(columns, terms)],
-        F.inline(
-            F.array(
-                F.struct(F.lit(1.0).alias("y"), F.col(f"{outcome}_1").alias("w")),
-                F.struct(F.lit(0.0).alias("y"), F.col(f"{outcome}_0").alias("w")),
-            )
-        ),
-    ).where("w > 0")
+        (ones / (ones + zeros)).alias("y"),
+        (ones + zeros).alias("w"),
+    )
     assembled = VectorAssembler(inputCols=columns, outputCol="features").transform(design)
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol="y", weightCol="w",

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from cohortrail.functions.columns import DAYS_PER_YEAR, quantile, ranked, ratio, share
 from cohortrail.operators.logit import Factor, odds_ratios
-from cohortrail.plans.tables import PATIENT, attach_patient, screened_patients
+from cohortrail.plans.tables import (
+    PATIENT,
+    analytic_patients,
+    attach_patient,
+    screened_patients,
+)
 from cohortrail.workspace import Workspace
 
 SETTING_SHARES = {
@@ -73,7 +78,7 @@ def chronic_cohort_counts(ws: Workspace) -> DataFrame:
 def patient_summary_by_transport(ws: Workspace) -> DataFrame:
     """All patients; those never screened form the NULL status group."""
     return (
-        ws["patient_analytic"]
+        analytic_patients(ws)
         .groupBy("transport_status")
         .agg(
             n_rows().alias("n_patients"),

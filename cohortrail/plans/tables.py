@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortrail.operators.exposure import classify_answers
-from cohortrail.operators.journey import entity_summary, first_events, follow_up, gap_profile
+from cohortrail.operators.journey import (
+    entity_summary,
+    entity_totals,
+    first_events,
+    follow_up,
+    gap_profile,
+)
 from cohortrail.operators.profile import dedup_by_key
 from cohortrail.operators.sizing import restrict_to_keys
 from cohortrail.study import Study
@@ -66,6 +72,11 @@ def patient_journey(encounters: DataFrame) -> DataFrame:
     )
 
 
+def patient_totals(encounters: DataFrame) -> DataFrame:
+    """The journey table without its distinct counts, which no comparison reads."""
+    return entity_totals(encounters, entity=PATIENT, ts="encounter_ts", flags=SETTING_FLAGS)
+
+
 def patient_gaps(encounters: DataFrame) -> DataFrame:
     return gap_profile(encounters, entity=PATIENT, ts="encounter_ts")
 
@@ -139,26 +150,33 @@ def patient_analytic(
     return attach_patient(journey.join(g, PATIENT, "left"), transport, patients, tiger, study)
 
 
-def screened_patients(ws: Workspace) -> DataFrame:
-    """The patients with an exposure status.
+def analytic_patients(ws: Workspace, screened: bool = False) -> DataFrame:
+    """The patient analytic table as the comparisons read it, optionally screened patients only.
 
-    From the stored table if there is one. Otherwise the table is assembled over the encounters
-    of screened patients only. Catalyst drops the gap profile and the distinct counts where a
-    query does not read them, because journey and gaps are unique per patient.
+    From the stored table if there is one. Otherwise assembled without the distinct counts, and
+    for screened patients over their encounters only. Catalyst drops the gap profile where a
+    query does not read it, because that is unique per patient.
     """
-    analytic = ws["patient_analytic"] if ws.is_stored("patient_analytic") else None
-    if analytic is None:
-        transport = ws["patient_transport"]
-        encounters = restrict_to_keys(ws["encounters"], transport, PATIENT)
+    if ws.is_stored("patient_analytic"):
+        analytic = ws["patient_analytic"]
+    else:
+        encounters, transport = ws["encounters"], ws["patient_transport"]
+        if screened:
+            encounters = restrict_to_keys(encounters, transport, PATIENT)
         analytic = patient_analytic(
-            patient_journey(encounters),
+            patient_totals(encounters),
             patient_gaps(encounters),
             transport,
             ws["patients"],
             ws["tiger"],
             ws.study,
         )
-    return analytic.where(F.col("transport_status").isNotNull())
+    return analytic.where(F.col("transport_status").isNotNull()) if screened else analytic
+
+
+def screened_patients(ws: Workspace) -> DataFrame:
+    """The patients with an exposure status."""
+    return analytic_patients(ws, screened=True)
 
 
 DERIVED = {

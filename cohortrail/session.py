@@ -15,6 +15,13 @@ RUNTIME_CONF = {
     # A hot entity may hold a third of all events: split it even where that costs one more
     # exchange (of already aggregated rows) after the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Split from the advisory partition size up, not only from four times that.
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
+}
+
+START_CONF = {
+    # Recording a Python call site for every column expression doubles the time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -30,6 +37,6 @@ def build_session(app: str = "cohortrail", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
+    for key, value in {**START_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
