@@ -1,0 +1,103 @@
+"""The whole batch run, from CSV files written out of the sample tables."""
+
+import csv
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortrail.plans.catalog import RESULTS
+from cohortrail.plans.run_all import run_all
+from cohortrail.sources.raw_csv import RAW_TABLES
+from cohortrail.sources.sample import SAMPLE_STUDY, source_tables
+from cohortrail.workspace import Workspace
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def write_raw(spark, ws, folder):
+    """The sample tables under the header names of the raw files."""
+    for name, table in RAW_TABLES.items():
+        df = ws[name]
+        columns = [F.col(f.name).cast("string").alias(f.headers[-1]) for f in table.fields]
+        frame = df.select(*columns).toPandas()
+        if table.null_tokens:
+            frame = frame.fillna("NA")
+        frame.to_csv(folder / table.file, index=False)
+
+
+@pytest.fixture(scope="module")
+def done(spark, tmp_path_factory):
+    ws = Workspace(source_tables(spark, SF_DIR), SAMPLE_STUDY)
+    src, out = tmp_path_factory.mktemp("src"), tmp_path_factory.mktemp("out")
+    write_raw(spark, ws, src)
+    run_all(spark, str(src), str(out), study=SAMPLE_STUDY)
+    return ws, src, out
+
+
+def result_rows(out: Path, name: str) -> list[list[str]]:
+    (part,) = (out / "results" / f"{name}.csv").glob("part-*.csv")
+    with part.open(newline="") as file:
+        return list(csv.reader(file))
+
+
+def test_every_result_is_written(done):
+    _, _, out = done
+    for name in RESULTS:
+        assert len(result_rows(out, name)) >= 2, name
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "qa_row_counts", "qa_diag_join", "eda_fips_coverage", "eda_fips_tiger_match",
+        "journey_patient_summary_by_transport", "an_headline_by_transport",
+        "an_annualized_rates_by_transport", "an_chronic_followup_by_transport", "fig1_signature",
+        "fig3_setting_mix_wide", "ed_by_quarter",
+    ],
+)
+def test_stored_run_equals_direct_query(done, name):
+    """Through CSV files and stored tables, or straight from the sources: the same numbers."""
+    ws, _, out = done
+    header, *rows = result_rows(out, name)
+    df = RESULTS[name](ws)
+    assert header == df.columns
+
+    def shown(value):
+        if value is None:
+            return ""
+        return f"{float(value):.6f}" if isinstance(value, float) else str(value)
+
+    def read(text, kind):
+        return f"{float(text):.6f}" if kind == "double" and text else text
+
+    kinds = [f.dataType.simpleString() for f in df.schema.fields]
+    expected = sorted(tuple(shown(v) for v in row) for row in df.collect())
+    assert sorted(tuple(read(t, k) for t, k in zip(row, kinds)) for row in rows) == expected
+
+
+def test_exposure_term_is_in_the_model_table(done):
+    _, _, out = done
+    rows = result_rows(out, "an_logit_or_transport")
+    terms = [r[0] for r in rows[1:]]
+    assert terms == 2 * [
+        "(Intercept)", "transportbarrier", "age_proxy", "sexMale", "sexOther/Unknown",
+    ]
+
+
+def test_skip_etl_uses_the_loaded_tables(spark, done, tmp_path):
+    _, _, out = done
+    before = result_rows(out, "an_headline_by_transport")
+    run_all(spark, str(tmp_path / "gone"), str(out), skip_etl=True, study=SAMPLE_STUDY)
+    assert result_rows(out, "an_headline_by_transport") == before
+
+
+def test_skip_etl_needs_loaded_tables(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="not loaded yet"):
+        run_all(spark, "none", str(tmp_path), skip_etl=True)
+
+
+def test_missing_input_stops_before_any_table(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match=r"patients\.csv"):
+        run_all(spark, str(tmp_path), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
