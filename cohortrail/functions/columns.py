@@ -25,14 +25,21 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))
 
 
-def quantile(column: str | Column, q: float, approx: bool = False) -> Column:
-    """Interpolated quantile; ``approx`` trades exactness for a fixed-size sketch.
+def quantiles(column: str | Column, at: list[float], approx: bool = False) -> Column:
+    """Interpolated quantiles as an array, all from one pass over the values.
 
     The exact form counts distinct values, so use it where those are few: visit counts, days.
+    ``approx`` trades exactness for a sketch of fixed size.
     """
+    points = F.array(*[F.lit(q) for q in at])
     if approx:
-        return F.percentile_approx(column, q, 10000).cast("double")
-    return F.percentile(column, F.lit(q))
+        return F.percentile_approx(column, points, 10000).cast("array<double>")
+    return F.percentile(column, points)
+
+
+def quantile(column: str | Column, q: float, approx: bool = False) -> Column:
+    """One interpolated quantile."""
+    return quantiles(column, [q], approx)[0]
 
 
 def ranked(column: Column, values: Iterable[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortrail.functions.columns import quantile
+from cohortrail.functions.columns import quantiles
 
 
 def dedup_by_key(df: DataFrame, key: str) -> DataFrame:
@@ -30,13 +30,18 @@ def top_groups(df: DataFrame, by: list[str], measures: list[Column], count: str,
 def distribution(df: DataFrame, measure: str, entity_count: str, approx: bool = False) -> DataFrame:
     """Size, range, quartiles, 95th percentile and mean of a per-entity count."""
     short = measure.removeprefix("n_")
-    return df.agg(
+    summary = df.agg(
         F.count(F.lit(1)).alias(entity_count),
         F.min(measure).alias(f"min_{short}"),
-        quantile(measure, 0.25, approx).alias("q25"),
-        quantile(measure, 0.50, approx).alias("median"),
-        quantile(measure, 0.75, approx).alias("q75"),
-        quantile(measure, 0.95, approx).alias("q95"),
+        quantiles(measure, [0.25, 0.5, 0.75, 0.95], approx).alias("q"),
         F.max(measure).alias(f"max_{short}"),
         F.avg(measure).alias(f"mean_{short}"),
     )
+    names = ["q25", "median", "q75", "q95"]
+    return summary.select(
+        entity_count,
+        f"min_{short}",
+        *[F.col("q")[i].alias(name) for i, name in enumerate(names)],
+        f"max_{short}",
+        f"mean_{short}",
+    )

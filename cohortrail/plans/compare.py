@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortrail.functions.columns import DAYS_PER_YEAR, quantile, ranked, ratio, share
+from cohortrail.functions.columns import DAYS_PER_YEAR, quantile, quantiles, ranked, ratio, share
 from cohortrail.operators.logit import Factor, odds_ratios
 from cohortrail.plans.tables import (
     PATIENT,
@@ -136,12 +136,10 @@ def chronic_followup_by_transport(ws: Workspace) -> DataFrame:
     )
     status = F.coalesce("transport_status", F.lit("not_screened"))
     days = F.col("days_to_next")
-    return followed.groupBy("GroupCode", status.alias("transport_status")).agg(
+    summary = followed.groupBy("GroupCode", status.alias("transport_status")).agg(
         F.min("GroupName").alias("GroupName"),
         n_rows().alias("n_patients"),
-        quantile(days, 0.25).alias("days_q25"),
-        quantile(days, 0.5).alias("days_median"),
-        quantile(days, 0.75).alias("days_q75"),
+        quantiles(days, [0.25, 0.5, 0.75]).alias("q"),
         share(days <= 30).alias("pct_fu_30"),
         share(days <= 90).alias("pct_fu_90"),
         share(days <= 180).alias("pct_fu_180"),
@@ -149,6 +147,21 @@ def chronic_followup_by_transport(ws: Workspace) -> DataFrame:
         F.avg("n_ed_180d").alias("mean_ed_180d"),
         share(F.col("n_ed_180d") > 0).alias("pct_any_ed_180"),
     )
+    return summary.select(
+        "GroupCode",
+        "transport_status",
+        "GroupName",
+        "n_patients",
+        F.col("q")[0].alias("days_q25"),
+        F.col("q")[1].alias("days_median"),
+        F.col("q")[2].alias("days_q75"),
+        "pct_fu_30",
+        "pct_fu_90",
+        "pct_fu_180",
+        "mean_visits_90d",
+        "mean_ed_180d",
+        "pct_any_ed_180",
+    )
 
 
 def annualized_rates_by_transport(ws: Workspace) -> DataFrame:
