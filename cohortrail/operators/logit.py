@@ -94,7 +94,7 @@ def _fit(cells: DataFrame, terms, outcome: str) -> list[tuple]:
     assembled = VectorAssembler(inputCols=columns, outputCol="features").transform(design)
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol="y", weightCol="w",
-        regParam=0.0, tol=1e-10, maxIter=50,
+        regParam=0.0, tol=1e-10, maxIter=25,
     ).fit(assembled)
     names = [name for name, _ in terms]
     # The summary lists the intercept last; the table starts with it.

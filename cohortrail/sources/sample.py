@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortrail.sources.raw_csv import RAW_TABLES
 from cohortrail.study import Study
+from cohortrail.workspace import Workspace
 
 SAMPLE_STUDY = Study(
     questions=("q_medical", "q_daily"),
@@ -193,3 +195,17 @@ def _providers(supplier: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("OfficeCity"),
         F.lit(None).cast("string").alias("OfficePostalCode"),
     )
+
+
+def write_raw(ws: Workspace, folder: str, names: list[str]) -> None:
+    """Write sample tables as raw CSV files, under the header names and null tokens of those."""
+    for name in names:
+        table = RAW_TABLES[name]
+        columns = []
+        for field in table.fields:
+            text = F.col(field.name).cast("string")
+            if table.null_tokens:
+                text = F.coalesce(text, F.lit(table.null_tokens[0]))
+            columns.append(text.alias(field.headers[-1]))
+        path = f"{folder}/{table.file}"
+        ws[name].select(*columns).write.option("header", True).option("escape", '"').csv(path)

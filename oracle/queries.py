@@ -415,6 +415,9 @@ QUERIES: dict[str, tuple[list[str], str]] = {
         ["patient_analytic"],
         axis(_unrounded(BY_QUARTER), "t", "(max(t) - min(t)) * 0.02::DOUBLE"),
     ),
+    "csv_patients": (["patients"], whole("patients")),
+    "csv_sdoh": (["sdoh"], whole("sdoh")),
+    "csv_encounters": (["encounters"], whole("encounters")),
 }
 
 ORACLE = {name: with_views(views, body) for name, (views, body) in QUERIES.items()}

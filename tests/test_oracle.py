@@ -17,7 +17,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
-    assert len({name[:3] for name in QUERIES}) == 43
+    assert len({name[:3] for name in QUERIES if name.startswith("q")}) == 43
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

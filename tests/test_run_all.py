@@ -4,33 +4,21 @@ import csv
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortrail.plans.catalog import RESULTS
 from cohortrail.plans.run_all import run_all
 from cohortrail.sources.raw_csv import RAW_TABLES
-from cohortrail.sources.sample import SAMPLE_STUDY, source_tables
+from cohortrail.sources.sample import SAMPLE_STUDY, source_tables, write_raw
 from cohortrail.workspace import Workspace
 
 SF_DIR = "/root/testdata/sf0.01"
 
 
-def write_raw(spark, ws, folder):
-    """The sample tables under the header names of the raw files."""
-    for name, table in RAW_TABLES.items():
-        df = ws[name]
-        columns = [F.col(f.name).cast("string").alias(f.headers[-1]) for f in table.fields]
-        frame = df.select(*columns).toPandas()
-        if table.null_tokens:
-            frame = frame.fillna("NA")
-        frame.to_csv(folder / table.file, index=False)
-
-
 @pytest.fixture(scope="module")
 def done(spark, tmp_path_factory):
     ws = Workspace(source_tables(spark, SF_DIR), SAMPLE_STUDY)
     src, out = tmp_path_factory.mktemp("src"), tmp_path_factory.mktemp("out")
-    write_raw(spark, ws, src)
+    write_raw(ws, str(src), list(RAW_TABLES))
     run_all(spark, str(src), str(out), study=SAMPLE_STUDY)
     return ws, src, out
 
