@@ -102,9 +102,14 @@ def gap_profile(events: DataFrame, *, entity: str, ts: str) -> DataFrame:
 def first_events(
     events: DataFrame, *, entity: str, ts: str, group: str, name: str
 ) -> DataFrame:
-    """Index date per (entity, group): the first event that belongs to the group."""
-    return events.groupBy(entity, group).agg(
-        F.min(name).alias(name), F.min(ts).alias("index_ts")
+    """Index date per (entity, group): the first event that belongs to the group.
+
+    Spark sorts its whole input to take the least of a text, so the events are reduced per name
+    first, by hash, and only those rows are sorted.
+    """
+    per_name = events.groupBy(entity, group, name).agg(F.min(ts).alias("index_ts"))
+    return per_name.groupBy(entity, group).agg(
+        F.min(name).alias(name), F.min("index_ts").alias("index_ts")
     )
 
 
@@ -128,13 +133,19 @@ def follow_up(
     matched = later.join(
         index,
         F.col("e_entity").eqNullSafe(F.col(entity)) & (F.col("e_ts") > F.col("index_ts")),
-    ).select(*index.columns, "e_ts", "flagged")
+    ).select(
+        *index.columns,
+        "e_ts",
+        "flagged",
+        days_between(F.col("index_ts"), F.col("e_ts")).alias("elapsed"),
+    )
     empty = index.select(
         *index.columns,
         F.lit(None).cast("timestamp_ntz").alias("e_ts"),
         F.lit(None).cast("boolean").alias("flagged"),
+        F.lit(None).cast("long").alias("elapsed"),
     )
-    elapsed = days_between(F.col("index_ts"), F.col("e_ts"))
+    elapsed = F.col("elapsed")
     counted = matched.unionByName(empty).groupBy(entity, group, name, "index_ts").agg(
         F.min("e_ts").alias("first_after_ts"),
         F.count_if(elapsed <= 30).alias("n_visits_30d"),

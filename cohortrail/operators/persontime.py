@@ -65,7 +65,7 @@ def person_time_rates(
 ) -> DataFrame:
     """Flagged events, person-years and patients with any flagged event, per period and label.
 
-    ``cohort`` holds entity, label, first_ts and last_ts; both end days count as observed, and an
+    ``cohort`` holds entity, a numeric label, first_ts and last_ts; both end days count as observed, and an
     entity without dates counts for every whole period. Flagged events become one fixed-length
     array of counts per entity, so events are shuffled as partial sums only. Each entity then
     emits one row per period, observed or not: every label shows all periods without a cross

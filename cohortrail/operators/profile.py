@@ -21,9 +21,9 @@ def grouped_counts(df: DataFrame, by: list[Column], measures: list[Column], coun
     )
 
 
-def top_groups(df: DataFrame, by: list[str], measures: list[Column], count: str, k: int) -> DataFrame:
+def top_groups(df: DataFrame, by: list[str], count: str, k: int) -> DataFrame:
     """The k largest groups; equal counts are ordered by the group key."""
-    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias(count), *measures)
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias(count))
     return counted.orderBy(F.col(count).desc(), *[F.col(c).asc_nulls_last() for c in by]).limit(k)
 
 

@@ -68,10 +68,10 @@ def transport_status_mix(ws: Workspace) -> DataFrame:
 
 
 def chronic_cohort_counts(ws: Workspace) -> DataFrame:
-    return (
-        ws["chronic_index"]
-        .groupBy("GroupCode")
-        .agg(F.min("GroupName").alias("GroupName"), n_rows().alias("n_patients"))
+    """Patients per index group; counted per name first, as a least text is found by sorting."""
+    per_name = ws["chronic_index"].groupBy("GroupCode", "GroupName").agg(n_rows().alias("n"))
+    return per_name.groupBy("GroupCode").agg(
+        F.min("GroupName").alias("GroupName"), F.sum("n").alias("n_patients")
     )
 
 

@@ -12,14 +12,25 @@ from cohortrail.workspace import Workspace
 
 
 def _top_diagnoses(ws: Workspace, code: str, name: str, k: int) -> DataFrame:
+    """The k codes with most encounters, their name and their distinct patients.
+
+    Encounters are counted per diagnosis key before the dimension is joined, so a hot diagnosis
+    is one row there. Patients are then counted for the k codes only; k rows may be broadcast.
+    """
+    encounters = ws["encounters"]
     known = ws["diagnosis_dedup"].where(F.col(code).isNotNull())
-    return top_groups(
-        with_diagnosis(ws["encounters"], known),
-        by=[code],
-        measures=[F.min(name).alias(name), F.count_distinct(PATIENT).alias("n_patients")],
-        count="n_enc",
-        k=k,
-    ).select(code, name, "n_enc", "n_patients")
+    per_key = encounters.groupBy("PrimaryDiagnosisKey").agg(F.count(F.lit(1)).alias("n"))
+    per_code = with_diagnosis(per_key, known).groupBy(code).agg(
+        F.min(name).alias(name), F.sum("n").alias("n_enc")
+    )
+    top = per_code.orderBy(F.col("n_enc").desc(), code).limit(k)
+    top_keys = known.select("DiagnosisKey", code).join(F.broadcast(top.select(code)), code)
+    patients = (
+        with_diagnosis(encounters, top_keys)
+        .groupBy(code)
+        .agg(F.count_distinct(PATIENT).alias("n_patients"))
+    )
+    return top.join(patients, code).orderBy(F.col("n_enc").desc(), code)
 
 
 def top_diag_groups(ws: Workspace) -> DataFrame:
@@ -128,7 +139,6 @@ def transportation_answers(ws: Workspace) -> DataFrame:
     return top_groups(
         ws["sdoh"].where(F.col("Domain") == ws.study.domain),
         by=["DisplayName", "AnswerText"],
-        measures=[],
         count="n",
         k=30,
     )

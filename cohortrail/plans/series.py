@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortrail.functions.columns import lookup
+from cohortrail.functions.columns import ranked
 from cohortrail.operators.persontime import Calendar, person_time_rates
 from cohortrail.plans.tables import PATIENT, screened_patients
 from cohortrail.workspace import Workspace
@@ -14,26 +14,24 @@ METRIC = "ed_per_person_year"
 
 
 def _rates(ws: Workspace, months: int) -> DataFrame:
+    """Rates per period and cohort; cohorts go by number until the rows are few."""
     study = ws.study
-    cohort = (
-        screened_patients(ws)
-        .where(F.col("transport_status").isin(*study.compared_statuses))
-        .select(
-            PATIENT,
-            lookup(F.col("transport_status"), study.compared).alias("cohort"),
-            "first_ts",
-            "last_ts",
-        )
+    status = F.col("transport_status")
+    members = screened_patients(ws).where(status.isin(*study.compared_statuses))
+    cohort = members.select(
+        PATIENT, ranked(status, study.compared_statuses).alias("number"), "first_ts", "last_ts"
     )
-    return person_time_rates(
+    rates = person_time_rates(
         cohort,
         ws["encounters"],
         Calendar(study.first_year, study.last_year, months),
         entity=PATIENT,
-        label="cohort",
+        label="number",
         ts="encounter_ts",
         flag="IsEdVisit",
     )
+    names = F.array(*[F.lit(name) for _, name in study.compared])
+    return rates.withColumn("cohort", F.element_at(names, F.col("number")))
 
 
 def _measures() -> list:

@@ -6,7 +6,7 @@ import pytest
 
 from cohortrail.operators.persontime import Calendar, person_time_rates
 
-COHORT = "p long, cohort string, first_ts timestamp_ntz, last_ts timestamp_ntz"
+COHORT = "p long, cohort int, first_ts timestamp_ntz, last_ts timestamp_ntz"
 EVENTS = "p long, ts timestamp_ntz, ed int"
 
 
@@ -22,10 +22,10 @@ def rates(spark, cohort, events, months=12, years=(2022, 2023)):
 
 def test_both_end_days_count(spark):
     found = rates(
-        spark, [(1, "A", datetime(2022, 12, 31, 23), datetime(2023, 1, 2, 1))],
+        spark, [(1, 1, datetime(2022, 12, 31, 23), datetime(2023, 1, 2, 1))],
         [(1, datetime(2022, 12, 31, 23), 1), (1, datetime(2023, 1, 2, 1), 0)],
     )
-    first, second = found["A", date(2022, 1, 1)], found["A", date(2023, 1, 1)]
+    first, second = found[1, date(2022, 1, 1)], found[1, date(2023, 1, 1)]
     assert first.person_years == pytest.approx(1 / 365.25)
     assert second.person_years == pytest.approx(2 / 365.25)
     assert first.value == pytest.approx(365.25)
@@ -35,24 +35,24 @@ def test_both_end_days_count(spark):
 
 
 def test_period_without_anyone_stays_with_null_rate(spark):
-    found = rates(spark, [(1, "A", datetime(2022, 2, 1), datetime(2022, 3, 1))], [])
-    empty = found["A", date(2023, 1, 1)]
+    found = rates(spark, [(1, 1, datetime(2022, 2, 1), datetime(2022, 3, 1))], [])
+    empty = found[1, date(2023, 1, 1)]
     assert empty.person_years == 0.0
     assert empty.value is None
     assert (empty.n_events, empty.n_patients) == (0, 1)
 
 
 def test_unknown_bounds_count_every_whole_period(spark):
-    found = rates(spark, [(1, "A", None, None)], [], months=3, years=(2022, 2022))
+    found = rates(spark, [(1, 1, None, None)], [], months=3, years=(2022, 2022))
     assert len(found) == 4
-    assert found["A", date(2022, 1, 1)].person_years == pytest.approx(90 / 365.25)
-    assert found["A", date(2022, 10, 1)].person_years == pytest.approx(92 / 365.25)
+    assert found[1, date(2022, 1, 1)].person_years == pytest.approx(90 / 365.25)
+    assert found[1, date(2022, 10, 1)].person_years == pytest.approx(92 / 365.25)
 
 
 def test_repeated_member_counts_twice_but_is_one_patient_with_events(spark):
-    member = (1, "A", datetime(2022, 1, 1), datetime(2022, 1, 10))
+    member = (1, 1, datetime(2022, 1, 1), datetime(2022, 1, 10))
     found = rates(spark, [member, member], [(1, datetime(2022, 1, 5), 1)])
-    row = found["A", date(2022, 1, 1)]
+    row = found[1, date(2022, 1, 1)]
     assert (row.n_events, row.n_patients) == (2, 2)
     assert row.person_years == pytest.approx(20 / 365.25)
     assert row.pct_any == 0.5
@@ -60,11 +60,11 @@ def test_repeated_member_counts_twice_but_is_one_patient_with_events(spark):
 
 def test_events_outside_the_calendar_or_cohort_are_ignored(spark):
     found = rates(
-        spark, [(1, "A", datetime(2021, 1, 1), datetime(2024, 6, 1))],
+        spark, [(1, 1, datetime(2021, 1, 1), datetime(2024, 6, 1))],
         [(1, datetime(2021, 12, 31, 23, 59), 1), (1, datetime(2024, 1, 1), 1),
          (1, datetime(2023, 12, 31, 23, 59), 1), (2, datetime(2022, 1, 1), 1), (1, None, 1)],
     )
-    assert [found["A", date(y, 1, 1)].n_events for y in (2022, 2023)] == [0, 1]
+    assert [found[1, date(y, 1, 1)].n_events for y in (2022, 2023)] == [0, 1]
 
 
 def test_quarters_cover_the_years(spark):

@@ -39,6 +39,11 @@ def test_rates_read_no_gaps_and_no_distinct_counts(spark):
     assert "Expand" not in text
 
 
+@pytest.mark.parametrize("name", ["patient_journey", "patient_gaps", "patient_analytic", "ed_by_year"])
+def test_events_are_aggregated_by_hash(spark, name):
+    assert "SortAggregate" not in plan(direct(spark, name))
+
+
 def test_scan_reads_only_what_the_audit_needs(spark):
     text = plan(direct(spark, "qa_dept_join"))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
