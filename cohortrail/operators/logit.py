@@ -72,11 +72,12 @@ def odds_ratios(
         )
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    rows = []
     try:
-        terms = _terms(cells, numeric, factors, covariates)
-        rows = []
-        for outcome, label in outcomes.items():
-            rows += [(*row, label) for row in _fit(cells, terms, outcome)]
+        if not cells.isEmpty():
+            terms = _terms(cells, numeric, factors, covariates)
+            for outcome, label in outcomes.items():
+                rows += [(*row, label) for row in _fit(cells, terms, outcome)]
     finally:
         cells.unpersist()
     return spark.createDataFrame(rows, COEFFICIENT_SCHEMA)

@@ -104,3 +104,10 @@ def test_factor_levels_and_baselines(spark):
 def test_separated_outcome_gives_no_overflow():
     row = coefficient_row("x", 800.0, 1.0)
     assert row[5] == math.inf
+
+
+def test_no_complete_rows_give_an_empty_table(spark):
+    frame = spark.createDataFrame([(1, None)], "y int, x double")
+    out = odds_ratios(frame, {"y": "m"}, ["x"], [])
+    assert out.count() == 0
+    assert "or_hi" in out.columns
