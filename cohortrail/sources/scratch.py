@@ -8,12 +8,25 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path under the folder the cluster names in spark.checkpoint.dir.
+def scratch_dir(spark: SparkSession, name: str = "cohortrail") -> str:
+    """A new path under the folder the cluster names in spark.checkpoint.dir, removed at the end
+    of the session.
 
-    Only where that is unset, as in local tests, is it a temporary folder of this machine.
+    A temporary folder of this machine stands in for it only where driver and executors are one
+    process, as in local tests. On a cluster without the setting each executor would write to
+    its own disk and the read-back would find part of the rows, so that is an error.
     """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/cohortrail-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="cohortrail-")
+    if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(
+                f"set spark.checkpoint.dir to a folder that all executors share (master {master})"
+            )
+        shared = tempfile.gettempdir()
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    file_system.mkdirs(hadoop_path)
+    file_system.deleteOnExit(hadoop_path)
+    return path
