@@ -2,4 +2,83 @@
 
 from __future__ import annotations
 
-LLM_ORACLES: dict[str, str] = {}
+_WORDS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+def _ascii_lower(column: str) -> str:
+    return (
+        f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    )
+
+
+def _shingles(table: str, key: str) -> str:
+    """Distinct 5-word shingles (id, s) of a table; a shorter text is one shingle."""
+    return f"""
+    SELECT DISTINCT id, s FROM (
+        SELECT id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+                                         lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+        FROM (SELECT {key} AS id, regexp_extract_all({_ascii_lower("text")}, '{_WORDS}') AS w
+              FROM {table})
+        WHERE len(w) > 0)"""
+
+
+OP1 = f"""
+WITH item AS ({_shingles("benchmark", "item_id")}),
+sizes AS (SELECT id, count(*) AS n_item FROM item GROUP BY id),
+doc AS ({_shingles("documents", "doc_id")}),
+shared AS (
+    SELECT doc.id AS doc_id, item.id AS item_id, count(*) AS n_shared
+    FROM doc JOIN item USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM shared JOIN sizes ON item_id = sizes.id
+WHERE 100 * n_shared >= 80 * n_item
+"""
+
+OP5 = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n,
+           sha1(coalesce(html, '')) AS d
+    FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS first_page FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> first_page THEN 'revisit' ELSE 'response' END
+           AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> first_page THEN first_page END AS refers_to,
+       true AS complete
+FROM f
+"""
+
+OP10 = """
+WITH RECURSIVE hashed AS (
+    SELECT k, ('0x' || substr(md5(name || '/offset'), 1, 15))::BIGINT % 4099 AS first_slot,
+           ('0x' || substr(md5(name || '/skip'), 1, 15))::BIGINT % 4098 + 1 AS step
+    FROM (SELECT k, 'shard-' || lpad(k::VARCHAR, 2, '0') AS name FROM range(32) AS t(k))),
+prefers AS (
+    SELECT n, list(first_slot ORDER BY k) AS firsts, list(step ORDER BY k) AS steps
+    FROM hashed, (VALUES (31), (32)) AS v(n) WHERE k < n GROUP BY n),
+fill AS (
+    SELECT n, 0 AS turn, firsts, steps, list_transform(range(4099), lambda x: -1) AS held FROM prefers
+    UNION ALL
+    SELECT n, turn + 1, firsts, steps,
+           list_transform(held, lambda v, i: CASE WHEN i - 1 = claim THEN turn % n ELSE v END)
+    FROM (SELECT *, list_filter(
+              list_transform(range(4099),
+                             lambda j: (firsts[turn % n + 1] + j * steps[turn % n + 1]) % 4099),
+              lambda p: held[p + 1] < 0)[1] AS claim
+          FROM fill WHERE turn < 4099)),
+slots AS (
+    SELECT n, unnest(range(4099)) AS slot, unnest(held) AS k FROM fill WHERE turn = 4099),
+placed AS (
+    SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % 4099)::INTEGER AS slot
+    FROM documents)
+SELECT doc_id, placed.slot, 'shard-' || lpad(a.k::VARCHAR, 2, '0') AS shard,
+       'shard-' || lpad(b.k::VARCHAR, 2, '0') AS shard_after, a.k <> b.k AS moved
+FROM placed JOIN slots AS a ON a.slot = placed.slot AND a.n = 32
+JOIN slots AS b ON b.slot = placed.slot AND b.n = 31
+"""
+
+LLM_ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": OP1,
+    "op5_warc_segments": OP5,
+    "op10_shard_placement": OP10,
+}

@@ -6,18 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortrail.llm.decontaminate import contained_items
 from cohortrail.llm.neardup import NearDupParams, near_duplicates
+from cohortrail.llm.sharding import place
+from cohortrail.llm.warc import WarcParams, archive_round_trip
+
+SHARDS = [f"shard-{k:02d}" for k in range(32)]
+#: A prime of over a hundred slots a shard.
+SLOTS = 4099
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which a document holds 80 % of the 5-word shingles or more."""
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC files in segments of 16 KB and read back."""
+    return archive_round_trip(
+        _table(spark, sf_dir, "pages"), WarcParams(segment_bytes=16 << 10)
+    )
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets are similar by 0.8 or more."""
     return near_duplicates(_table(spark, sf_dir, "documents"), NearDupParams(width=2))
 
 
+def op10_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard, now and after the last shard has left."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    return place(docs, "doc_id", SHARDS, SLOTS, leaving=SHARDS[-1:])
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_minhash_near_dedup,)
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op5_warc_segments,
+        op7_minhash_near_dedup,
+        op10_shard_placement,
+    )
 }
