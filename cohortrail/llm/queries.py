@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortrail.llm import langid, quality_gam
 from cohortrail.llm.decontaminate import contained_items
 from cohortrail.llm.neardup import NearDupParams, near_duplicates
 from cohortrail.llm.sharding import place
@@ -25,6 +27,19 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    labelled = langid.label_languages(docs, docs.where(~langid.held_out()))
+    return labelled.select(
+        "doc_id",
+        langid.held_out().alias("held_out"),
+        "lang_pred",
+        "score",
+        F.size("spans").alias("n_spans"),
+    )
+
+
 def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to WARC files in segments of 16 KB and read back."""
     return archive_round_trip(
@@ -32,6 +47,13 @@ def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels that are not held out."""
+    labels = _table(spark, sf_dir, "labels").where(~quality_gam.held_out())
+    scored = quality_gam.quality_scores(_table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", quality_gam.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets are similar by 0.8 or more."""
     return near_duplicates(_table(spark, sf_dir, "documents"), NearDupParams(width=2))
@@ -47,7 +69,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination,
+        op2_language_id,
         op5_warc_segments,
+        op6_quality_classifier,
         op7_minhash_near_dedup,
         op10_shard_placement,
     )
