@@ -153,7 +153,7 @@ class LangIdModel:
             out += np.add.reduceat(self.log_probability[words.inner], words.firsts, axis=0)
             out += self.log_probability[words.final]
             among = self.candidates[words.script]
-            out[~among] = -1e4
+            out[~among] = -np.inf
             out[~among.any(axis=1)] = 0
         return out
 

@@ -5,9 +5,12 @@ transitions; at each position the output links name every piece that ends there,
 first, and relax the best score of a segmentation up to it. A character that no piece covers alone
 is an unknown of one character, written as byte pieces.
 
-A piece does not reach over a space mark or a line end unless it scores more than its characters
-do, which is checked when the automaton is built; segments between them are then independent, and
-a segment that recurs is looked up. The model file is read by the driver and broadcast; a file
+Where no piece of a model has a space mark after another character, or a line end among others,
+no segmentation has one there either: the segments between are independent, and one that recurs is
+looked up. This is checked when the automaton is built.
+
+The segmentation is the one with the best sum of scores. For a model trained by merging, whose
+scores are merge ranks, that is not in general the order of merges. The model file is read by the driver and broadcast; a file
 over ``MOST_BYTES`` is refused.
 
 Awkward input: a null or empty text has no pieces. Decoding gives back the text, but for the space
@@ -94,11 +97,13 @@ class Automaton:
         self.unknown = min(normal, default=0.0) - 10
         self.single = single
         self._link()
-        self.cuts = "".join(c for c in (SPACE, "\n") if self._separates(c))
-        # A space mark begins a segment, a line end stands alone.
-        cut = re.escape(self.cuts)
-        mark = f"{SPACE}?" if SPACE in self.cuts else ""
-        self.segment = re.compile(f"\n|{mark}[^{cut}]+|{SPACE}" if self.cuts else "(?s:.+)")
+        # Runs of space marks begin a segment, a line end stands alone.
+        line = "\n" if self._alone("\n") else ""
+        if self._leads(SPACE):
+            parts = [f"{SPACE}*[^{SPACE}{line}]+", f"{SPACE}+"]
+        else:
+            parts = [f"[^{line}]+" if line else "(?s:.+)"]
+        self.segment = re.compile("|".join([line, *parts] if line else parts))
         self.cache: dict[str, bytes] = {}
         self.bytes_of_piece = [self._bytes(k) for k in range(len(model.surfaces))]
         self.scores = np.array(model.scores)
@@ -136,20 +141,18 @@ class Automaton:
             back = self.fail[node]
             self.output[node] = back if self.piece[back] >= 0 else self.output[back]
 
-    def _separates(self, char: str) -> bool:
-        """Whether no piece that reaches over this character can be part of a best segmentation:
-        each scores less than a space-marked rest cut off, or than its single characters."""
-        for text, score, kind in zip(
-            self.model.surfaces, self.model.scores, self.model.kinds, strict=True
-        ):
-            if kind not in PieceModel.NORMAL or len(text) < 2:
-                continue
-            inside = text[1:] if char == SPACE else text
-            if char in inside and score >= sum(
-                self.single.get(c, self.unknown) for c in text
-            ):
-                return False
-        return True
+    def _pieces_of_many(self) -> Iterator[str]:
+        for text, kind in zip(self.model.surfaces, self.model.kinds, strict=True):
+            if kind in PieceModel.NORMAL and len(text) > 1:
+                yield text
+
+    def _alone(self, char: str) -> bool:
+        """Whether this character is in no piece with others."""
+        return all(char not in text for text in self._pieces_of_many())
+
+    def _leads(self, char: str) -> bool:
+        """Whether in every piece this character has only its own kind before it."""
+        return all(char not in text.lstrip(char) for text in self._pieces_of_many())
 
     def best(self, text: str) -> bytes:
         """The pieces of one segment, as 32-bit integers."""
@@ -216,9 +219,8 @@ class Automaton:
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.bytes_of_piece.__getitem__, ids.tolist()))
-        if self.model.dummy_prefix and data[:1] == b" ":
-            data = data[1:]
-        return data.decode("utf-8", "replace")
+        text = data.decode("utf-8", "replace").replace(SPACE, " ")
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
 _WORKER: dict[str, Automaton] = {}
