@@ -176,30 +176,30 @@ class ItemIndex:
         return found
 
 
+def _item_blocks(items: DataFrame, params: ContainmentParams) -> Iterator[ItemIndex]:
+    """Indexes over distinct items, each of about ``block_bytes`` of text."""
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-int(total) // params.block_bytes))
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toPandas()
+        ids = [None if i is None or i != i else int(i) for i in block["item_id"].tolist()]
+        yield ItemIndex(ids, block["text"].tolist(), params)
+
+
 def contained_items(
     docs: DataFrame, items: DataFrame, params: ContainmentParams | None = None
 ) -> DataFrame:
     """Rows (doc_id, item_id, n_item, n_shared, containment) for every item (item_id, text) of
     which a document (doc_id, text) holds at least ``percent`` per cent of the shingles."""
-    params = params or ContainmentParams()
-    spark = docs.sparkSession
-    text_batches(spark)
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-int(total) // params.block_bytes))
-    block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return reduce(
-        DataFrame.unionByName,
-        (_scan_for(docs, items.where(block_of == k), params) for k in range(blocks)),
-    )
+    indexes = _item_blocks(items, params or ContainmentParams())
+    return reduce(DataFrame.unionByName, (_found(docs, index) for index in indexes))
 
 
-def _scan_for(docs: DataFrame, items: DataFrame, params: ContainmentParams) -> DataFrame:
-    block = items.toPandas()
-    index = docs.sparkSession.sparkContext.broadcast(
-        ItemIndex(block["item_id"].tolist(), block["text"].tolist(), params)
-    )
+def _found(docs: DataFrame, own: ItemIndex) -> DataFrame:
+    index = docs.sparkSession.sparkContext.broadcast(own)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = index.value
@@ -208,11 +208,11 @@ def _scan_for(docs: DataFrame, items: DataFrame, params: ContainmentParams) -> D
                 found = look.search(batch.column("text"))
                 size = [len(look.sets[item]) for _, item, _ in found]
                 shared = [s for _, _, s in found]
-                ids = [look.ids[item] for _, item, _ in found]
+                rows = pa.array([r for r, _, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(pa.array([r for r, _, _ in found], pa.int64())),
-                        pa.array([None if i is None or i != i else int(i) for i in ids], pa.int64()),
+                        batch.column("doc_id").take(rows),
+                        pa.array([look.ids[item] for _, item, _ in found], pa.int64()),
                         pa.array(size, pa.int64()),
                         pa.array(shared, pa.int64()),
                         pa.array([a / b for a, b in zip(shared, size, strict=True)], pa.float64()),
@@ -223,3 +223,26 @@ def _scan_for(docs: DataFrame, items: DataFrame, params: ContainmentParams) -> D
     return docs.mapInArrow(
         scan, "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint, containment double"
     )
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, params: ContainmentParams | None = None
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, that contain no item."""
+    text_batches(docs.sparkSession)
+    for own in _item_blocks(items, params or ContainmentParams()):
+        docs = _without(docs, own)
+    return docs
+
+
+def _without(docs: DataFrame, own: ItemIndex) -> DataFrame:
+    index = docs.sparkSession.sparkContext.broadcast(own)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[[r for r, _, _ in index.value.search(batch.column("text"))]] = False
+                yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(scan, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortrail.llm.shared import text_batches
+from cohortrail.llm.shared import keyed, keyed_schema, text_batches
 from cohortrail.llm.textscan import slices
 
 UNKNOWN = "und"
@@ -254,9 +254,8 @@ def train(docs: DataFrame, params: LangIdParams) -> LangIdModel:
     )
 
 
-LABELLED = (
-    "doc_id bigint, lang_pred string, score double, "
-    "spans array<struct<lang:string,start:bigint,stop:bigint>>"
+LABELS = (
+    "lang_pred string, score double, spans array<struct<lang:string,start:bigint,stop:bigint>>"
 )
 _SPAN = pa.struct([("lang", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
 
@@ -298,31 +297,34 @@ def _answer(held: list[tuple], model: LangIdModel, params: LangIdParams) -> pa.R
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row[opens], minlength=len(counts)))])
     return pa.RecordBatch.from_arrays(
         [
-            pa.concat_arrays([ids for ids, _, _ in held]),
+            pa.concat_arrays([keys for keys, _, _ in held]),
             pa.array(np.where(has_letter, names[best], UNKNOWN), pa.string()),
             pa.array(score, pa.float64()),
             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans),
         ],
-        names=["doc_id", "lang_pred", "score", "spans"],
+        names=["key", "lang_pred", "score", "spans"],
     )
 
 
 def label_languages(
-    docs: DataFrame, labelled: DataFrame, params: LangIdParams | None = None
+    docs: DataFrame,
+    labelled: DataFrame,
+    params: LangIdParams | None = None,
+    key: str = "doc_id",
 ) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, lang_pred, score and spans (lang, start, stop
-    in code points); learned from ``labelled`` (text, lang)."""
+    """Per row of ``docs`` (key, text): the key, lang_pred, score and spans (lang, start, stop in
+    code points); learned from ``labelled`` (text, lang). The key may be of any type."""
     params = params or LangIdParams()
     spark = docs.sparkSession
     text_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = keyed(docs, key)
     learned = train(labelled, params)
     if not learned.languages:
         return docs.select(
-            "doc_id",
+            F.col("key").alias(key),
             F.lit(UNKNOWN).alias("lang_pred"),
             F.lit(0.0).alias("score"),
-            F.from_json(F.lit("[]"), LABELLED.partition("spans ")[2]).alias("spans"),
+            F.from_json(F.lit("[]"), LABELS.partition("spans ")[2]).alias("spans"),
         )
     shared = spark.sparkContext.broadcast(learned)
 
@@ -334,7 +336,7 @@ def label_languages(
                 words = Words(batch.column("text"), params.buckets)
                 scores = model.word_scores(words)
                 del words.inner, words.final, words.word_of_inner
-                held.append((batch.column("doc_id"), words, scores))
+                held.append((batch.column("key"), words, scores))
                 size += len(scores)
                 if size >= params.words_at_once:
                     yield _answer(held, model, params)
@@ -342,4 +344,4 @@ def label_languages(
         if held:
             yield _answer(held, model, params)
 
-    return docs.mapInArrow(scan, LABELLED)
+    return docs.mapInArrow(scan, keyed_schema(docs, LABELS)).withColumnRenamed("key", key)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortrail.llm.shared import text_batches
+from cohortrail.llm.shared import keyed, keyed_schema, text_batches
 from cohortrail.llm.textscan import (
     SPACED,
     Alphabet,
@@ -276,10 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, params: GamParams) -> Gam:
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, params: GamParams | None = None
+    docs: DataFrame, labels: DataFrame, params: GamParams | None = None, key: str = "doc_id"
 ) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, score and predicted; learned from the rows of
-    ``labels`` (doc_id, quality)."""
+    """Per row of ``docs`` (doc_id, text): the key, score and predicted; learned from the rows of
+    ``labels`` (doc_id, quality). The key may be a column of any type."""
     params = params or GamParams()
     spark = docs.sparkSession
     text_batches(spark)
@@ -292,13 +292,13 @@ def quality_scores(
                 score = model.score(features(batch.column("text")))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"),
+                        batch.column("key"),
                         pa.array(score, pa.float64()),
                         pa.array((score >= params.threshold).astype(np.int32)),
                     ],
-                    names=["doc_id", "score", "predicted"],
+                    names=["key", "score", "predicted"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        scan, "doc_id bigint, score double, predicted int"
-    )
+    docs = keyed(docs, key)
+    schema = keyed_schema(docs, "score double, predicted int")
+    return docs.mapInArrow(scan, schema).withColumnRenamed("key", key)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortrail.llm import langid, ngram_lm, pieces, quality_gam, token_rollup
 from cohortrail.llm.decontaminate import contained_items
 from cohortrail.llm.neardup import NearDupParams, near_duplicates
@@ -146,4 +147,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_robust_outliers,
         op10_shard_placement,
     )
+} | {
+    "pipeline": corpus_pipeline.run
 }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortrail.sources.scratch import scratch_dir
 
@@ -32,3 +34,14 @@ class Store:
 def text_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch for operators that hand texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """key and text: what a row-wise operator hands to Python and takes back."""
+    column = F.col(key).cast("bigint") if key == "doc_id" else F.col(key)
+    return docs.select(column.alias("key"), "text")
+
+
+def keyed_schema(docs: DataFrame, rest: str) -> T.StructType:
+    """The key's field and those of a DDL string."""
+    return T.StructType([docs.schema["key"], *T.StructType.fromDDL(rest).fields])
