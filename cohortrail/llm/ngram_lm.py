@@ -41,8 +41,8 @@ from cohortrail.llm.textscan import SPACED, mix, row_sums, slices, word_hashes
 @dataclass(frozen=True)
 class LmParams:
     #: Bytes of text in a chunk, and of text whose keys one bucket adds up.
-    chunk_bytes: int = 8 << 20
-    bucket_bytes: int = 8 << 20
+    chunk_bytes: int = 4 << 20
+    bucket_bytes: int = 4 << 20
     iterations: int = 200
     grid: float = 0.1
     #: Least weight of the uniform part, so that no token is impossible.
@@ -143,9 +143,10 @@ class ChunkTokens:
         bigrams = mix(mix(context, 402) ^ tokens, 403) & ~one
         del words, context, tokens
         n = len(unigrams)
-        self.keys, place, self.n = np.unique(
-            np.concatenate([unigrams, bigrams]), return_inverse=True, return_counts=True
-        )
+        both = np.concatenate([unigrams, bigrams])
+        del unigrams, bigrams
+        self.keys, place, self.n = np.unique(both, return_inverse=True, return_counts=True)
+        del both
         self.unigram, self.bigram = place[:n], place[n:]
 
     def contexts(self, counts: np.ndarray, n_docs: int) -> np.ndarray:
@@ -179,7 +180,7 @@ def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
                         pa.array(there, pa.int32()),
                         pa.array([batch["chunk"][k].as_py()] * len(there)),
                         pa.array([batch["part"][k].as_py()] * len(there), pa.int32()),
-                        pa.array([tokens.keys[a:b].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([_packed_keys(tokens.keys[a:b]) for a, b in spans], pa.binary()),
                         pa.array([_packed(counts[a:b]) for a, b in spans], pa.binary()),
                     ],
                     names=["bucket", "chunk", "part", "keys", "counts"],
@@ -188,17 +189,34 @@ def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.select("chunk", "part", "body").mapInArrow(scan, REQUEST)
 
 
-def _packed(values: np.ndarray) -> bytes:
-    raw = values.astype(np.uint32).tobytes()
+def _compressed(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _decompressed(data: bytes) -> bytes:
     size = int.from_bytes(data[:8], "little")
     if not size:
-        return np.zeros(0, dtype=np.uint32)
-    raw = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
-    return np.frombuffer(raw, dtype=np.uint32)
+        return b""
+    return pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return _compressed(values.astype(np.uint32).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(_decompressed(data), dtype=np.uint32)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their gaps, byte by byte: the high bytes of gaps are mostly zero."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return _compressed(gaps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_decompressed(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 RESPONSE = "chunk string, bucket int, kept binary, gone binary, types bigint, kept_types bigint"
@@ -206,7 +224,7 @@ RESPONSE = "chunk string, bucket int, kept binary, gone binary, types bigint, ke
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
     """Add up the counts of a bucket's keys, and give each chunk those that it asked for."""
-    keys = [np.frombuffer(x, np.uint64) for x in group["keys"]]
+    keys = [_unpacked_keys(x) for x in group["keys"]]
     sizes = np.array([len(k) for k in keys])
     own = np.concatenate([_unpacked(x) for x in group["counts"]]).astype(np.int64)
     part = np.repeat(group["part"].to_numpy(), sizes)
