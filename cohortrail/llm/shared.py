@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from cohortrail.sources.scratch import scratch_dir
 
-#: Rows of one Arrow batch: texts can be long, and a batch is held whole by a Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch: texts can be long, and a Python worker holds a batch whole.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 class Store:
@@ -19,7 +19,7 @@ class Store:
         self.spark = spark
         self.folder = scratch_dir(spark, name)
         self.tables = 0
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        text_batches(spark)
 
     def keep(self, df: DataFrame, *partition_by: str) -> DataFrame:
         self.tables += 1
@@ -32,8 +32,9 @@ class Store:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for operators that hand texts to Python."""
+    """Bound the Arrow batches of operators that hand texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def keyed(docs: DataFrame, key: str) -> DataFrame:
