@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortrail.llm.components import connected_components
-from cohortrail.llm.shared import Store
+from cohortrail.llm.shared import IdBitmap, Store
 from cohortrail.llm.textscan import (
     SPACED,
     distinct_per_row,
@@ -56,8 +56,6 @@ class NearDupParams:
     block: int = 256
     #: How many bucket heads a document is first held against.
     heads: int = 2
-    #: Bits of the bitmap that spares documents without a partner from being hashed again.
-    bitmap_bits: int = 1 << 22
 
     @property
     def coordinates(self) -> int:
@@ -136,31 +134,16 @@ def sketches(docs: DataFrame, params: NearDupParams) -> DataFrame:
     return docs.mapInArrow(scan, SKETCH)
 
 
-def _bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size over the hashed ids: which documents may have a partner."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(bits))
-    words = (
-        nodes.select((slot / 64).cast("int").alias("word"), F.pmod(slot, F.lit(64)).alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("value"))
-        .toPandas()
-    )
-    out = np.zeros(bits // 64, dtype=np.int64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["value"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
-
-
 def _partner_sets(docs: DataFrame, nodes: DataFrame, params: NearDupParams) -> DataFrame:
     """The full sets, as sorted 64-bit hashes, of at least the documents in ``nodes``."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes, params.bitmap_bits))
-    slotted = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(params.bitmap_bits)))
+    bitmap = IdBitmap(nodes)
+    shared, hits = bitmap.shared, bitmap.hits
+    slotted = docs.withColumn("slot", bitmap.slot(F.col("doc_id")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bitmap.value
         for whole in batches:
             slot = whole.column("slot").to_numpy(zero_copy_only=False).astype(np.int64)
-            there = (words[slot // 64] >> (slot % 64).astype(np.uint64)) & np.uint64(1)
-            wanted = whole.filter(pa.array(there.astype(bool)))
+            wanted = whole.filter(pa.array(hits(shared.value, slot)))
             for batch in slices(wanted, "text"):
                 values, counts = _sets(batch, params.width)
                 offsets = np.concatenate([[0], np.cumsum(counts)]) * 8

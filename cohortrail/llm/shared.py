@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,3 +48,46 @@ def keyed(docs: DataFrame, key: str) -> DataFrame:
 def keyed_schema(docs: DataFrame, rest: str) -> T.StructType:
     """The key's field and those of a DDL string."""
     return T.StructType([docs.schema["key"], *T.StructType.fromDDL(rest).fields])
+
+
+class IdBitmap:
+    """Which ids may be in a set: a bitmap of fixed size over their hashes, broadcast.
+
+    It has no false negatives. At sizes that fill it, it lets everything pass; it only spares work
+    ahead of an exact join.
+    """
+
+    BITS = 1 << 22
+
+    def __init__(self, ids: DataFrame):
+        """``ids`` has one column of ids."""
+        slot = self.slot(F.col(ids.columns[0]))
+        words = (
+            ids.select(
+                (slot / 64).cast("int").alias("word"), F.pmod(slot, F.lit(64)).alias("bit")
+            )
+            .groupBy("word")
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("value"))
+            .toPandas()
+        )
+        bitmap = np.zeros(self.BITS // 64, dtype=np.int64)
+        bitmap[words["word"].to_numpy(dtype=np.int64)] = words["value"].to_numpy(dtype=np.int64)
+        self.shared = ids.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    @classmethod
+    def slot(cls, column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(cls.BITS))
+
+    @staticmethod
+    def hits(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        bit = bitmap[slot // 64] >> (slot % 64).astype(np.uint64)
+        return (bit & np.uint64(1)).astype(bool)
+
+    def may_hold(self, column: Column) -> Column:
+        shared, hits = self.shared, self.hits
+
+        @F.pandas_udf("boolean")
+        def look(slot: pd.Series) -> pd.Series:
+            return pd.Series(hits(shared.value, slot.to_numpy(dtype=np.int64)))
+
+        return look(self.slot(column))

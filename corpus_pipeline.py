@@ -23,7 +23,7 @@ from cohortrail.llm import langid, quality_gam
 from cohortrail.llm.decontaminate import drop_contaminated
 from cohortrail.llm.neardup import NearDupParams, near_duplicates
 from cohortrail.llm.pieces import round_trips
-from cohortrail.llm.shared import Store
+from cohortrail.llm.shared import IdBitmap, Store
 
 #: Where the vocabulary files of public tokenizers are.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -51,19 +51,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Only rows whose id may be one to look at (removed, or of several rows) are shuffled."""
+    store = Store(spark, "verdicts")
     found = near_duplicates(docs, NearDupParams(width=5)).where("doc_id is not null")
-    verdicts = found.groupBy("doc_id").agg(
-        F.max("kept").alias("kept"), F.count("*").alias("rows")
+    verdicts = found.groupBy(F.col("doc_id").alias("id")).agg(
+        F.max("kept").alias("stays"), F.count("*").alias("rows")
     )
-    verdicts = verdicts.where("kept").select(F.col("doc_id").alias("id"), "rows")
-    joined = _whole_rows(docs).join(
-        Store(spark, "verdicts").keep(verdicts), F.col("doc_id").cast("bigint") == F.col("id")
-    )
-    single = joined.where("rows = 1").select("row.*")
+    special = store.keep(verdicts.where("not stays or rows > 1"))
+    bitmap = IdBitmap(special.select("id"))
+    named = F.col("doc_id").cast("bigint")
+    rows = _whole_rows(docs).withColumn("look", bitmap.may_hold(named) & named.isNotNull())
+    looked_at = store.keep(rows.where("look").join(special, named == F.col("id"), "left"))
     first = Window.partitionBy("id").orderBy(F.xxhash64("text"), F.xxhash64("row"))
-    repeated = joined.where("rows > 1").withColumn("place", F.row_number().over(first))
-    unnamed = docs.where("doc_id is null")
-    return single.unionAll(repeated.where("place = 1").select("row.*")).unionAll(unnamed)
+    repeated = looked_at.where("stays and rows > 1").withColumn("place", F.row_number().over(first))
+    return (
+        rows.where("not look")
+        .select("row.*")
+        .unionAll(looked_at.where("id is null").select("row.*"))
+        .unionAll(repeated.where("place = 1").select("row.*"))
+    )
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
