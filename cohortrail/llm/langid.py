@@ -61,7 +61,7 @@ class LangIdParams:
     smoothing: float = 0.1
     buckets: int = 1 << 16
     #: Words that are decoded together.
-    words_at_once: int = 1_500_000
+    words_at_once: int = 500_000
 
 
 @cache
@@ -117,7 +117,6 @@ class Words:
         word = np.cumsum(start[at]) - 1
         self.firsts = np.searchsorted(at, self.starts)
         self.lengths = np.diff(np.append(self.firsts, len(at)))
-        self.stops = self.starts + self.lengths
         letters = letter[raw[at]]
         self.letters = np.bincount(word, weights=letters, minlength=n).astype(np.int64)
         np.logical_or.at(self.has_letter, self.row, self.letters > 0)
@@ -130,7 +129,6 @@ class Words:
         last = self.firsts + self.lengths - 1
         self.inner = self._bucket(two, one, cp, buckets)
         self.final = self._bucket(one[last], cp[last], np.ones(n, np.uint64), buckets)
-        self.word_of_inner = word
 
     @staticmethod
     def _bucket(a: np.ndarray, b: np.ndarray, c: np.ndarray, buckets: int) -> np.ndarray:
@@ -335,7 +333,7 @@ def label_languages(
             for batch in slices(whole, "text", 1 << 20):
                 words = Words(batch.column("text"), params.buckets)
                 scores = model.word_scores(words)
-                del words.inner, words.final, words.word_of_inner
+                del words.inner, words.final, words.firsts
                 held.append((batch.column("key"), words, scores))
                 size += len(scores)
                 if size >= params.words_at_once:

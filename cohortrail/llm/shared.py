@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from cohortrail.sources.scratch import scratch_dir
 
 #: Rows and bytes of one Arrow batch: texts can be long, and a Python worker holds a batch whole.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 class Store:
