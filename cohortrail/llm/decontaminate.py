@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortrail.llm.shared import text_batches
+from cohortrail.llm.shared import text_batches, tidy
 from cohortrail.llm.textscan import ALNUM, mix, shingle_hashes, slices, word_hashes
 
 
@@ -221,7 +221,7 @@ def _found(docs: DataFrame, own: ItemIndex) -> DataFrame:
                 )
 
     return docs.mapInArrow(
-        scan, "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint, containment double"
+        tidy(scan), "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint, containment double"
     )
 
 
@@ -245,4 +245,4 @@ def _without(docs: DataFrame, own: ItemIndex) -> DataFrame:
                 clean[[r for r, _, _ in index.value.search(batch.column("text"))]] = False
                 yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(tidy(scan), docs.schema)

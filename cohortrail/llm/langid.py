@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortrail.llm.shared import keyed, keyed_schema, text_batches
+from cohortrail.llm.shared import keyed, keyed_schema, text_batches, tidy
 from cohortrail.llm.textscan import slices
 
 UNKNOWN = "und"
@@ -231,7 +231,7 @@ def train(docs: DataFrame, params: LangIdParams) -> LangIdModel:
     counts = (
         docs.select("text", F.col("lang").cast("string").alias("lang"))
         .where("lang is not null and text is not null")
-        .mapInArrow(scan, "lang string, kind int, cell bigint, n bigint")
+        .mapInArrow(tidy(scan), "lang string, kind int, cell bigint, n bigint")
         .groupBy("lang", "kind", "cell")
         .agg(F.sum("n").alias("n"))
         .toPandas()
@@ -342,4 +342,4 @@ def label_languages(
         if held:
             yield _answer(held, model, params)
 
-    return docs.mapInArrow(scan, keyed_schema(docs, LABELS)).withColumnRenamed("key", key)
+    return docs.mapInArrow(tidy(scan), keyed_schema(docs, LABELS)).withColumnRenamed("key", key)

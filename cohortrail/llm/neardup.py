@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortrail.llm.components import connected_components
-from cohortrail.llm.shared import IdBitmap, Store
+from cohortrail.llm.shared import IdBitmap, Store, tidy
 from cohortrail.llm.textscan import (
     SPACED,
     distinct_per_row,
@@ -131,7 +131,7 @@ def sketches(docs: DataFrame, params: NearDupParams) -> DataFrame:
                     names=["doc_id", "n_shingles", "print_a", "print_b", "bands"],
                 )
 
-    return docs.mapInArrow(scan, SKETCH)
+    return docs.mapInArrow(tidy(scan), SKETCH)
 
 
 def _partner_sets(docs: DataFrame, nodes: DataFrame, params: NearDupParams) -> DataFrame:
@@ -163,7 +163,7 @@ def _partner_sets(docs: DataFrame, nodes: DataFrame, params: NearDupParams) -> D
                     names=["node", "shingles"],
                 )
 
-    return slotted.where("doc_id is not null").mapInArrow(scan, "node bigint, shingles binary")
+    return slotted.where("doc_id is not null").mapInArrow(tidy(scan), "node bigint, shingles binary")
 
 
 def _close(shared: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndarray:
@@ -191,7 +191,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs.join(left, "a")
         .join(right, "b")
         .select("a", "b", "set_a", "set_b")
-        .mapInArrow(scan, "a bigint, b bigint")
+        .mapInArrow(tidy(scan), "a bigint, b bigint")
     )
 
 

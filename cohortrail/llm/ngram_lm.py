@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortrail.llm.shared import Store
+from cohortrail.llm.shared import Store, tidy
 from cohortrail.llm.textscan import SPACED, mix, row_sums, slices, word_hashes
 
 
@@ -119,7 +119,7 @@ def _chunks(docs: DataFrame, params: LmParams) -> DataFrame:
         for part, rest in held.items():
             yield pack(part, rest)
 
-    return docs.mapInArrow(scan, CHUNK)
+    return docs.mapInArrow(tidy(scan), CHUNK)
 
 
 class ChunkTokens:
@@ -186,7 +186,7 @@ def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
                     names=["bucket", "chunk", "part", "keys", "counts"],
                 )
 
-    return chunks.select("chunk", "part", "body").mapInArrow(scan, REQUEST)
+    return chunks.select("chunk", "part", "body").mapInArrow(tidy(scan), REQUEST)
 
 
 def _compressed(raw: bytes) -> bytes:
@@ -389,7 +389,7 @@ def interpolated_scores(
     cells = (
         _with_counts(chunks.where(f"part = {DELETED}"), responses)
         .select("body", "counts")
-        .mapInArrow(histogram, "bucket int, bigram int, unigram int, n bigint")
+        .mapInArrow(tidy(histogram), "bucket int, bigram int, unigram int, n bigint")
         .groupBy("bucket", "bigram", "unigram")
         .agg(F.sum("n").alias("n"))
         .toPandas()
@@ -428,6 +428,6 @@ def interpolated_scores(
     scored = (
         _with_counts(chunks, responses)
         .select("doc_ids", "body", "counts")
-        .mapInArrow(score, SCORED)
+        .mapInArrow(tidy(score), SCORED)
     )
     return scored, weights

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from cohortrail.llm.shared import text_batches
+from cohortrail.llm.shared import text_batches, tidy
 from cohortrail.llm.textscan import slices
 
 MOST_BYTES = 64 << 20
@@ -266,7 +266,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return docs.mapInArrow(
-        scan, "doc_id bigint, pieces array<int>, n_byte_pieces bigint, score double"
+        tidy(scan), "doc_id bigint, pieces array<int>, n_byte_pieces bigint, score double"
     )
 
 
@@ -285,7 +285,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"]
             )
 
-    return encoded.select("doc_id", "pieces").mapInArrow(scan, "doc_id bigint, text string")
+    return encoded.select("doc_id", "pieces").mapInArrow(tidy(scan), "doc_id bigint, text string")
 
 
 DIGEST = (
@@ -321,5 +321,5 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        scan, DIGEST
+        tidy(scan), DIGEST
     )

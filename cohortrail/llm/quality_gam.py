@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortrail.llm.shared import keyed, keyed_schema, text_batches
+from cohortrail.llm.shared import keyed, keyed_schema, text_batches, tidy
 from cohortrail.llm.textscan import (
     SPACED,
     Alphabet,
@@ -255,7 +255,7 @@ def _measured(docs: DataFrame, more: str, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(more), *columns], names=names)
 
     columns = ", ".join(f"{name} double" for name in FEATURES)
-    return docs.select(more, "text").mapInArrow(scan, f"{schema}, {columns}")
+    return docs.select(more, "text").mapInArrow(tidy(scan), f"{schema}, {columns}")
 
 
 def train(docs: DataFrame, labels: DataFrame, params: GamParams) -> Gam:
@@ -301,4 +301,4 @@ def quality_scores(
 
     docs = keyed(docs, key)
     schema = keyed_schema(docs, "score double, predicted int")
-    return docs.mapInArrow(scan, schema).withColumnRenamed("key", key)
+    return docs.mapInArrow(tidy(scan), schema).withColumnRenamed("key", key)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +43,33 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a worker process outlives its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(scan: Scan) -> Scan:
+    """``scan`` for mapInArrow, giving back memory every few megabytes and at the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
+        for out in scan(batches):
+            yield out
+            size += out.nbytes
+            if size > BATCH_BYTES:
+                size = 0
+                _give_back()
+        _give_back()
+
+    return run
+
+
 def keyed(docs: DataFrame, key: str) -> DataFrame:
     """key and text: what a row-wise operator hands to Python and takes back."""
     column = F.col(key).cast("bigint") if key == "doc_id" else F.col(key)

@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortrail.llm.shared import text_batches
+from cohortrail.llm.shared import text_batches, tidy
 from cohortrail.llm.textscan import slices
 from cohortrail.sources.store import path_exists
 
@@ -72,7 +72,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
                     names=[*rest, "n_tokens"],
                 )
 
-    counted = docs.select(*rest, "text").mapInArrow(scan, f"{schema}, n_tokens bigint")
+    counted = docs.select(*rest, "text").mapInArrow(tidy(scan), f"{schema}, n_tokens bigint")
     return counted.withColumn("tokenizer", F.lit(tokenizer))
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortrail.llm.shared import Store, text_batches
+from cohortrail.llm.shared import Store, text_batches, tidy
 
 
 @dataclass(frozen=True)
@@ -168,7 +168,7 @@ def write_warc(pages: DataFrame, path: str, store: Store, params: WarcParams) ->
     # record. Casting bytes to text leaves them as they are.
     (
         rows.join(repeated, "digest", "left")
-        .mapInArrow(scan, "record binary")
+        .mapInArrow(tidy(scan), "record binary")
         .select(F.col("record").cast("string").alias("value"))
         .write.mode("overwrite")
         .option("lineSep", "\r\n\r\n")
@@ -237,7 +237,7 @@ def _parts(files: DataFrame) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return files.select("content").mapInArrow(scan, PARTS)
+    return files.select("content").mapInArrow(tidy(scan), PARTS)
 
 
 def reassemble(numbers: list[int], totals: list, blocks: list[bytes]) -> bytes | None:
@@ -307,7 +307,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             names
         ]
 
-    whole = parts.where("origin is null").mapInArrow(decode, DECODED)
+    whole = parts.where("origin is null").mapInArrow(tidy(decode), DECODED)
     segmented = parts.where("origin is not null").groupBy("origin")
     return whole.unionByName(segmented.applyInPandas(join_segments, DECODED))
 
