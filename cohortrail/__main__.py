@@ -1,4 +1,4 @@
-"""Command line: python -m cohortrail SRC OUT [--skip-etl]."""
+"""Command line: python -m cohortrail SRC OUT [--skip-etl] [--multiline TABLE...]."""
 
 from __future__ import annotations
 
@@ -14,11 +14,15 @@ def main() -> None:
     parser.add_argument("src", help="folder of the seven CSV files")
     parser.add_argument("out", help="folder for tables and results")
     parser.add_argument("--skip-etl", action="store_true", help="reuse the loaded tables in OUT")
+    parser.add_argument(
+        "--multiline", nargs="*", default=[], metavar="TABLE",
+        help="tables whose quoted fields may hold line breaks",
+    )
     parser.add_argument("--master", help="Spark master, if spark-submit does not give one")
     args = parser.parse_args()
     logging.basicConfig(level=logging.INFO, format="[%(asctime)s] %(message)s")
     spark = build_session(master=args.master)
-    run_all(spark, args.src, args.out, args.skip_etl)
+    run_all(spark, args.src, args.out, args.skip_etl, multiline=args.multiline)
     spark.stop()
 
 

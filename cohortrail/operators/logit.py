@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 
@@ -11,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+log = logging.getLogger(__name__)
+
+MAX_ITERATIONS = 25
+
 # Fixed value: normal quantile of the Wald interval.
 WALD_Z = 1.96
 
@@ -84,9 +89,21 @@ def odds_ratios(
 
 
 def _fit(cells: DataFrame, terms, outcome: str) -> list[tuple]:
-    """One weighted fit; each pattern enters as its share of ones, weighted by its rows."""
-    columns = [f"x{i}" for i in range(len(terms))]
+    """One weighted fit; each pattern enters as its share of ones, weighted by its rows.
+
+    A term that the intercept and earlier terms determine is left out. An outcome that never
+    varies has no finite fit: its rows carry NULLs. Reaching the last iteration is logged.
+    """
     ones, zeros = F.col(f"{outcome}_1"), F.col(f"{outcome}_0")
+    terms, n_ones, n_zeros = _estimable(cells.where(ones + zeros > 0), terms, ones, zeros)
+    names = ["(Intercept)", *(name for name, _ in terms)]
+    if not n_ones or not n_zeros:
+        log.warning("%s does not vary: no coefficients", outcome)
+        return [coefficient_row(name, None, None) for name in names]
+    if not terms:
+        error = math.sqrt(1 / n_ones + 1 / n_zeros)
+        return [coefficient_row("(Intercept)", math.log(n_ones / n_zeros), error)]
+    columns = [f"x{i}" for i in range(len(terms))]
     design = cells.where(ones + zeros > 0).select(
         *[column.alias(name) for name, (_, column) in zip(columns, terms)],
         (ones / (ones + zeros)).alias("y"),
@@ -95,21 +112,50 @@ def _fit(cells: DataFrame, terms, outcome: str) -> list[tuple]:
     assembled = VectorAssembler(inputCols=columns, outputCol="features").transform(design)
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol="y", weightCol="w",
-        regParam=0.0, tol=1e-10, maxIter=25,
+        regParam=0.0, tol=1e-10, maxIter=MAX_ITERATIONS,
     ).fit(assembled)
-    names = [name for name, _ in terms]
+    if model.summary.numIterations >= MAX_ITERATIONS:
+        log.warning("the model of %s did not converge in %d iterations", outcome, MAX_ITERATIONS)
     # The summary lists the intercept last; the table starts with it.
     estimates = [model.intercept, *model.coefficients.toArray().tolist()]
     errors = list(model.summary.coefficientStandardErrors)
     errors = [errors[-1], *errors[:-1]]
     return [
         coefficient_row(name, est, se)
-        for name, est, se in zip(["(Intercept)", *names], estimates, errors)
+        for name, est, se in zip(names, estimates, errors)
     ]
 
 
-def coefficient_row(term: str, est: float, se: float) -> tuple:
-    """Wald test and odds ratio with its interval for one coefficient."""
+def _estimable(cells: DataFrame, terms, ones, zeros):
+    """The terms that are no combination of the intercept and earlier ones, and the numbers of
+    ones and zeros, from one row of sums of products over the patterns."""
+    design = [F.lit(1.0), *(column for _, column in terms)]
+    pairs = [(i, j) for i in range(len(design)) for j in range(i + 1)]
+    sums = cells.agg(
+        F.sum(ones).alias("ones"),
+        F.sum(zeros).alias("zeros"),
+        *[F.sum((ones + zeros) * design[i] * design[j]).alias(f"p{i}_{j}") for i, j in pairs],
+    ).first()
+    product = {(i, j): sums[f"p{i}_{j}"] or 0.0 for i, j in pairs}
+    factor: dict[int, dict[int, float]] = {}
+    for i in range(len(design)):
+        row: dict[int, float] = {}
+        for k in factor:
+            done = sum(row[m] * factor[k][m] for m in row if m in factor[k])
+            row[k] = (product[i, k] - done) / factor[k][k]
+        rest = product[i, i] - sum(v * v for v in row.values())
+        if rest > 1e-9 * max(product[i, i], 1e-300):
+            factor[i] = {**row, i: math.sqrt(rest)}
+    kept = [term for i, term in enumerate(terms, start=1) if i in factor]
+    return kept, sums["ones"] or 0.0, sums["zeros"] or 0.0
+
+
+def coefficient_row(term: str, est: float | None, se: float | None) -> tuple:
+    """Wald test and odds ratio with its interval for one coefficient; NULL where there is none."""
+    if est is None:
+        return (term, *[None] * 7)
+    if not se:
+        return (term, float(est), None, None, None, _exp(est), None, None)
     z = est / se
     p = math.erfc(abs(z) / math.sqrt(2.0))
     return (

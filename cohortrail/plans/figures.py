@@ -17,11 +17,9 @@ from cohortrail.study import Study
 from cohortrail.workspace import Workspace
 
 # Panel titles of the signature chart, in display order.
-RATE_PANELS = (
+PANELS = (
     ("ed_per_person_year", "ED visits / person-year"),
     ("inpat_per_person_year", "Inpatient admits / person-year"),
-)
-SHARE_PANELS = (
     ("pct_any_ed", "% patients with any ED visit"),
     ("pct_any_inpat", "% patients admitted to hospital"),
 )
@@ -71,10 +69,9 @@ def padded_count(n: Column) -> Column:
 
 def signature(summary: DataFrame, study: Study) -> DataFrame:
     """Two rates and two shares per compared group, in long form."""
-    panels = RATE_PANELS + SHARE_PANELS
-    titles = [title for _, title in panels]
+    titles = [title for _, title in PANELS]
     named = compared_only(summary, study).select(
-        "transport_status", "n_patients", *[F.col(c).alias(title) for c, title in panels]
+        "transport_status", "n_patients", *[F.col(c).alias(title) for c, title in PANELS]
     )
     metric, value = F.col("metric"), F.col("value")
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Collection, Iterator, Mapping
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,10 +97,10 @@ class Run:
             with timed(name):
                 write_result(build(self.ws), self.result_path(name))
 
-    def load(self) -> None:
+    def load(self, multiline: Collection[str] = ()) -> None:
         check_inputs(self.spark, self.src)
         for name in RAW_TABLES:
-            self._store(name, load(self.spark, self.src, name))
+            self._store(name, load(self.spark, self.src, name, name in multiline or None))
         for name in LOAD_TABLES:
             self._store(name, self.ws[name])
         self._results(QA_RESULTS)
@@ -159,14 +159,20 @@ class Run:
 
 
 def run_all(
-    spark: SparkSession, src: str, out: str, skip_etl: bool = False, study: Study | None = None
+    spark: SparkSession,
+    src: str,
+    out: str,
+    skip_etl: bool = False,
+    study: Study | None = None,
+    multiline: Collection[str] = (),
 ) -> Run:
-    """Run every stage; ``skip_etl`` starts from the tables an earlier run loaded."""
+    """Run every stage; ``skip_etl`` starts from the tables an earlier run loaded, ``multiline``
+    names the tables whose quoted fields may hold line breaks."""
     run = Run(spark, src, out, study or Study())
     if skip_etl:
         run.use_loaded()
     else:
-        run.load()
+        run.load(multiline)
     for stage in (run.describe, run.journey, run.compare, run.figures, run.series):
         stage()
     return run

@@ -14,7 +14,6 @@ from cohortrail.operators.journey import (
     gap_profile,
 )
 from cohortrail.operators.profile import dedup_by_key
-from cohortrail.operators.sizing import restrict_to_keys
 from cohortrail.study import Study
 from cohortrail.workspace import Workspace
 
@@ -153,16 +152,15 @@ def patient_analytic(
 def analytic_patients(ws: Workspace, screened: bool = False) -> DataFrame:
     """The patient analytic table as the comparisons read it, optionally screened patients only.
 
-    From the stored table if there is one. Otherwise assembled without the distinct counts, and
-    for screened patients over their encounters only. Catalyst drops the gap profile where a
+    From the stored table if there is one. Otherwise assembled without the distinct counts, by one
+    plan whatever the sizes: the encounters' partial sums per patient are shuffled, and patients
+    who were never screened leave after their aggregation. Catalyst drops the gap profile where a
     query does not read it, because that is unique per patient.
     """
     if ws.is_stored("patient_analytic"):
         analytic = ws["patient_analytic"]
     else:
         encounters, transport = ws["encounters"], ws["patient_transport"]
-        if screened:
-            encounters = restrict_to_keys(encounters, transport, PATIENT)
         analytic = patient_analytic(
             patient_totals(encounters),
             patient_gaps(encounters),

@@ -22,11 +22,13 @@ class Field:
 @dataclass(frozen=True)
 class RawTable:
     """One CSV file. Without null tokens an empty field is NULL; tokens replace that rule, so
-    an empty field then stays empty text."""
+    an empty field then stays empty text. With ``multiline`` a quoted field may hold line breaks,
+    at the price of one task per file."""
 
     file: str
     fields: tuple[Field, ...]
     null_tokens: tuple[str, ...] = ()
+    multiline: bool = False
 
 
 def _field(kind: str, name: str, *headers: str) -> Field:
@@ -129,19 +131,26 @@ def check_inputs(spark: SparkSession, src: str) -> None:
         raise FileNotFoundError(f"missing in {src}: {', '.join(missing)}")
 
 
-def load(spark: SparkSession, src: str, name: str, multiline: bool = False) -> DataFrame:
+def load(spark: SparkSession, src: str, name: str, multiline: bool | None = None) -> DataFrame:
     """Read one raw table with its kept columns cleaned and typed.
 
-    Every field is read as text, by header name; only the kept columns are parsed. ``multiline``
-    accepts line breaks inside quotes, at the price of one task per file.
+    Every field is read as text, by header name. A record with too few or too many fields fails
+    the load, and so does a line break in quotes unless ``multiline`` (by default the table's own
+    setting) accepts it; parts of a folder whose header differs from the first part's fail, too.
+    Whole records are parsed for that, not only the kept columns.
     """
     table = RAW_TABLES[name]
-    raw = (
+    path = f"{src}/{table.file}"
+    reader = (
         spark.read.option("header", True)
         .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(f"{src}/{table.file}")
+        .option("multiLine", table.multiline if multiline is None else multiline)
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
+        .option("enforceSchema", False)
     )
+    # Given as a schema, the first header is checked against that of every part.
+    raw = reader.schema(reader.csv(path).schema).csv(path)
     df = raw.select(*[_typed(raw, field, table).alias(field.name) for field in table.fields])
     return with_event_time(df) if name == "encounters" else df
 

@@ -1,5 +1,7 @@
 """Exposure classification on tiny answer tables."""
 
+from itertools import combinations
+
 import pytest
 
 from cohortrail.plans.tables import patient_transport
@@ -19,21 +21,28 @@ def statuses(spark, rows):
     return {r.PatientDurableKey: r.transport_status for r in out}
 
 
+def expected_status(texts):
+    """A yes outweighs all, then a no, then an answer that declines."""
+    if STUDY.yes in texts:
+        return "barrier"
+    if STUDY.no in texts:
+        return "no_barrier"
+    return "declined" if set(texts) & set(STUDY.declined) else "other"
+
+
+def test_every_set_of_answers(spark):
+    texts = [STUDY.yes, STUDY.no, *STUDY.declined, "unclear", None]
+    subsets = [c for n in range(1, len(texts) + 1) for c in combinations(texts, n)]
+    rows = [answer(k, t) for k, subset in enumerate(subsets) for t in subset]
+    assert statuses(spark, rows) == {k: expected_status(s) for k, s in enumerate(subsets)}
+
+
 @pytest.mark.parametrize(
     ("rows", "expected"),
     [
-        ([answer(1, "Yes")], {1: "barrier"}),
-        ([answer(2, "No")], {2: "no_barrier"}),
-        ([answer(3, "Patient declined")], {3: "declined"}),
-        ([answer(4, "Patient unable to answer")], {4: "declined"}),
-        ([answer(5, "Yes"), answer(5, "No")], {5: "barrier"}),
-        (
-            [answer(10, "Yes"), answer(11, "No"), answer(12, "Patient declined")],
-            {10: "barrier", 11: "no_barrier", 12: "declined"},
-        ),
         (
-            [answer(20, "Yes", "Food Insecurity", "Some food question"), answer(20, "No")],
-            {20: "no_barrier"},
+            [answer(8, STUDY.yes, "Other domain", "Other question"), answer(8, STUDY.no)],
+            {8: "no_barrier"},
         ),
         ([answer(None, "Yes")], {}),
         ([answer(30, "Maybe"), answer(31, None)], {30: "other", 31: "other"}),

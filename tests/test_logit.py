@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from cohortrail.operators.logit import Factor, coefficient_row, odds_ratios
+from cohortrail.operators.logit import COEFFICIENT_SCHEMA, Factor, coefficient_row, odds_ratios
 
 
 def logistic(x):
@@ -21,13 +21,6 @@ def irls(design, y):
     return beta, np.sqrt(np.diag(np.linalg.inv(information)))
 
 
-def binary(seed, n, share, intercept, slope):
-    rng = np.random.default_rng(seed)
-    x = (rng.random(n) < share).astype(int)
-    y = (rng.random(n) < logistic(intercept + slope * x)).astype(int)
-    return x, y
-
-
 def fit(spark, columns, schema, label, covariates, factors=()):
     rows = list(zip(*[[v.item() if hasattr(v, "item") else v for v in c] for c in columns]))
     frame = spark.createDataFrame(rows, schema)
@@ -36,46 +29,74 @@ def fit(spark, columns, schema, label, covariates, factors=()):
     }
 
 
-def test_columns_and_label(spark):
-    x, y = binary(42, 400, 0.3, -1.0, 0.9)
-    table = fit(spark, (x, y), "x int, y int", "my_model", ["x"])
+def shares(*cells):
+    """x, y columns from (x, ones, zeros) triples."""
+    rows = [(x, y) for x, ones, zeros in cells for y, n in ((1, ones), (0, zeros)) for _ in range(n)]
+    return [np.array(c) for c in zip(*rows)]
+
+
+def test_two_by_two_table_has_its_closed_form(spark):
+    """One binary covariate: the odds ratio is ad/bc, its variance the sum of reciprocals."""
+    table = fit(spark, shares((1, 30, 20), (0, 15, 45)), "x int, y int", "label", ["x"])
     assert list(table) == ["(Intercept)", "x"]
+    assert ", ".join(f.split()[0] for f in COEFFICIENT_SCHEMA.split(", ")) == ", ".join(
+        table["x"].asDict()
+    )
     row = table["x"]
-    assert row.asDict().keys() == {
-        "term", "est", "se", "z", "p", "odds_ratio", "or_lo", "or_hi", "model",
-    }
-    assert row.model == "my_model"
-
-
-def test_positive_effect_has_ordered_interval(spark):
-    x, y = binary(1, 600, 0.35, -1.0, 1.2)
-    row = fit(spark, (x, y), "x int, y int", "t", ["x"])["x"]
-    assert 0 < row.or_lo < row.odds_ratio < row.or_hi
-    assert row.odds_ratio > 1
-
-
-def test_interval_narrows_with_size(spark):
-    width = {}
-    for n in (60, 6000):
-        x, y = binary(7, n, 0.3, -0.8, 0.9)
-        row = fit(spark, (x, y), "x int, y int", "t", ["x"])["x"]
-        width[n] = row.or_hi - row.or_lo
-    assert width[60] > width[6000]
-
-
-def test_all_terms_and_equality_with_row_level_fit(spark):
-    rng = np.random.default_rng(99)
-    x1 = (rng.random(300) < 0.4).astype(int)
-    x2 = rng.normal(size=300)
-    y = (rng.random(300) < logistic(-0.5 + 0.7 * x1 - 0.2 * x2)).astype(int)
-    table = fit(spark, (x1, x2, y), "x1 int, x2 double, y int", "multi", ["x1", "x2"])
-    assert list(table) == ["(Intercept)", "x1", "x2"]
-    beta, se = irls(np.column_stack([np.ones(300), x1, x2]), y)
-    for row, b, s in zip(table.values(), beta, se):
-        assert row.est == pytest.approx(b, abs=1e-7)
-        assert row.se == pytest.approx(s, abs=1e-7)
-        assert row.z == pytest.approx(b / s, abs=1e-6)
-        assert row.p == pytest.approx(math.erfc(abs(b / s) / math.sqrt(2)), abs=1e-8)
+    assert row.model == "label"
+    assert row.odds_ratio == pytest.approx(30 * 45 / (20 * 15), rel=1e-7)
+    error = math.sqrt(1 / 30 + 1 / 20 + 1 / 15 + 1 / 45)
+    assert row.se == pytest.approx(error, rel=1e-7)
+    assert math.log(row.or_hi / row.or_lo) == pytest.approx(2 * 1.96 * error, rel=1e-7)
+
+
+def test_repeating_all_rows_only_shrinks_errors(spark):
+    cells = ((1, 9, 6), (0, 7, 11))
+    once = fit(spark, shares(*cells), "x int, y int", "t", ["x"])["x"]
+    many = fit(spark, shares(*[(x, 4 * a, 4 * b) for x, a, b in cells]), "x int, y int", "t", ["x"])
+    assert many["x"].est == pytest.approx(once.est, abs=1e-7)
+    assert many["x"].se == pytest.approx(once.se / 2, rel=1e-6)
+
+
+def test_swapping_the_baseline_turns_the_sign(spark):
+    x, y = shares((1, 12, 5), (0, 8, 21))
+    plain = fit(spark, (x, y), "x int, y int", "t", ["x"])["x"]
+    turned = fit(spark, (1 - x, y), "x int, y int", "t", ["x"])["x"]
+    assert turned.est == pytest.approx(-plain.est, abs=1e-7)
+    assert (turned.or_lo, turned.or_hi) == pytest.approx((1 / plain.or_hi, 1 / plain.or_lo))
+
+
+def test_several_terms_equal_a_row_level_fit(spark):
+    rng = np.random.default_rng(2026)
+    a, b = rng.integers(0, 2, 250), rng.integers(-3, 4, 250).astype(float)
+    y = (rng.random(250) < logistic(0.3 * b - a)).astype(int)
+    table = fit(spark, (a, b, y), "a int, b double, y int", "t", ["a", "b"])
+    beta, se = irls(np.column_stack([np.ones(250), a, b]), y)
+    assert [r.est for r in table.values()] == pytest.approx(beta, abs=1e-7)
+    assert [r.se for r in table.values()] == pytest.approx(se, abs=1e-7)
+    assert table["b"].p == pytest.approx(math.erfc(abs(beta[2] / se[2]) / math.sqrt(2)), abs=1e-8)
+
+
+def test_awkward_models_still_give_a_table(spark):
+    x, y = shares((1, 12, 5), (0, 8, 21))
+    alone = fit(spark, (x, y), "x int, y int", "t", ["x"])
+    twice = fit(spark, (x, 2.0 * x - 1, y), "x int, z double, y int", "t", ["x", "z"])
+    assert list(twice) == list(alone)
+    assert twice["x"].est == pytest.approx(alone["x"].est, abs=1e-9)
+    constant = fit(spark, (x, y * 0), "x int, y int", "t", ["x"])
+    assert [(r.est, r.se, r.odds_ratio) for r in constant.values()] == [(None, None, None)] * 2
+    level = fit(spark, (["one"] * len(y), y), "f string, y int", "t", ["f"], [Factor("f")])
+    assert list(level) == ["(Intercept)"]
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    assert level["(Intercept)"].est == pytest.approx(math.log(n1 / n0))
+    assert level["(Intercept)"].se == pytest.approx(math.sqrt(1 / n1 + 1 / n0))
+
+
+def test_separated_outcomes_are_reported(spark, caplog):
+    x, y = shares((1, 9, 0), (0, 0, 9))
+    with caplog.at_level("WARNING"):
+        table = fit(spark, (x, y), "x int, y int", "t", ["x"])
+    assert table["x"].est > 5 and "did not converge" in caplog.text
 
 
 def test_factor_levels_and_baselines(spark):

@@ -11,7 +11,6 @@ from cohortrail.operators.audit import duplicate_keys, key_overlap, match_audit,
 from cohortrail.operators.density import kernel_density
 from cohortrail.operators.profile import dedup_by_key, top_groups
 from cohortrail.operators.reshape import to_long, to_wide, with_residual
-from cohortrail.operators.sizing import fits_broadcast, restrict_to_keys
 
 
 def keys(spark, values):
@@ -105,14 +104,6 @@ def test_ranked_order(spark):
     assert [r.v for r in df.select(ranked(F.col("x"), ["a", "b"]).alias("v")).collect()] == [2, 1, None]
 
 
-def test_restriction_only_below_the_broadcast_limit(spark, conf):
-    events, wanted = keys(spark, [1, 2, 3]), spark.range(2, 3).withColumnRenamed("id", "k")
-    assert [r.k for r in restrict_to_keys(events, wanted, "k").collect()] == [2]
-    conf(spark__sql__autoBroadcastJoinThreshold="-1")
-    assert not fits_broadcast(wanted)
-    assert restrict_to_keys(events, wanted, "k").count() == 3
-
-
 def density(spark, groups):
     rows = [(g, v) for g, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "g string, age int")

@@ -149,3 +149,32 @@ def test_missing_files_are_listed(spark, tmp_path):
         check_inputs(spark, str(tmp_path))
     assert "patients.csv" in str(error.value)
     assert "tigercensuscodes.csv" not in str(error.value)
+
+
+def write_diagnosis(tmp_path, *lines, part=None):
+    path = tmp_path / "diagnosis.csv"
+    if part:
+        path.mkdir(exist_ok=True)
+        path = path / part
+    path.write_text("\n".join(lines) + "\n")
+    return str(tmp_path)
+
+
+HEADER = "DiagnosisKey,DiagnosisValue,DiagnosisName,GroupCode,GroupName"
+
+
+@pytest.mark.parametrize("record", ['1,a,"broken\nname",g,n', "1,a,short", "1,a,b,c,d,surplus"])
+def test_broken_records_fail_the_load(spark, tmp_path, record):
+    src = write_diagnosis(tmp_path, HEADER, record)
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        load(spark, src, "diagnosis").collect()
+
+
+def test_parts_with_other_headers_fail_the_load(spark, tmp_path):
+    write_diagnosis(tmp_path, HEADER, "1,a,b,c,d", part="a.csv")
+    src = write_diagnosis(tmp_path, HEADER, "2,a,b,c,d", part="b.csv")
+    assert sorted(r.DiagnosisKey for r in load(spark, src, "diagnosis").collect()) == [1, 2]
+    swapped = "DiagnosisValue,DiagnosisKey,DiagnosisName,GroupCode,GroupName"
+    write_diagnosis(tmp_path, swapped, "x,3,b,c,d", part="c.csv")
+    with pytest.raises(Exception, match="(?i)header"):
+        load(spark, src, "diagnosis").collect()
