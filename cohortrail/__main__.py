@@ -18,10 +18,17 @@ def main() -> None:
         "--multiline", nargs="*", default=[], metavar="TABLE",
         help="tables whose quoted fields may hold line breaks",
     )
+    parser.add_argument(
+        "--partitions",
+        help="partitions of an exchange before coalescing: bytes of encounters over 64 MB or more",
+    )
     parser.add_argument("--master", help="Spark master, if spark-submit does not give one")
     args = parser.parse_args()
     logging.basicConfig(level=logging.INFO, format="[%(asctime)s] %(message)s")
-    spark = build_session(master=args.master)
+    conf = {}
+    if args.partitions:
+        conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = args.partitions
+    spark = build_session(master=args.master, **conf)
     run_all(spark, args.src, args.out, args.skip_etl, multiline=args.multiline)
     spark.stop()
 

@@ -15,10 +15,10 @@ def dedup_by_key(df: DataFrame, key: str) -> DataFrame:
 
 
 def grouped_counts(df: DataFrame, by: list[Column], measures: list[Column], count: str) -> DataFrame:
-    """Row count and further measures per group, largest group first."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias(count), *measures).orderBy(
-        F.col(count).desc()
-    )
+    """Row count and further measures per group, largest group first, equal counts by group."""
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias(count), *measures)
+    keys = [F.col(c).asc_nulls_last() for c in counted.columns[: len(by)]]
+    return counted.orderBy(F.col(count).desc(), *keys)
 
 
 def top_groups(df: DataFrame, by: list[str], count: str, k: int) -> DataFrame:

@@ -63,7 +63,7 @@ def transport_status_mix(ws: Workspace) -> DataFrame:
             F.sum("transport_yes").alias("n_ever_yes"),
             F.sum("transport_no").alias("n_ever_no"),
         )
-        .orderBy(F.col("n_patients").desc())
+        .orderBy(F.col("n_patients").desc(), "transport_status")
     )
 
 
@@ -83,14 +83,14 @@ def patient_summary_by_transport(ws: Workspace) -> DataFrame:
         .agg(
             n_rows().alias("n_patients"),
             F.avg("age_proxy").alias("mean_age"),
-            quantile("age_proxy", 0.5).alias("median_age"),
+            quantile("age_proxy", 0.5, ws.study.approx).alias("median_age"),
             F.avg("n_encounters").alias("mean_enc"),
-            quantile("n_encounters", 0.5).alias("median_enc"),
+            quantile("n_encounters", 0.5, ws.study.approx).alias("median_enc"),
             F.avg("n_ed").alias("mean_ed"),
-            quantile("gap_median", 0.5).alias("median_gap_days"),
+            quantile("gap_median", 0.5, ws.study.approx).alias("median_gap_days"),
             *any_visit_shares(),
         )
-        .orderBy(F.col("n_patients").desc())
+        .orderBy(F.col("n_patients").desc(), "transport_status")
     )
 
 
@@ -102,14 +102,14 @@ def headline_by_transport(ws: Workspace) -> DataFrame:
         .agg(
             n_rows().alias("n_patients"),
             F.avg("n_encounters").alias("mean_enc"),
-            quantile("n_encounters", 0.5).alias("median_enc"),
+            quantile("n_encounters", 0.5, ws.study.approx).alias("median_enc"),
             F.avg("n_ed").alias("mean_ed"),
-            quantile("n_ed", 0.5).alias("median_ed"),
+            quantile("n_ed", 0.5, ws.study.approx).alias("median_ed"),
             *any_visit_shares(),
             share(F.col("n_obs") > 0).alias("pct_any_obs"),
             F.avg("age_proxy").alias("mean_age"),
-            quantile("gap_median", 0.5).alias("median_gap_days"),
-            quantile("gap_q75", 0.5).alias("median_gap_q75"),
+            quantile("gap_median", 0.5, ws.study.approx).alias("median_gap_days"),
+            quantile("gap_q75", 0.5, ws.study.approx).alias("median_gap_q75"),
         )
         .orderBy(F.coalesce(ranked(status, ws.study.compared_statuses), F.lit(99)), status)
     )
@@ -139,7 +139,7 @@ def chronic_followup_by_transport(ws: Workspace) -> DataFrame:
     summary = followed.groupBy("GroupCode", status.alias("transport_status")).agg(
         F.min("GroupName").alias("GroupName"),
         n_rows().alias("n_patients"),
-        quantiles(days, [0.25, 0.5, 0.75]).alias("q"),
+        quantiles(days, [0.25, 0.5, 0.75], ws.study.approx).alias("q"),
         share(days <= 30).alias("pct_fu_30"),
         share(days <= 90).alias("pct_fu_90"),
         share(days <= 180).alias("pct_fu_180"),

@@ -89,7 +89,7 @@ def sdoh_patients_per_domain(ws: Workspace) -> DataFrame:
         .where(F.col("Domain").isNotNull())
         .groupBy("Domain")
         .agg(F.count_distinct(PATIENT).alias("n_patients"))
-        .orderBy(F.col("n_patients").desc())
+        .orderBy(F.col("n_patients").desc(), "Domain")
     )
 
 
@@ -123,7 +123,7 @@ def patients_by_birthyearbin(ws: Workspace) -> DataFrame:
 
 def enc_per_patient(ws: Workspace) -> DataFrame:
     per_patient = ws["encounters"].groupBy(PATIENT).agg(F.count(F.lit(1)).alias("n_enc"))
-    return distribution(per_patient, "n_enc", "n_patients")
+    return distribution(per_patient, "n_enc", "n_patients", ws.study.approx)
 
 
 def sdoh_encounter_overlap(ws: Workspace) -> DataFrame:

@@ -36,8 +36,8 @@ SETTINGS = (
 
 # Outcome names of the odds-ratio chart.
 OUTCOMES = (
-    ("any_ED", "Any ED visit (≥1 in 4y)"),
-    ("any_inpatient", "Any inpatient admission (≥1 in 4y)"),
+    ("any_ED", "Any ED visit (≥1 in {years}y)"),
+    ("any_inpatient", "Any inpatient admission (≥1 in {years}y)"),
 )
 
 
@@ -113,7 +113,8 @@ def adjusted_or(coefficients: DataFrame, study: Study) -> DataFrame:
         F.lit(")"),
     )
     model = F.col("model")
-    outcome = F.when(model == OUTCOMES[0][0], OUTCOMES[0][1]).otherwise(OUTCOMES[1][1])
+    titles = [title.format(years=study.years) for _, title in OUTCOMES]
+    outcome = F.when(model == OUTCOMES[0][0], titles[0]).otherwise(titles[1])
     return (
         coefficients.where(F.col("term") == exposure)
         .select(

@@ -64,9 +64,13 @@ RESULT_SCHEMAS = {
 
 @contextmanager
 def timed(label: str) -> Iterator[None]:
-    """Log the seconds a stage took; the stage must write its result inside the block."""
+    """Log the seconds a stage took or failed after; it must write its result inside the block."""
     started = time.perf_counter()
-    yield
+    try:
+        yield
+    except Exception:
+        log.error("[%6.1fs] %s failed", time.perf_counter() - started, label)
+        raise
     log.info("[%6.1fs] %s", time.perf_counter() - started, label)
 
 
@@ -90,7 +94,10 @@ class Run:
     def _store(self, name: str, df: DataFrame) -> None:
         with timed(name):
             write_table(df, self.table_path(name))
-        self.ws.put(name, self._stored(name))
+        stored = self._stored(name)
+        # Parquet keeps row counts in its footers, so this reads no column.
+        log.info("%s: %d rows", name, stored.count())
+        self.ws.put(name, stored)
 
     def _results(self, results: Mapping[str, Callable[[Workspace], DataFrame]]) -> None:
         for name, build in results.items():

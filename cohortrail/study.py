@@ -40,6 +40,12 @@ class Study:
     last_year: int = 2025
     reference_year: int = 2026
     age_range: tuple[int, int] = (0, 100)
+    #: Quantiles from a sketch of fixed size instead of exact ones.
+    approx: bool = False
+
+    @property
+    def years(self) -> int:
+        return self.last_year - self.first_year + 1
 
     @property
     def group_codes(self) -> list[str]:

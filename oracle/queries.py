@@ -159,8 +159,8 @@ FROM coefficients"""
 
 FIG2 = """
 SELECT model, round(odds_ratio, 6) AS odds_ratio, round(or_lo, 6) AS or_lo, round(or_hi, 6) AS or_hi,
-       CASE WHEN model = 'any_ED' THEN 'Any ED visit (≥1 in 4y)'
-            ELSE 'Any inpatient admission (≥1 in 4y)' END AS outcome,
+       CASE WHEN model = 'any_ED' THEN 'Any ED visit (≥1 in 7y)'
+            ELSE 'Any inpatient admission (≥1 in 7y)' END AS outcome,
        printf('OR %.2f (%.2f–%.2f)', odds_ratio, or_lo, or_hi) AS label,
        round(or_hi + (max(or_hi) OVER () - 1) * 0.06::DOUBLE + 0.06::DOUBLE, 6) AS label_x
 FROM coefficients WHERE term = 'transportbarrier'"""
