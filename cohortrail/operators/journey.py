@@ -118,40 +118,54 @@ def follow_up(
 ) -> DataFrame:
     """What follows each index date: next event, events within 30/90/180 days, flagged events.
 
-    Only events strictly after the index count. Every index row is added once as an empty
-    contribution, so rows without later events (or with a NULL entity) keep zeros without a
-    second join. The inner join leaves adaptive execution free to split a hot entity's events,
-    and the exchange after it carries partial counts per index row. Joining null-safe keeps
-    Catalyst from filtering one of the two uses of the index table, which would stop it from
-    computing that table once for both.
+    Only events strictly after the index count. The windows count midnights, so for all days after
+    the index day an event's time does not matter: events are first reduced to (entity, day) with
+    map-side combine, and only those rows go to the entity's index rows, at most one per calendar
+    day however many events an entity has. Times matter on the index day alone; there raw events
+    meet the index rows by (entity, day), which spreads a hot entity over its days. Both parts and
+    one empty contribution per index row, which keeps rows without later events (or with a NULL
+    entity) at zero, are summed by one aggregation. Joining null-safe keeps Catalyst from
+    filtering some uses of the index table, which would stop it from computing that table once
+    for all.
     """
-    later = events.where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(
+    dated = events.where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(
         F.col(entity).alias("e_entity"),
         F.col(ts).alias("e_ts"),
-        (F.col(flag) == 1).alias("flagged"),
+        F.to_date(ts).alias("e_day"),
+        F.when(F.col(flag) == 1, 1).otherwise(0).cast("long").alias("n_flagged"),
     )
-    matched = later.join(
+    days = dated.groupBy("e_entity", "e_day").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("n_flagged").alias("n_flagged"),
+        F.min("e_ts").alias("e_ts"),
+    )
+    same_entity = F.col("e_entity").eqNullSafe(F.col(entity))
+    index_day = F.to_date("index_ts")
+    later_days = days.join(index, same_entity & (F.col("e_day") > index_day))
+    index_days = dated.withColumn("n", F.lit(1).cast("long")).join(
         index,
-        F.col("e_entity").eqNullSafe(F.col(entity)) & (F.col("e_ts") > F.col("index_ts")),
-    ).select(
-        *index.columns,
-        "e_ts",
-        "flagged",
-        days_between(F.col("index_ts"), F.col("e_ts")).alias("elapsed"),
+        same_entity & (F.col("e_day") == index_day) & (F.col("e_ts") > F.col("index_ts")),
     )
+    columns = [*index.columns, "e_ts", "e_day", "n", "n_flagged"]
     empty = index.select(
         *index.columns,
         F.lit(None).cast("timestamp_ntz").alias("e_ts"),
-        F.lit(None).cast("boolean").alias("flagged"),
-        F.lit(None).cast("long").alias("elapsed"),
+        F.lit(None).cast("date").alias("e_day"),
+        F.lit(0).cast("long").alias("n"),
+        F.lit(0).cast("long").alias("n_flagged"),
     )
-    elapsed = F.col("elapsed")
-    counted = matched.unionByName(empty).groupBy(entity, group, name, "index_ts").agg(
+    parts = later_days.select(columns).unionAll(index_days.select(columns)).unionAll(empty)
+    elapsed = days_between(F.col("index_ts"), F.col("e_day"))
+
+    def within(limit: int, measure: str) -> Column:
+        return F.sum(F.when(elapsed <= limit, F.col(measure)).otherwise(0))
+
+    counted = parts.groupBy(entity, group, name, "index_ts").agg(
         F.min("e_ts").alias("first_after_ts"),
-        F.count_if(elapsed <= 30).alias("n_visits_30d"),
-        F.count_if(elapsed <= 90).alias("n_visits_90d"),
-        F.count_if(elapsed <= 180).alias("n_visits_180d"),
-        F.count_if((elapsed <= 180) & F.col("flagged")).alias("n_ed_180d"),
+        within(30, "n").alias("n_visits_30d"),
+        within(90, "n").alias("n_visits_90d"),
+        within(180, "n").alias("n_visits_180d"),
+        within(180, "n_flagged").alias("n_ed_180d"),
     )
     return counted.select(
         entity,

@@ -66,16 +66,19 @@ def person_time_rates(
     """Flagged events, person-years and patients with any flagged event, per period and label.
 
     ``cohort`` holds entity, a numeric label, first_ts and last_ts; both end days count as observed, and an
-    entity without dates counts for every whole period. Flagged events become one fixed-length
-    array of counts per entity, so events are shuffled as partial sums only. Each entity then
-    emits one row per period, observed or not: every label shows all periods without a cross
-    join, and the rows meet a partial aggregation in the same stage.
+    entity without dates counts for every whole period. Flagged events are counted per entity and
+    period, so they are shuffled as partial sums only, and become one map per entity, which holds
+    at most as many counts as the calendar has periods. Each entity then emits one row per period,
+    observed or not: every label shows all periods without a cross join, and the rows meet a
+    partial aggregation in the same stage.
     """
-    position = calendar.position(F.col(ts))
-    counts = (
+    per_period = (
         events.where((F.col(flag) == 1) & calendar.covers(F.col(ts)))
-        .groupBy(entity)
-        .agg(F.array(*[F.count_if(position == i) for i in range(calendar.size)]).alias("counts"))
+        .groupBy(entity, calendar.position(F.col(ts)).cast("int").alias("position"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    counts = per_period.groupBy(entity).agg(
+        F.map_from_entries(F.collect_list(F.struct("position", "n"))).alias("counts")
     )
     # A cohort may list an entity more than once; its time and events then count that often.
     members = cohort.groupBy(entity).agg(
@@ -94,7 +97,7 @@ def person_time_rates(
     )
     start, end = F.col("period_start"), calendar.last_day(F.col("period_start"))
     observed = days_between(F.greatest("first_day", start), F.least(F.col("last_day"), end)) + 1
-    n_events = F.coalesce(F.get("counts", F.col("position")), F.lit(0).cast("long"))
+    n_events = F.coalesce(F.try_element_at("counts", F.col("position")), F.lit(0).cast("long"))
     totals = periods.select(
         label,
         "period_start",

@@ -14,23 +14,29 @@ from cohortrail.workspace import Workspace
 def _top_diagnoses(ws: Workspace, code: str, name: str, k: int) -> DataFrame:
     """The k codes with most encounters, their name and their distinct patients.
 
-    Encounters are counted per diagnosis key before the dimension is joined, so a hot diagnosis
-    is one row there. Patients are then counted for the k codes only; k rows may be broadcast.
+    Encounters are counted per (diagnosis key, patient) before the dimension is joined, so a hot
+    diagnosis is spread by patient and one row per patient there. The counts of the k codes come
+    from the same rows again, which Spark then shuffles once; k rows may be broadcast.
     """
-    encounters = ws["encounters"]
     known = ws["diagnosis_dedup"].where(F.col(code).isNotNull())
-    per_key = encounters.groupBy("PrimaryDiagnosisKey").agg(F.count(F.lit(1)).alias("n"))
+    pairs = ws["encounters"].groupBy("PrimaryDiagnosisKey", PATIENT).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    per_key = pairs.groupBy("PrimaryDiagnosisKey").agg(F.sum("n").alias("n"))
     per_code = with_diagnosis(per_key, known).groupBy(code).agg(
-        F.min(name).alias(name), F.sum("n").alias("n_enc")
+        F.min(name).alias(name), F.sum("n").alias("total")
     )
-    top = per_code.orderBy(F.col("n_enc").desc(), code).limit(k)
+    top = per_code.orderBy(F.col("total").desc(), code).limit(k)
     top_keys = known.select("DiagnosisKey", code).join(F.broadcast(top.select(code)), code)
-    patients = (
-        with_diagnosis(encounters, top_keys)
-        .groupBy(code)
-        .agg(F.count_distinct(PATIENT).alias("n_patients"))
+    per_patient = with_diagnosis(pairs, top_keys).groupBy(code, PATIENT).agg(F.sum("n").alias("n"))
+    counts = per_patient.groupBy(code).agg(
+        F.sum("n").alias("n_enc"), F.count(PATIENT).alias("n_patients")
+    )
+    return (
+        top.join(counts, code)
+        .select(code, name, "n_enc", "n_patients")
+        .orderBy(F.col("n_enc").desc(), code)
     )
-    return top.join(patients, code).orderBy(F.col("n_enc").desc(), code)
 
 
 def top_diag_groups(ws: Workspace) -> DataFrame:

@@ -117,11 +117,15 @@ def chronic_followup(index: DataFrame, encounters: DataFrame) -> DataFrame:
 def attach_patient(
     df: DataFrame, transport: DataFrame, patients: DataFrame, tiger: DataFrame, study: Study
 ) -> DataFrame:
-    """Left-join exposure, demographics and block population; repeated keys fan out."""
+    """Left-join exposure, demographics and block population; repeated keys fan out.
+
+    The population joins the narrow patient rows first, so the wide rows keep their partitioning
+    by patient and never meet on a missing block code.
+    """
     t = transport.select(PATIENT, "transport_status", "transport_yes", "transport_no")
-    p = patients.select(PATIENT, *DEMOGRAPHICS)
     blocks = tiger.select("FipsCode", F.col("Population").alias("block_population"))
-    joined = df.join(t, PATIENT, "left").join(p, PATIENT, "left").join(blocks, "FipsCode", "left")
+    p = patients.select(PATIENT, *DEMOGRAPHICS).join(blocks, "FipsCode", "left")
+    joined = df.join(t, PATIENT, "left").join(p, PATIENT, "left")
     return joined.select(
         *df.columns,
         "transport_status",

@@ -70,9 +70,15 @@ def test_index_table_is_computed_once_for_follow_up(spark):
     assert "ReusedExchange" in plan(df)
 
 
-def test_hot_patient_join_is_split(spark, conf, tmp_path):
-    """One patient with most events: adaptive execution splits the follow-up join, and the
-    result stays the one of the plain run."""
+def test_top_diagnoses_shuffle_encounters_once(spark):
+    df = direct(spark, "eda_top_diag_groups")
+    df.collect()
+    assert "ReusedExchange" in plan(df)
+
+
+def test_hot_patient_follow_up_has_no_straggler(spark, conf, tmp_path):
+    """One patient with most events and adaptive splitting off: only its days go to one task, not its
+    events, and the result is DuckDB's."""
     from pyspark.sql import functions as F
 
     ws = Workspace(source_tables(spark, SF_DIR), SAMPLE_STUDY)
@@ -82,24 +88,27 @@ def test_hot_patient_join_is_split(spark, conf, tmp_path):
     )
     path = str(tmp_path / "hot")
     hot.repartition(16).write.parquet(path)
-
-    def follow():
-        again = Workspace(source_tables(spark, SF_DIR), SAMPLE_STUDY)
-        again.put("encounters", spark.read.parquet(path))
-        return again["chronic_followup"]
-
-    expected = sorted(map(repr, follow().collect()))
+    again = Workspace(source_tables(spark, SF_DIR), SAMPLE_STUDY)
+    again.put("encounters", spark.read.parquet(path))
     conf(
         spark__sql__autoBroadcastJoinThreshold="-1",
-        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
-        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
-        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
-        spark__sql__adaptive__advisoryPartitionSizeInBytes="20KB",
+        spark__sql__adaptive__enabled="false",
     )
-    df = follow()
-    found = sorted(map(repr, df.collect()))
-    assert "skew=true" in plan(df)
-    assert found == expected
+    df = again["chronic_followup"]
+    lines = plan(df).splitlines()
+    below = [
+        following
+        for line, following in zip(lines, lines[1:])
+        if "Exchange hashpartitioning" in line and "e_entity" in line and "e_day" not in line
+    ]
+    # What is exchanged by patient alone is aggregated days, never events.
+    assert below and all("HashAggregate" in line for line in below), lines
+    con = duck(SF_DIR)
+    oracle = driver.oracle_sql()["q28_chronic_followup"]
+    head, sources = "WITH encounters AS (", oracle.index("),\ndiagnosis AS (")
+    assert oracle.startswith(head)
+    replaced = f"{head}SELECT * FROM read_parquet('{path}/*.parquet')" + oracle[sources:]
+    assert_same(df, con.execute(replaced))
 
 
 @pytest.mark.parametrize(
