@@ -105,7 +105,7 @@ def signature_summary(ws: Workspace) -> DataFrame:
 
 
 def adjusted_or(coefficients: DataFrame, study: Study) -> DataFrame:
-    """The exposure term of each model with its interval, label and label position."""
+    """The exposure term of each model with its interval, label, label position and x limit."""
     exposure = "transport" + study.compared_statuses[1]
     ratio_, lo, hi = F.col("odds_ratio"), F.col("or_lo"), F.col("or_hi")
     label = F.concat(
@@ -126,6 +126,7 @@ def adjusted_or(coefficients: DataFrame, study: Study) -> DataFrame:
             label.alias("label"),
             (hi + (over_all(F.max(hi)) - 1) * 0.06 + 0.06).alias("label_x"),
         )
+        .withColumn("x_max", over_all(F.max("label_x")) * 1.08)
         .orderBy("odds_ratio")
     )
 

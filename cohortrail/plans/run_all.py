@@ -13,7 +13,7 @@ from cohortrail.plans import figures
 from cohortrail.plans.compare import ANALYSIS_RESULTS, JOURNEY_RESULTS
 from cohortrail.plans.eda import EDA_RESULTS
 from cohortrail.plans.qa import QA_RESULTS
-from cohortrail.plans.series import SERIES
+from cohortrail.plans.series import SERIES, SERIES_AXES, line_chart_axis
 from cohortrail.sources.raw_csv import RAW_TABLES, check_inputs, load
 from cohortrail.sources.store import (
     read_result,
@@ -34,6 +34,9 @@ JOURNEY_TABLES = [
     "patient_analytic",
 ]
 
+# How the rows of a stored table are ranged over its files: date filters then skip most of them.
+TABLE_ORDER = {"encounters": ("encounter_ts", "EncounterKey")}
+
 # Columns of the result files the figures read back, in the order written.
 RESULT_SCHEMAS = {
     "an_headline_by_transport": (
@@ -61,6 +64,18 @@ RESULT_SCHEMAS = {
     ),
 }
 
+# The same for the rate series, which the axes of their charts read back.
+SERIES_MEASURES = (
+    "cohort string, metric string, value double, n_ed long, person_years double, "
+    "n_patients long, pct_any_ed double"
+)
+SERIES_SCHEMAS = {
+    "ed_by_year": f"year int, {SERIES_MEASURES}",
+    "ed_by_quarter": (
+        f"year int, quarter int, period_start date, t double, period_label string, {SERIES_MEASURES}"
+    ),
+}
+
 
 @contextmanager
 def timed(label: str) -> Iterator[None]:
@@ -93,7 +108,7 @@ class Run:
 
     def _store(self, name: str, df: DataFrame) -> None:
         with timed(name):
-            write_table(df, self.table_path(name))
+            write_table(df, self.table_path(name), TABLE_ORDER.get(name, ()))
         stored = self._stored(name)
         # Parquet keeps row counts in its footers, so this reads no column.
         log.info("%s: %d rows", name, stored.count())
@@ -162,7 +177,13 @@ class Run:
         )
 
     def series(self) -> None:
-        self._results(SERIES)
+        """The rate series, and the axes of their charts from the result files."""
+        self._results({name: SERIES[name] for name in SERIES_SCHEMAS})
+        for name, schema in SERIES_SCHEMAS.items():
+            x, pad = SERIES_AXES[name]
+            read = read_result(self.spark, self.result_path(name), schema)
+            axis = line_chart_axis(read, x, pad)
+            self._results({f"{name}_axis": lambda ws, axis=axis: axis})
 
 
 def run_all(

@@ -87,9 +87,14 @@ def line_chart_axis(series: DataFrame, x: str, pad_share: float | None) -> DataF
     )
 
 
+# The x column of each series and how its axis is padded.
+SERIES_AXES = {"ed_by_year": ("year", None), "ed_by_quarter": ("t", 0.02)}
+
 SERIES = {
     "ed_by_year": ed_by_year,
     "ed_by_quarter": ed_by_quarter,
-    "ed_by_year_axis": lambda ws: line_chart_axis(ed_by_year(ws), "year", None),
-    "ed_by_quarter_axis": lambda ws: line_chart_axis(ed_by_quarter(ws), "t", 0.02),
+    "ed_by_year_axis": lambda ws: line_chart_axis(ed_by_year(ws), *SERIES_AXES["ed_by_year"]),
+    "ed_by_quarter_axis": lambda ws: line_chart_axis(
+        ed_by_quarter(ws), *SERIES_AXES["ed_by_quarter"]
+    ),
 }

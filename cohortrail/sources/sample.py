@@ -23,8 +23,8 @@ SAMPLE_STUDY = Study(
         ("MEDIUM", "Medium"),
         ("PROMO", "Promo"),
     ),
-    first_year=1995,
-    last_year=2001,
+    first_year=1996,
+    last_year=2000,
 )
 
 
@@ -83,10 +83,10 @@ def _encounters(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         F.col("o_orderpriority").alias("Type"),
         flag.alias("VisitType"),
         line.alias("VisitTypeDescription"),
-        F.lit(None).cast("string").alias("AdmissionType"),
-        F.lit(None).cast("string").alias("AdmissionSource"),
+        F.when(line == "F", F.concat(F.lit("Type "), flag)).alias("AdmissionType"),
+        F.concat("o_orderstatus", F.lit(', "'), flag, F.lit('"')).alias("AdmissionSource"),
         admitted.alias("AdmissionInstant"),
-        F.lit(None).cast("timestamp_ntz").alias("DischargeInstant"),
+        F.timestamp_add("HOUR", F.col("l_linenumber"), admitted).alias("DischargeInstant"),
         visit_date.alias("EncounterDate"),
         _flag((flag == "R") & (line == "F") & (quantity <= 6)).alias("IsEdVisit"),
         _flag(flag == "A").alias("IsHospitalAdmission"),
@@ -99,14 +99,17 @@ def _encounters(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def _diagnosis(part: DataFrame) -> DataFrame:
-    """Large sizes get a key no encounter uses; small ones share the key of the part before."""
+    """Large sizes get a key no encounter uses; small ones share the key of the part before.
+
+    There are more groups and values than the top-k reports show."""
     size, key = F.col("p_size"), F.col("p_partkey")
+    group = F.when(size % 2 == 0, F.col("p_type")).otherwise(F.concat_ws(" ", "p_type", "p_brand"))
     return part.select(
         F.when(size > 42, -key).when(size <= 2, key - 1).otherwise(key).alias("DiagnosisKey"),
-        F.col("p_brand").alias("DiagnosisValue"),
+        F.concat_ws(".", "p_brand", (size % 10).cast("string")).alias("DiagnosisValue"),
         F.col("p_name").alias("DiagnosisName"),
-        F.when(size != 13, F.col("p_type")).alias("GroupCode"),
-        F.when(size != 13, F.lower("p_type")).alias("GroupName"),
+        F.when(size != 13, group).alias("GroupCode"),
+        F.when(size != 13, F.lower(group)).alias("GroupName"),
     )
 
 
@@ -122,7 +125,7 @@ def _sdoh(events: DataFrame) -> DataFrame:
         .alias("Domain"),
         F.when(minute < 25, "q_medical")
         .when(minute < 50, "q_daily")
-        .otherwise("q_other")
+        .otherwise(F.concat(F.lit("q_other_"), minute.cast("string")))
         .alias("DisplayName"),
         F.when(value < 2, "Yes")
         .when(value < 6, "No")
@@ -162,50 +165,56 @@ def _tiger(nation: DataFrame) -> DataFrame:
     return nation.select(
         F.when(key == 3, "20").otherwise(key.cast("string")).alias("FipsCode"),
         (key * 1.5).cast("double").alias("lat"),
-        (key * -2.5).cast("double").alias("lon"),
+        (key * 2.5 - 100).cast("double").alias("lon"),
         (1000 * (key + 1)).cast("int").alias("Population"),
     )
 
 
 def _departments(supplier: DataFrame) -> DataFrame:
-    """Suppliers in debt get a key no encounter uses."""
+    """Suppliers in debt get a key no encounter uses. Specialties hold a line break."""
     key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    number = nation.cast("string")
     return supplier.select(
         F.when(F.col("s_acctbal") < 0, -key).otherwise(key).alias("DepartmentKey"),
         F.col("s_name").alias("DepartmentName"),
-        F.lit(None).cast("string").alias("DepartmentSpecialty"),
+        F.when(nation < 20, F.concat(F.lit("Specialty\n"), number)).alias("DepartmentSpecialty"),
         F.when(nation < 12, "*Unknown")
         .when(nation < 16, "ED")
         .otherwise("Normal")
         .alias("DepartmentType"),
-        F.lit(None).cast("string").alias("City"),
-        F.lit(None).cast("string").alias("County"),
-        F.lit(None).cast("string").alias("PostalCode"),
-        F.lit(None).cast("string").alias("DeptCensusTract"),
+        F.concat(F.lit("City, "), number).alias("City"),
+        F.when(nation > 3, F.concat(F.lit('"County" '), number)).alias("County"),
+        F.lpad(number, 5, F.lit("0")).alias("PostalCode"),
+        F.concat(F.lit("00"), key.cast("string")).alias("DeptCensusTract"),
     )
 
 
 def _providers(supplier: DataFrame) -> DataFrame:
+    nation = F.col("s_nationkey")
+    number = nation.cast("string")
     return supplier.select(
         (F.col("s_suppkey") * 10 + 1).alias("ProviderDurableKey"),
         F.col("s_name").alias("ClinicianTitle"),
         F.lit("Physician").alias("ProviderType"),
-        F.lit(None).cast("string").alias("PrimarySpecialty"),
-        F.lit(None).cast("string").alias("PrimaryDepartment"),
-        F.lit(None).cast("string").alias("OfficeCity"),
-        F.lit(None).cast("string").alias("OfficePostalCode"),
+        F.when(nation < 20, F.concat(F.lit("Specialty "), number)).alias("PrimarySpecialty"),
+        F.when(nation > 5, F.concat(F.lit('Dept "'), number, F.lit('"'))).alias("PrimaryDepartment"),
+        F.concat(F.lit("City, "), number).alias("OfficeCity"),
+        F.lpad(number, 5, F.lit("0")).alias("OfficePostalCode"),
     )
 
 
 def write_raw(ws: Workspace, folder: str, names: list[str]) -> None:
-    """Write sample tables as raw CSV files, under the header names and null tokens of those."""
+    """Write sample tables as raw CSV files, under the header names of those. NULLs take turns
+    among the null tokens, by the table's first column."""
     for name in names:
         table = RAW_TABLES[name]
         columns = []
         for field in table.fields:
             text = F.col(field.name).cast("string")
             if table.null_tokens:
-                text = F.coalesce(text, F.lit(table.null_tokens[0]))
+                tokens = F.array(*[F.lit(token) for token in table.null_tokens])
+                turn = F.pmod(F.xxhash64(table.fields[0].name), F.lit(len(table.null_tokens)))
+                text = F.coalesce(text, F.get(tokens, turn.cast("int")))
             columns.append(text.alias(field.headers[-1]))
         path = f"{folder}/{table.file}"
         ws[name].select(*columns).write.option("header", True).option("escape", '"').csv(path)

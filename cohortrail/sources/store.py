@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -12,7 +14,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(hadoop_path)
 
 
-def write_table(df: DataFrame, path: str) -> None:
+def write_table(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """``order`` ranges the rows over the files by these columns, so that filters on the first one
+    skip files and row groups; further columns split a value that many rows share."""
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     df.write.mode("overwrite").parquet(path)
 
 

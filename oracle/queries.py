@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.logit import LOGIT_TABLE
-from oracle.views import with_views
+from oracle.views import SOURCES, with_views
 
 STATUSES = "('no_barrier', 'barrier')"
 STATUS_ORDER = "CASE transport_status WHEN 'no_barrier' THEN 1 WHEN 'barrier' THEN 2 END"
@@ -159,10 +159,12 @@ FROM coefficients"""
 
 FIG2 = """
 SELECT model, round(odds_ratio, 6) AS odds_ratio, round(or_lo, 6) AS or_lo, round(or_hi, 6) AS or_hi,
-       CASE WHEN model = 'any_ED' THEN 'Any ED visit (≥1 in 7y)'
-            ELSE 'Any inpatient admission (≥1 in 7y)' END AS outcome,
+       CASE WHEN model = 'any_ED' THEN 'Any ED visit (≥1 in 5y)'
+            ELSE 'Any inpatient admission (≥1 in 5y)' END AS outcome,
        printf('OR %.2f (%.2f–%.2f)', odds_ratio, or_lo, or_hi) AS label,
-       round(or_hi + (max(or_hi) OVER () - 1) * 0.06::DOUBLE + 0.06::DOUBLE, 6) AS label_x
+       round(or_hi + (max(or_hi) OVER () - 1) * 0.06::DOUBLE + 0.06::DOUBLE, 6) AS label_x,
+       round((max(or_hi) OVER () + (max(or_hi) OVER () - 1) * 0.06::DOUBLE + 0.06::DOUBLE)
+             * 1.08::DOUBLE, 6) AS x_max
 FROM coefficients WHERE term = 'transportbarrier'"""
 
 
@@ -175,7 +177,7 @@ WITH member AS (
 ),
 period AS (
   SELECT CAST(s AS DATE) AS d0, CAST(s + INTERVAL {step} - INTERVAL 1 DAY AS DATE) AS d1
-  FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL {step}) g(s)
+  FROM generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '2000-12-31', INTERVAL {step}) g(s)
 ),
 seen AS (
   SELECT PatientDurableKey, CAST(min(encounter_ts) AS DATE) AS a, CAST(max(encounter_ts) AS DATE) AS z
@@ -415,9 +417,7 @@ QUERIES: dict[str, tuple[list[str], str]] = {
         ["patient_analytic"],
         axis(_unrounded(BY_QUARTER), "t", "(max(t) - min(t)) * 0.02::DOUBLE"),
     ),
-    "csv_patients": (["patients"], whole("patients")),
-    "csv_sdoh": (["sdoh"], whole("sdoh")),
-    "csv_encounters": (["encounters"], whole("encounters")),
+    **{f"csv_{name}": ([name], whole(name)) for name in SOURCES},
 }
 
 ORACLE = {name: with_views(views, body) for name, (views, body) in QUERIES.items()}

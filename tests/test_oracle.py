@@ -45,5 +45,13 @@ def test_sample_meets_every_branch(spark):
     assert enc.where("hour(encounter_ts) > 0").count() > 0
     statuses = {r[0] for r in ws["patient_transport"].select("transport_status").collect()}
     assert statuses == {"barrier", "no_barrier", "declined", "other"}
+    # The top-k reports leave groups out, the calendar leaves flagged events out.
+    known = ws["diagnosis_dedup"].where("DiagnosisKey >= 0")
+    assert known.select("GroupCode").distinct().count() > 41
+    assert known.select("DiagnosisValue").distinct().count() > 61
+    asked = ws["sdoh"].where("Domain = 'Transportation Needs'")
+    assert asked.select("DisplayName", "AnswerText").distinct().count() > 30
+    outside = "IsEdVisit = 1 AND year(encounter_ts) NOT BETWEEN 1996 AND 2000"
+    assert enc.where(outside).count() > 0
     analytic = ws["patient_analytic"]
     assert analytic.count() > analytic.select("PatientDurableKey").distinct().count()

@@ -19,7 +19,7 @@ def done(spark, tmp_path_factory):
     ws = Workspace(source_tables(spark, SF_DIR), SAMPLE_STUDY)
     src, out = tmp_path_factory.mktemp("src"), tmp_path_factory.mktemp("out")
     write_raw(ws, str(src), list(RAW_TABLES))
-    run_all(spark, str(src), str(out), study=SAMPLE_STUDY)
+    run_all(spark, str(src), str(out), study=SAMPLE_STUDY, multiline=["departments"])
     return ws, src, out
 
 
@@ -41,7 +41,7 @@ def test_every_result_is_written(done):
         "qa_row_counts", "qa_diag_join", "eda_fips_coverage", "eda_fips_tiger_match",
         "journey_patient_summary_by_transport", "an_headline_by_transport",
         "an_annualized_rates_by_transport", "an_chronic_followup_by_transport", "fig1_signature",
-        "fig3_setting_mix_wide", "ed_by_quarter",
+        "fig3_setting_mix_wide", "ed_by_quarter", "ed_by_year_axis", "ed_by_quarter_axis",
     ],
 )
 def test_stored_run_equals_direct_query(done, name):
