@@ -157,9 +157,18 @@ class ChunkTokens:
         return out
 
 
-def _bucket_starts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    bounds = (np.arange(buckets, dtype=object) << 64) // buckets
-    return np.searchsorted(keys, np.array(bounds.tolist(), dtype=np.uint64))
+def _bucket_spans(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The buckets that sorted keys fall in, and the span of keys of each.
+
+    A key's bucket is key * buckets / 2**64, in two halves so that nothing overflows; the work
+    follows the keys and not the number of buckets.
+    """
+    n, half = np.uint64(buckets), np.uint64(32)
+    low = keys & np.uint64((1 << 32) - 1)
+    bucket = ((keys >> half) * n + ((low * n) >> half)) >> half
+    starts = np.flatnonzero(np.diff(bucket, prepend=n))
+    stops = np.append(starts, len(keys))[1:]
+    return bucket[starts].astype(np.int32), list(zip(starts.tolist(), stops.tolist(), strict=True))
 
 
 REQUEST = "bucket int, chunk string, part int, keys binary, counts binary"
@@ -170,11 +179,8 @@ def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 tokens = ChunkTokens(batch["body"][k].as_py())
-                starts = _bucket_starts(tokens.keys, buckets)
-                stops = np.append(starts[1:], len(tokens.keys))
-                there = np.flatnonzero(stops > starts)
+                there, spans = _bucket_spans(tokens.keys, buckets)
                 counts = tokens.n.astype(np.uint32)
-                spans = list(zip(starts[there].tolist(), stops[there].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(there, pa.int32()),

@@ -113,7 +113,7 @@ def records_of(row: dict, params: WarcParams) -> list[bytes]:
     ]
     http = ("Content-Type", "application/http; msgtype=response")
     if row["first_page"] is not None and row["first_page"] != row["page_id"]:
-        refers = f"<urn:page:{row['first_page']}>"
+        refers = _record_id(row["first_page"], row["first_print"])
         extra = [("WARC-Profile", _PROFILE), ("WARC-Refers-To", refers), http]
         return [_record([("WARC-Type", "revisit"), *common, *extra], _HTTP)]
     block = _HTTP + chunked(row["payload"], params.chunk_bytes)
@@ -150,9 +150,13 @@ def write_warc(pages: DataFrame, path: str, store: Store, params: WarcParams) ->
     repeated = store.keep(
         rows.where(F.octet_length("payload") >= params.revisit_bytes)
         .groupBy("digest")
-        .agg(F.max("page_id").alias("first_page"), F.count("*").alias("n"))
+        .agg(F.max(F.struct("page_id", "print")).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .drop("n")
+        .select(
+            "digest",
+            F.col("first.page_id").alias("first_page"),
+            F.col("first.print").alias("first_print"),
+        )
     )
     text_batches(pages.sparkSession)
 
@@ -328,7 +332,7 @@ def archive_round_trip(
             F.octet_length("payload").cast("bigint").alias("payload_bytes"),
             F.coalesce("digest", F.sha1("payload")).alias("payload_digest"),
             "record_type",
-            F.expr("try_cast(regexp_extract(refers_to, '<urn:page:(-?[0-9]+)', 1) as bigint)").alias(
+            F.expr("try_cast(regexp_extract(refers_to, '<urn:page:(-?[0-9]+):', 1) as bigint)").alias(
                 "refers_to"
             ),
             "complete",

@@ -13,6 +13,7 @@ from cohortrail.llm.ngram_lm import (
     RETAINED,
     UNSEEN,
     LmParams,
+    _bucket_spans,
     interpolated_scores,
     learn_weights,
     part_of,
@@ -126,3 +127,15 @@ def test_query_beats_unigrams_on_held_out_texts(spark):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
     parts = Counter(r[0] for r in docs.select(part_of()).collect())
     assert parts[UNSEEN] == len(unseen) and parts[DELETED] > 0
+
+
+@pytest.mark.parametrize("buckets", [1, 8, 1000, (1 << 31) - 1])
+def test_buckets_are_even_parts_of_the_hash_range(buckets):
+    rng = np.random.default_rng(buckets)
+    keys = rng.integers(0, 1 << 64, 5000, dtype=np.uint64, endpoint=False)
+    keys = np.unique(np.append(keys, np.array([0, (1 << 64) - 1], dtype=np.uint64)))
+    there, spans = _bucket_spans(keys, buckets)
+    want = [int(k) * buckets >> 64 for k in keys]
+    got = [b for b, (x, y) in zip(there.tolist(), spans, strict=True) for _ in range(x, y)]
+    assert got == want and len(set(there.tolist())) == len(there)
+    assert _bucket_spans(keys[:0], buckets)[1] == []

@@ -68,6 +68,16 @@ def test_payloads_survive_and_damage_shows(spark, tmp_path):
     assert {k for k, r in read.items() if not r.complete} == {"2"} and len(read) == 5
 
 
+def test_revisits_name_a_record_of_the_archive(spark, tmp_path):
+    rows = [(k, f"http://h/{k}", "same" * 1000) for k in range(6)] + [(6, None, "other")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    write_warc(df, str(tmp_path / "warc"), Store(spark, "warc"), SMALL)
+    read = read_warc(spark, str(tmp_path / "warc")).collect()
+    whole = {r.record_id for r in read if r.record_type == "response"}
+    referred = [r.refers_to for r in read if r.record_type == "revisit"]
+    assert len(referred) == 5 and set(referred) <= whole and len(set(referred)) == 1
+
+
 @pytest.mark.parametrize("payload", [b"", b"a", b"\r\n0\r\n\r\n" * 9, bytes(range(256)) * 5])
 @pytest.mark.parametrize("size", [1, 7, 4096])
 def test_chunked_framing(payload, size):
