@@ -161,12 +161,18 @@ def write_warc(pages: DataFrame, path: str, store: Store, params: WarcParams) ->
     text_batches(pages.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
                 [row] = batch.slice(k, 1).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(records_of(row, params), pa.binary())], names=["record"]
-                )
+                records = records_of(row, params)
+                held += records
+                size += sum(map(len, records))
+                if size > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["record"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["record"])
 
     # The text writer puts its separator after each row: here the two line ends that close a
     # record. Casting bytes to text leaves them as they are.
