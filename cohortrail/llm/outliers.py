@@ -12,7 +12,10 @@ distances' quantile is a sketch of fixed accuracy. Estimates meet the rows in a
 whose hot side adaptive execution can split.
 
 Statistics that are constant in most texts (no symbol, no repeated line) have no scatter of their
-own, so each variance is at least ``floors`` squared. Groups with fewer than ``least_rows`` rows
+own, so no standard deviation is below the resolution of measurement: what one more word,
+character, symbol or repeated line, or the least repetition of a window, makes of the statistic in
+a text of the group's median size. It is a maximum, so a statistic that scatters more is not
+touched; the factor that makes up for the left-out rows is that of as many dimensions as do. Groups with fewer than ``least_rows`` rows
 share one pooled estimate; if all of these are too few, the rules alone decide.
 
 Awkward input: a null text has no words and fails the base rule; a null language or source counts
@@ -45,10 +48,10 @@ class OutlierParams:
     support: float = 0.75
     steps: int = 3
     #: Probability beyond the cut-off for texts of a normal distribution.
-    tail: float = 1e-7
+    tail: float = 1e-3
     least_rows: int = 50
     accuracy: int = 2000
-    #: Least standard deviations of VECTOR.
+    #: Standard deviations of VECTOR that minimum_covariance_determinant adds; texts get resolution().
     floors: tuple[float, ...] = (0.5, 0.08, 0.06, 0.15, 0.15)
 
 
@@ -216,6 +219,48 @@ def _covariance(rows: DataFrame, factor: float, floors: tuple[float, ...]) -> Da
     return out.withColumns(scaled)
 
 
+def resolution(stats: DataFrame, params: OutlierParams) -> DataFrame:
+    """f_i of each cell: the least change of each of VECTOR in a text of median size."""
+    sizes = stats.groupBy("cell").agg(
+        *(
+            F.greatest(F.percentile_approx(c, 0.5, params.accuracy), F.lit(1)).alias(c)
+            for c in ("n_words", "word_chars", "n_lines")
+        )
+    )
+    least = (
+        1 / F.col("n_words"),
+        1 / F.col("word_chars"),
+        F.sqrt(1 / F.col("word_chars")),
+        F.sqrt(1 / F.col("n_lines")),
+        # A window of three words that occurs twice covers four words at least.
+        F.sqrt(4 / F.col("n_words")),
+    )
+    return sizes.select("cell", *(value.alias(f"f_{i}") for i, value in enumerate(least)))
+
+
+def _consistency(support: float, degrees: int) -> float:
+    """What the covariance of the ``support`` nearest rows of a normal distribution is short of."""
+    at = chi_square_quantile(support, degrees)
+    return support / _gamma_share(degrees / 2 + 1, at / 2)
+
+
+def _floored_covariance(rows: DataFrame, floors: DataFrame, support: float) -> DataFrame:
+    """Mean and consistent covariance of each cell's nearest rows, variances at least f_i squared."""
+    out = rows.groupBy("cell").agg(
+        *(F.avg(VECTOR[i]).alias(f"m_{i}") for i in range(D)),
+        *(F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS),
+    )
+    least = [F.col(f"f_{i}") * F.col(f"f_{i}") for i in range(D)]
+    factors = [_consistency(support, k) for k in range(1, D + 1)]
+    own = (F.col(f"c_{i}_{i}") * factors[-1] > least[i] for i in range(D))
+    degrees = reduce(lambda a, b: a + b, (x.cast("int") for x in own))
+    factor = F.get(F.array(*(F.lit(x) for x in [1.0, *factors])), degrees)
+    scaled = {f"c_{i}_{j}": F.col(f"c_{i}_{j}") * F.col("factor") for i, j in _PAIRS}
+    for i in range(D):
+        scaled[f"c_{i}_{i}"] = F.greatest(scaled[f"c_{i}_{i}"], least[i])
+    return out.join(floors, "cell").withColumn("factor", factor).withColumns(scaled)
+
+
 def minimum_covariance_determinant(
     rows: DataFrame, params: OutlierParams, store: Store
 ) -> DataFrame:
@@ -254,6 +299,37 @@ def minimum_covariance_determinant(
     return store.keep(estimate)
 
 
+def robust_estimate(
+    rows: DataFrame, floors: DataFrame, params: OutlierParams, store: Store
+) -> DataFrame:
+    """Centre and triangular scatter factor of each ``cell``, with the cells' own floors f_i."""
+    quantiles = rows.groupBy("cell").agg(
+        *(
+            F.percentile_approx(v, [0.16, 0.5, 0.84], params.accuracy).alias(f"q_{i}")
+            for i, v in enumerate(VECTOR)
+        )
+    )
+    spread = [(F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 2 for i in range(D)]
+    estimate = quantiles.join(floors, "cell").select(
+        "cell",
+        *(F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in range(D)),
+        *(
+            (F.greatest(spread[i], F.col(f"f_{i}")) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
+            for i, j in _PAIRS
+        ),
+    )
+    for _ in range(params.steps):
+        estimate = store.keep(estimate)
+        near = _with_distance(rows, estimate)
+        limit = near.groupBy("cell").agg(
+            F.percentile_approx("distance", params.support, params.accuracy).alias("most")
+        )
+        half = near.join(store.keep(limit), "cell").where("distance <= most")
+        covariance = _floored_covariance(half, floors, params.support)
+        estimate = _cholesky(covariance).select("cell", *_ESTIMATE)
+    return store.keep(estimate)
+
+
 def reject_outliers(
     docs: DataFrame, params: OutlierParams | None = None, store: Store | None = None
 ) -> DataFrame:
@@ -278,7 +354,8 @@ def reject_outliers(
     )
     fitted = celled.where("not base_failed")
     enough = fitted.groupBy("cell").agg(F.count("*").alias("rows"))
-    estimate = minimum_covariance_determinant(fitted.select("cell", *VECTOR), params, store)
+    floors = store.keep(resolution(fitted, params))
+    estimate = robust_estimate(fitted.select("cell", *VECTOR), floors, params, store)
     estimate = estimate.join(
         enough.where(F.col("rows") >= params.least_rows).select("cell"), "cell", "left_semi"
     )

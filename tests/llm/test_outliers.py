@@ -120,6 +120,29 @@ def test_hidden_outliers_go_and_the_rest_stays(spark):
     assert all(got[k] for k in range(380, 400))
 
 
+def documents(seed, n):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 6)))
+    return [[word() for _ in range(rng.randint(80, 300))] for _ in range(n)]
+
+
+def test_a_few_symbols_or_repetitions_are_enough_to_go(spark):
+    """No floor hides 8 % symbols or nearly half the words repeated; single ones, and clean texts, stay."""
+    rows = []
+    for k, words in enumerate(documents(7, 300)):
+        if k % 20 == 0:
+            words = [w + "#" * (i % 5 < 2) for i, w in enumerate(words)]
+        elif k % 20 == 1:
+            words = [*words, *words[: 31 * len(words) // 100]]
+        elif k % 20 == 2:
+            words = [*words, "#"]
+        rows.append((k, " ".join(words), "en", "s"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in reject_outliers(df).collect()}
+    assert [k for k, kept in got.items() if not kept and k % 20 > 1] == []
+    assert [k for k, kept in got.items() if kept and k % 20 < 2] == []
+
+
 @pytest.mark.parametrize(("p", "d", "x"), [(0.95, 5, 11.0705), (0.5, 2, 1.3863), (0.999, 1, 10.8276)])
 def test_chi_square(p, d, x):
     assert chi_square_quantile(p, d) == pytest.approx(x, abs=1e-3)
