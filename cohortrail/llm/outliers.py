@@ -1,9 +1,11 @@
 """Quality rules: robust multivariate outliers of text statistics, in DataFrame functions only.
 
 Each text gives base statistics and a vector of transformed ones. Within a language and source the
-minimum-covariance-determinant estimate of centre and scatter is approached by concentration steps
-from medians and quantile ranges: the half-sample (``support`` of the rows) with the smallest
-distances gives the next mean and covariance. A text whose Mahalanobis distance is beyond the
+minimum-covariance-determinant estimate of centre and scatter is approached by concentration steps:
+the half-sample (``support`` of the rows) with the smallest distances gives the next mean and
+covariance, until the determinant no longer falls. There are three starts, all from medians and
+median deviations, which stand up to half of the rows: no correlation, that of the rows' directions,
+and that of values bounded by tanh. Of all steps of all starts the least determinant counts. A text whose Mahalanobis distance is beyond the
 cut-off is rejected.
 
 Statistics are computed within a row: shingles of a text are sorted in an array, never exploded,
@@ -45,8 +47,11 @@ class OutlierParams:
     least_words: int = 50
     #: A text fails when this percentage of its words is in repeated windows.
     repeat_percent: int = 50
-    support: float = 0.75
+    support: float = 0.5
+    #: Of minimum_covariance_determinant; least_determinant goes on until ``least_fall``.
     steps: int = 3
+    #: A fall of the logarithm of a determinant that is none.
+    least_fall: float = 1e-6
     #: Probability beyond the cut-off for texts of a normal distribution.
     tail: float = 1e-3
     least_rows: int = 50
@@ -264,7 +269,11 @@ def _floored_covariance(rows: DataFrame, floors: DataFrame, support: float) -> D
 def minimum_covariance_determinant(
     rows: DataFrame, params: OutlierParams, store: Store
 ) -> DataFrame:
-    """Centre and triangular scatter factor of each ``cell`` of rows with VECTOR columns."""
+    """Centre and triangular scatter factor of each ``cell`` of rows with VECTOR columns.
+
+    Plain concentration from quantile ranges: one start, a fixed number of steps, constants added
+    to the variances. Texts are judged by least_determinant.
+    """
     at = chi_square_quantile(params.support, D)
     factor = params.support / _gamma_share(D / 2 + 1, at / 2)
     quantiles = rows.groupBy("cell").agg(
@@ -299,35 +308,103 @@ def minimum_covariance_determinant(
     return store.keep(estimate)
 
 
-def robust_estimate(
-    rows: DataFrame, floors: DataFrame, params: OutlierParams, store: Store
-) -> DataFrame:
-    """Centre and triangular scatter factor of each ``cell``, with the cells' own floors f_i."""
-    quantiles = rows.groupBy("cell").agg(
+STARTS = ("plain", "directions", "bounded")
+
+
+def _starts(rows: DataFrame, floors: DataFrame, params: OutlierParams, store: Store) -> DataFrame:
+    """Centre and scatter factor of each cell and start; cells are named as in _for_each_start."""
+    medians = rows.groupBy("cell").agg(
+        *(F.percentile_approx(v, 0.5, params.accuracy).alias(f"m_{i}") for i, v in enumerate(VECTOR))
+    )
+    medians = store.keep(medians)
+    deviations = rows.join(medians, "cell").groupBy("cell").agg(
         *(
-            F.percentile_approx(v, [0.16, 0.5, 0.84], params.accuracy).alias(f"q_{i}")
+            F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5, params.accuracy).alias(f"d_{i}")
             for i, v in enumerate(VECTOR)
         )
     )
-    spread = [(F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 2 for i in range(D)]
-    estimate = quantiles.join(floors, "cell").select(
+    # 1.4826 median deviations are a normal distribution's standard deviation.
+    scales = deviations.join(floors, "cell").join(medians, "cell").select(
         "cell",
-        *(F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in range(D)),
+        *(f"m_{i}" for i in range(D)),
+        *(F.greatest(F.col(f"d_{i}") * 1.4826, F.col(f"f_{i}")).alias(f"s_{i}") for i in range(D)),
+    )
+    scales = store.keep(scales)
+    scaled = rows.join(scales, "cell").select(
+        "cell", *(((F.col(v) - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i, v in enumerate(VECTOR))
+    )
+    length = F.sqrt(reduce(lambda a, b: a + b, (F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(D))))
+    forms = {
+        "directions": lambda i: F.col(f"z_{i}") / F.greatest(length, F.lit(1e-9)),
+        "bounded": lambda i: F.tanh(f"z_{i}"),
+    }
+    moments = scaled.groupBy("cell").agg(
         *(
-            (F.greatest(spread[i], F.col(f"f_{i}")) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
+            F.covar_pop(form(i), form(j)).alias(f"{name}_{i}_{j}")
+            for name, form in forms.items()
             for i, j in _PAIRS
-        ),
+        )
     )
-    for _ in range(params.steps):
-        estimate = store.keep(estimate)
-        near = _with_distance(rows, estimate)
+    moments = store.keep(moments.join(scales, "cell"))
+
+    def scatter(name: str) -> DataFrame:
+        def correlation(i: int, j: int) -> Column:
+            if i == j or name == "plain":
+                return F.lit(float(i == j))
+            both = F.sqrt(F.col(f"{name}_{i}_{i}") * F.col(f"{name}_{j}_{j}"))
+            return F.when(both > 0, F.col(f"{name}_{i}_{j}") / both).otherwise(0.0)
+
+        return moments.select(
+            F.concat(F.lit(f"{name} "), "cell").alias("cell"),
+            *(f"m_{i}" for i in range(D)),
+            *((correlation(i, j) * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"c_{i}_{j}") for i, j in _PAIRS),
+        )
+
+    estimates = reduce(DataFrame.unionAll, map(scatter, STARTS))
+    return _cholesky(estimates).select("cell", *_ESTIMATE)
+
+
+def _for_each_start(rows: DataFrame) -> DataFrame:
+    names = F.explode(F.array(*map(F.lit, STARTS)))
+    rows = rows.select(names.alias("start"), *rows.columns)
+    return rows.withColumn("cell", F.concat("start", F.lit(" "), "cell")).drop("start")
+
+
+def least_determinant(
+    rows: DataFrame, floors: DataFrame, params: OutlierParams, store: Store
+) -> DataFrame:
+    """Centre, triangular scatter factor and ``log_det`` of each ``cell``, with its own floors f_i.
+
+    Cells and starts whose determinant has stopped falling take no further part.
+    """
+    log_det = 2 * reduce(lambda a, b: a + b, (F.ln(f"l_{i}_{i}") for i in range(D)))
+    each_row, each_floor = _for_each_start(rows), store.keep(_for_each_start(floors))
+    falling = store.keep(
+        _starts(rows, floors, params, store).withColumn("log_det", F.lit(float("inf")))
+    )
+    steps = []
+    while not falling.isEmpty():
+        near = _with_distance(each_row, falling).where("distance is not null")
         limit = near.groupBy("cell").agg(
             F.percentile_approx("distance", params.support, params.accuracy).alias("most")
         )
         half = near.join(store.keep(limit), "cell").where("distance <= most")
-        covariance = _floored_covariance(half, floors, params.support)
-        estimate = _cholesky(covariance).select("cell", *_ESTIMATE)
-    return store.keep(estimate)
+        covariance = _floored_covariance(half, each_floor, params.support)
+        step = _cholesky(covariance).withColumn("log_det", log_det)
+        before = falling.select("cell", F.col("log_det").alias("before"))
+        step = step.join(before, "cell").select("cell", *_ESTIMATE, "log_det", "before")
+        steps.append(store.keep(step))
+        falling = steps[-1].where(F.col("log_det") < F.col("before") - params.least_fall)
+    if not steps:
+        return falling
+    found = reduce(DataFrame.unionAll, steps)
+    named = F.substring_index("cell", " ", 1)
+    least = found.select(
+        F.expr("substring(cell, locate(' ', cell) + 1)").alias("cell"),
+        F.struct("log_det", named.alias("start"), *_ESTIMATE).alias("estimate"),
+    )
+    least = least.groupBy("cell").agg(F.min("estimate").alias("estimate"))
+    return store.keep(least.select("cell", "estimate.*").drop("start"))
 
 
 def reject_outliers(
@@ -355,7 +432,7 @@ def reject_outliers(
     fitted = celled.where("not base_failed")
     enough = fitted.groupBy("cell").agg(F.count("*").alias("rows"))
     floors = store.keep(resolution(fitted, params))
-    estimate = robust_estimate(fitted.select("cell", *VECTOR), floors, params, store)
+    estimate = least_determinant(fitted.select("cell", *VECTOR), floors, params, store)
     estimate = estimate.join(
         enough.where(F.col("rows") >= params.least_rows).select("cell"), "cell", "left_semi"
     )

@@ -143,6 +143,20 @@ def test_a_few_symbols_or_repetitions_are_enough_to_go(spark):
     assert [k for k, kept in got.items() if kept and k % 20 < 2] == []
 
 
+@pytest.mark.parametrize("share", [0.33, 0.42])
+def test_many_copies_of_one_bad_text_do_not_become_the_rule(spark, share):
+    """Copies with a symbol a word, as a third of a source and as more than that."""
+    clean = documents(8, 300)
+    copies = int(len(clean) * share / (1 - share))
+    bad = " ".join(w + "##" for w in clean[0])
+    rows = [(k, " ".join(words), "en", "s") for k, words in enumerate(clean)]
+    rows += [(1000 + k, bad, "en", "s") for k in range(copies)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in reject_outliers(df).collect()}
+    assert not any(got[1000 + k] for k in range(copies))
+    assert sum(not got[k] for k in range(len(clean))) <= 3
+
+
 @pytest.mark.parametrize(("p", "d", "x"), [(0.95, 5, 11.0705), (0.5, 2, 1.3863), (0.999, 1, 10.8276)])
 def test_chi_square(p, d, x):
     assert chi_square_quantile(p, d) == pytest.approx(x, abs=1e-3)
