@@ -180,7 +180,7 @@ def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
             for k in range(batch.num_rows):
                 tokens = ChunkTokens(batch["body"][k].as_py())
                 there, spans = _bucket_spans(tokens.keys, buckets)
-                counts = tokens.n.astype(np.uint32)
+                counts = tokens.n
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(there, pa.int32()),
@@ -206,23 +206,31 @@ def _decompressed(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    return _compressed(values.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_decompressed(data), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
 def _packed(values: np.ndarray) -> bytes:
-    return _compressed(values.astype(np.uint32).tobytes())
+    """Counts in 64 bits, byte by byte: the high bytes are mostly zero."""
+    return _planes(values.astype(np.int64))
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(_decompressed(data), dtype=np.uint32)
+    return _from_planes(data).view(np.int64)
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as their gaps, byte by byte: the high bytes of gaps are mostly zero."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    return _compressed(gaps.view(np.uint8).reshape(-1, 8).T.tobytes())
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpacked_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(_decompressed(data), dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_from_planes(data), dtype=np.uint64)
 
 
 RESPONSE = "chunk string, bucket int, kept binary, gone binary, types bigint, kept_types bigint"
@@ -232,12 +240,12 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     """Add up the counts of a bucket's keys, and give each chunk those that it asked for."""
     keys = [_unpacked_keys(x) for x in group["keys"]]
     sizes = np.array([len(k) for k in keys])
-    own = np.concatenate([_unpacked(x) for x in group["counts"]]).astype(np.int64)
+    own = np.concatenate([_unpacked(x) for x in group["counts"]])
     part = np.repeat(group["part"].to_numpy(), sizes)
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     kept = np.bincount(place, weights=own * (part == RETAINED), minlength=len(distinct))
     gone = np.bincount(place, weights=own * (part == DELETED), minlength=len(distinct))
-    kept, gone = kept.astype(np.uint32), gone.astype(np.uint32)
+    kept, gone = kept.astype(np.int64), gone.astype(np.int64)
     unigram = (distinct & np.uint64(1)) == 1
     ends = np.cumsum(sizes)
     spans = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
@@ -333,7 +341,7 @@ def _with_counts(chunks: DataFrame, responses: DataFrame) -> DataFrame:
 def _counts_of(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     rows = sorted(batch["counts"][k].as_py(), key=lambda r: r["bucket"])
     return tuple(
-        np.concatenate([_unpacked(r[name]) for r in rows]).astype(np.int64)
+        np.concatenate([_unpacked(r[name]) for r in rows])
         for name in ("kept", "gone")
     )
 

@@ -13,7 +13,11 @@ from cohortrail.llm.ngram_lm import (
     RETAINED,
     UNSEEN,
     LmParams,
+    _answer,
     _bucket_spans,
+    _packed,
+    _packed_keys,
+    _unpacked,
     interpolated_scores,
     learn_weights,
     part_of,
@@ -139,3 +143,18 @@ def test_buckets_are_even_parts_of_the_hash_range(buckets):
     got = [b for b, (x, y) in zip(there.tolist(), spans, strict=True) for _ in range(x, y)]
     assert got == want and len(set(there.tolist())) == len(there)
     assert _bucket_spans(keys[:0], buckets)[1] == []
+
+
+def test_counts_of_a_corpus_need_more_than_32_bits():
+    keys = np.array([3, 8, 11], dtype=np.uint64)
+    rows = [("a", RETAINED, [3_000_000_000, 1, 7]), ("b", RETAINED, [3_000_000_000, 2, 0]),
+            ("c", DELETED, [5_000_000_000, 0, 1 << 32])]
+    group = pd.DataFrame({
+        "bucket": 0, "chunk": [r[0] for r in rows], "part": [r[1] for r in rows],
+        "keys": [_packed_keys(keys)] * 3, "counts": [_packed(np.array(r[2])) for r in rows],
+    })
+    out = _answer(group)
+    for kept, gone in zip(out["kept"], out["gone"], strict=True):
+        assert _unpacked(kept).tolist() == [6_000_000_000, 3, 7]
+        assert _unpacked(gone).tolist() == [5_000_000_000, 0, 1 << 32]
+    assert out["types"].sum() == 2 and out["kept_types"].sum() == 2
