@@ -77,8 +77,103 @@ FROM placed JOIN slots AS a ON a.slot = placed.slot AND a.n = 32
 JOIN slots AS b ON b.slot = placed.slot AND b.n = 31
 """
 
+OP11 = """
+WITH h AS (
+    SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+           list_transform(range(4), lambda k: ('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')),
+                                                              8 * k + 1, 8))::BIGINT) AS h
+    FROM documents),
+c AS (
+    SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                     OR h[3] % 100 >= 90 THEN 'plain'
+                WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM h),
+p AS (
+    SELECT *, '<P>' || substr(t, 1, a) AS pre, '<M>' || substr(t, a + 1, b - a) AS mid,
+           '<S>' || substr(t, b + 1) AS suf
+    FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN pre || suf || mid ELSE suf || pre || mid END)
+           AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value} END"
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return f"sha256({' || '.join(_field(f) for f in fields)})"
+
+
+def _tree(name: str, nodes: str) -> str:
+    """CTEs: every level of the trees over ``nodes`` (k, place, n, node), and each node's siblings."""
+    run = "PARTITION BY lv, k, place // 16 ORDER BY place ROWS BETWEEN"
+    return f"""
+{name} AS (
+    SELECT 0 AS lv, k, place, n, node FROM {nodes}
+    UNION ALL
+    SELECT lv + 1, k, place // 16, any_value((n + 15) // 16), sha256(string_agg(node, '' ORDER BY place))
+    FROM {name} WHERE n > 1 GROUP BY lv, k, place // 16),
+{name}_sides AS (
+    SELECT lv, k, place,
+           coalesce(string_agg(node, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(node, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM {name} WHERE n > 1)"""
+
+
+def _walk(name: str, starts: str, tree: str) -> str:
+    """CTE: every start (id, k, place, node, proof) on its way up; the last level is the top."""
+    return f"""
+{name} AS (
+    SELECT 0 AS lv, id, k, place, node, proof FROM {starts}
+    UNION ALL
+    SELECT w.lv + 1, id, w.k, w.place // 16, sha256(l || node || r), proof || l || r
+    FROM {name} AS w JOIN {tree}_sides AS s ON s.lv = w.lv AND s.k = w.k AND s.place = w.place)"""
+
+
+OP13 = f"""
+WITH RECURSIVE tab AS (
+    SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384)
+                                                        ELSE c >> 1 END, b) ORDER BY b) AS t
+    FROM range(256) AS r(b)),
+d AS (
+    SELECT row_number() OVER () AS id, *, coalesce('1' || source, '0') AS tree, {_leaf("text")} AS leaf,
+           xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)
+               % 5 = 0 AS tampered
+    FROM documents, tab),
+leaves AS (
+    SELECT id, tree AS k, leaf AS node,
+           row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+           count(*) OVER (PARTITION BY tree) AS n
+    FROM d),{_tree("sub", "leaves")},
+sources AS (
+    SELECT 0 AS k, k AS tree, row_number() OVER (ORDER BY k) - 1 AS place, count(*) OVER () AS n, node
+    FROM sub WHERE n = 1),{_tree("top", "sources")},
+bent AS (
+    SELECT id, k, place, '' AS proof,
+           CASE WHEN tampered THEN {_leaf(_ascii_lower("text"))} ELSE node END AS node
+    FROM leaves JOIN d USING (id)),{_walk("up", "bent", "sub")},
+half AS (
+    SELECT id, s.k, s.place, arg_max(up.node, lv) AS node, arg_max(proof, lv) AS proof
+    FROM up JOIN sources AS s ON s.tree = up.k GROUP BY id, s.k, s.place),{_walk("upper", "half", "top")},
+done AS (
+    SELECT id, arg_max(node, lv) AS folded, arg_max(proof, lv) AS proof FROM upper GROUP BY id)
+SELECT doc_id, leaf, sources.node AS subroot, top.node AS root, sha256(proof) AS proof_sha256,
+       folded AS folded_root, folded = top.node AS verified
+FROM d JOIN done USING (id) JOIN sources USING (tree) JOIN top ON top.n = 1
+"""
+
 LLM_ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": OP1,
     "op5_warc_segments": OP5,
     "op10_shard_placement": OP10,
+    "op11_fill_in_middle": OP11,
+    "op13_merkle_manifest": OP13,
 }

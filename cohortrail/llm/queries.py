@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortrail.llm import langid, ngram_lm, pieces, quality_gam, token_rollup
+from cohortrail.llm import (
+    fim,
+    langid,
+    merkle,
+    ngram_lm,
+    pieces,
+    quality_gam,
+    simhash,
+    token_rollup,
+)
 from cohortrail.llm.decontaminate import contained_items
 from cohortrail.llm.neardup import NearDupParams, near_duplicates
 from cohortrail.llm.outliers import reject_outliers
@@ -133,6 +142,32 @@ def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reject_outliers(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document cut for filling in, and of the text rebuilt from that."""
+    cut = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in at most two bits."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root; a fifth of the texts are checked in small letters."""
+    docs = _table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(docs, merkle.ascii_lower(F.col("text")), chosen)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -146,6 +181,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentencepiece,
         op9_robust_outliers,
         op10_shard_placement,
+        op11_fill_in_middle,
+        op12_simhash_near_dedup,
+        op13_merkle_manifest,
     )
 } | {
     "pipeline": corpus_pipeline.run
