@@ -7,6 +7,7 @@ import logging
 
 from cohortrail.plans.run_all import run_all
 from cohortrail.session import build_session
+from cohortrail.study import Study
 
 
 def main() -> None:
@@ -22,6 +23,12 @@ def main() -> None:
         "--partitions",
         help="partitions of an exchange before coalescing: bytes of encounters over 64 MB or more",
     )
+    parser.add_argument(
+        "--buckets", type=int, help="files of a table stored by patient: its bytes over 128 MB"
+    )
+    parser.add_argument(
+        "--approx", action="store_true", help="quantiles from a sketch of fixed size, not exact ones"
+    )
     parser.add_argument("--master", help="Spark master, if spark-submit does not give one")
     args = parser.parse_args()
     logging.basicConfig(level=logging.INFO, format="[%(asctime)s] %(message)s")
@@ -29,7 +36,8 @@ def main() -> None:
     if args.partitions:
         conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = args.partitions
     spark = build_session(master=args.master, **conf)
-    run_all(spark, args.src, args.out, args.skip_etl, multiline=args.multiline)
+    study = Study(approx=args.approx)
+    run_all(spark, args.src, args.out, args.skip_etl, study, args.multiline, args.buckets)
     spark.stop()
 
 

@@ -53,51 +53,49 @@ class Calendar:
         )
 
 
-def person_time_rates(
-    cohort: DataFrame,
-    events: DataFrame,
-    calendar: Calendar,
-    *,
-    entity: str,
-    label: str,
-    ts: str,
-    flag: str,
+def _is_flagged(flag: str, summed: bool) -> Column:
+    return F.col(flag) > 0 if summed else F.col(flag) == 1
+
+
+def observed_entities(
+    events: DataFrame, calendar: Calendar, *, entity: str, ts: str, flag: str, summed: bool = False
 ) -> DataFrame:
-    """Flagged events, person-years and patients with any flagged event, per period and label.
-
-    ``cohort`` holds entity, a numeric label, first_ts and last_ts; both end days count as observed, and an
-    entity without dates counts for every whole period. Flagged events are counted per entity and
-    period, so they are shuffled as partial sums only, and become one map per entity, which holds
-    at most as many counts as the calendar has periods. Each entity then emits one row per period,
-    observed or not: every label shows all periods without a cross join, and the rows meet a
-    partial aggregation in the same stage.
+    """first_ts, last_ts and the flagged events of each period (``counts``, an array) per entity.
+
+    One scan and one exchange of partial sums, a row per entity and task: a column for each period
+    of the calendar stands in for a map gathered per entity. ``summed`` says that rows are days and
+    ``flag`` the number of a day's flagged events.
     """
-    per_period = (
-        events.where((F.col(flag) == 1) & calendar.covers(F.col(ts)))
-        .groupBy(entity, calendar.position(F.col(ts)).cast("int").alias("position"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    counts = per_period.groupBy(entity).agg(
-        F.map_from_entries(F.collect_list(F.struct("position", "n"))).alias("counts")
-    )
-    # A cohort may list an entity more than once; its time and events then count that often.
-    members = cohort.groupBy(entity).agg(
-        F.min(label).alias(label),
-        F.count(F.lit(1)).alias("times"),
-        F.to_date(F.min("first_ts")).alias("first_day"),
-        F.to_date(F.max("last_ts")).alias("last_day"),
+    at, number = calendar.position(F.col(ts)), F.col(flag).cast("long") if summed else F.lit(1)
+    flagged = _is_flagged(flag, summed)
+    counts = [
+        F.sum(F.when(flagged & (at == k), number.cast("long")).otherwise(0))
+        for k in range(calendar.size)
+    ]
+    return events.groupBy(entity).agg(
+        F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.array(*counts).alias("counts")
     )
-    periods = members.join(counts, entity, "left").select(
+
+
+def rates_of_members(members: DataFrame, calendar: Calendar, *, label: str) -> DataFrame:
+    """Flagged events, person-years and members with any flagged event, per period and label.
+
+    ``members`` holds a label, first_ts, last_ts, ``times`` (how often it counts) and ``counts`` per
+    period (NULL: none); both end days count as observed, and a member without dates counts for
+    every whole period. Each emits one row per period, observed or not: every label shows all
+    periods without a cross join, and the rows meet a partial aggregation in the same stage.
+    """
+    periods = members.select(
         label,
         "times",
-        "first_day",
-        "last_day",
+        F.to_date("first_ts").alias("first_day"),
+        F.to_date("last_ts").alias("last_day"),
         "counts",
         F.posexplode(calendar.starts()).alias("position", "period_start"),
     )
     start, end = F.col("period_start"), calendar.last_day(F.col("period_start"))
     observed = days_between(F.greatest("first_day", start), F.least(F.col("last_day"), end)) + 1
-    n_events = F.coalesce(F.try_element_at("counts", F.col("position")), F.lit(0).cast("long"))
+    n_events = F.coalesce(F.get("counts", F.col("position")), F.lit(0).cast("long"))
     totals = periods.select(
         label,
         "period_start",
@@ -119,3 +117,31 @@ def person_time_rates(
         "n_patients",
         ratio(F.col("n_any"), F.col("n_patients")).alias("pct_any"),
     )
+
+
+def person_time_rates(
+    cohort: DataFrame,
+    events: DataFrame,
+    calendar: Calendar,
+    *,
+    entity: str,
+    label: str,
+    ts: str,
+    flag: str,
+    summed: bool = False,
+) -> DataFrame:
+    """Rates of a cohort with dates of its own: entity, a numeric label, first_ts and last_ts.
+
+    A cohort may list an entity more than once; its time and events then count that often. Only
+    flagged events within the calendar are read.
+    """
+    flagged = events.where(_is_flagged(flag, summed) & calendar.covers(F.col(ts)))
+    found = observed_entities(flagged, calendar, entity=entity, ts=ts, flag=flag, summed=summed)
+    members = cohort.groupBy(entity).agg(
+        F.min(label).alias(label),
+        F.count(F.lit(1)).alias("times"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+    )
+    counted = members.join(found.select(entity, "counts"), entity, "left")
+    return rates_of_members(counted, calendar, label=label)

@@ -78,7 +78,7 @@ def chronic_cohort_counts(ws: Workspace) -> DataFrame:
 def patient_summary_by_transport(ws: Workspace) -> DataFrame:
     """All patients; those never screened form the NULL status group."""
     return (
-        analytic_patients(ws)
+        analytic_patients(ws, gaps=True)
         .groupBy("transport_status")
         .agg(
             n_rows().alias("n_patients"),
@@ -97,7 +97,7 @@ def patient_summary_by_transport(ws: Workspace) -> DataFrame:
 def headline_by_transport(ws: Workspace) -> DataFrame:
     status = F.col("transport_status")
     return (
-        screened_patients(ws)
+        screened_patients(ws, gaps=True)
         .groupBy("transport_status")
         .agg(
             n_rows().alias("n_patients"),

@@ -68,16 +68,22 @@ def encounters_by_year(ws: Workspace) -> DataFrame:
 
 
 def encounters_by_depttype(ws: Workspace) -> DataFrame:
-    """Left join on department; the few department types share many encounters, so patients are
-    counted through a (type, patient) exchange, never inside one type's task."""
+    """Left join on department, after encounters are counted per (department, patient): a hot or
+    NULL department is spread by patient before it meets the dimension. The few department types
+    share many encounters, so patients are counted through (type, patient) rows."""
     departments = ws["departments"].select("DepartmentKey", "DepartmentType")
-    visits = ws["encounters"].select("DepartmentKey", PATIENT, "IsEdVisit")
-    return grouped_counts(
-        visits.join(departments, "DepartmentKey", "left"),
-        [F.col("DepartmentType")],
-        [F.count_distinct(PATIENT).alias("n_patients"), F.sum("IsEdVisit").alias("n_ed")],
-        "n_enc",
+    pairs = ws["encounters"].groupBy("DepartmentKey", PATIENT).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("IsEdVisit").alias("n_ed")
+    )
+    per_patient = (
+        pairs.join(departments, "DepartmentKey", "left")
+        .groupBy("DepartmentType", PATIENT)
+        .agg(F.sum("n").alias("n"), F.sum("n_ed").alias("n_ed"))
+    )
+    counted = per_patient.groupBy("DepartmentType").agg(
+        F.sum("n").alias("n_enc"), F.count(PATIENT).alias("n_patients"), F.sum("n_ed").alias("n_ed")
     )
+    return counted.orderBy(F.col("n_enc").desc(), F.col("DepartmentType").asc_nulls_last())
 
 
 def sdoh_domain_coverage(ws: Workspace) -> DataFrame:

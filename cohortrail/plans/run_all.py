@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from collections.abc import Callable, Collection, Iterator, Mapping
 from contextlib import contextmanager
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from cohortrail.plans import figures
 from cohortrail.plans.compare import ANALYSIS_RESULTS, JOURNEY_RESULTS
 from cohortrail.plans.eda import EDA_RESULTS
 from cohortrail.plans.qa import QA_RESULTS
 from cohortrail.plans.series import SERIES, SERIES_AXES, line_chart_axis
+from cohortrail.plans.tables import PATIENT
 from cohortrail.sources.raw_csv import RAW_TABLES, check_inputs, load
 from cohortrail.sources.store import (
+    Buckets,
+    Manifest,
+    input_files,
     read_result,
     read_table,
     table_is_complete,
@@ -30,13 +37,17 @@ log = logging.getLogger("cohortrail")
 # Derived tables written by the load and journey stages, each after those it reads.
 LOAD_TABLES = ["diagnosis_dedup"]
 JOURNEY_TABLES = [
-    "patient_transport", "patient_journey", "patient_gaps", "chronic_index", "chronic_followup",
+    "patient_transport", "patient_days", "patient_journey", "patient_gaps", "chronic_index", "chronic_followup",
     "patient_analytic",
 ]
 
 # How the rows of a stored table are ranged over its files: date filters then skip most of them.
 TABLE_ORDER = {"encounters": ("encounter_ts", "EncounterKey")}
 
+# Tables whose rows are dealt to files by patient: each has few rows to a patient (at most one per
+# calendar day), so that no file is a hot patient's. Encounters stay ranged by time.
+BUCKETED = {"patients", *JOURNEY_TABLES}
+
 # Columns of the result files the figures read back, in the order written.
 RESULT_SCHEMAS = {
     "an_headline_by_transport": (
@@ -90,10 +101,14 @@ def timed(label: str) -> Iterator[None]:
 
 
 class Run:
-    """One output folder: ``tables`` for stored tables, ``results`` for result files."""
+    """One output folder: ``tables`` for stored tables, ``manifests`` for what they were made from,
+    ``results`` for result files."""
 
-    def __init__(self, spark: SparkSession, src: str, out: str, study: Study):
+    def __init__(
+        self, spark: SparkSession, src: str, out: str, study: Study, buckets: int | None = None
+    ):
         self.spark, self.src, self.out = spark, src, out
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         sources = {name: (lambda n=name: self._stored(n)) for name in RAW_TABLES}
         self.ws = Workspace(sources, study)
 
@@ -103,38 +118,95 @@ class Run:
     def result_path(self, name: str) -> str:
         return f"{self.out}/results/{name}.csv"
 
+    def manifest_path(self, name: str) -> str:
+        return f"{self.out}/manifests/{name}.json"
+
+    def manifest(self, name: str) -> Manifest | None:
+        return Manifest.read(self.spark, self.manifest_path(name))
+
+    def _study(self) -> dict[str, object]:
+        """The study's parameters as they read back from a manifest."""
+        return json.loads(json.dumps(asdict(self.ws.study)))
+
+    def _inputs(self, name: str) -> list[list]:
+        """The files a loaded table is read from."""
+        table = RAW_TABLES.get(name)
+        return input_files(self.spark, f"{self.src}/{table.file}") if table else []
+
     def _stored(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.table_path(name))
+        manifest = self.manifest(name)
+        if manifest is None:
+            return read_table(self.spark, self.table_path(name))
+        schema = T.StructType.fromJson(json.loads(manifest.schema))
+        buckets = Buckets(PATIENT, manifest.buckets) if manifest.buckets else None
+        return read_table(self.spark, self.table_path(name), schema, buckets)
 
     def _store(self, name: str, df: DataFrame) -> None:
+        """Write a table and its manifest; the counts in the log are observed by the write."""
+        inputs = self._inputs(name)
+        buckets = Buckets(PATIENT, self.buckets) if name in BUCKETED else None
         with timed(name):
-            write_table(df, self.table_path(name), TABLE_ORDER.get(name, ()))
-        stored = self._stored(name)
-        # Parquet keeps row counts in its footers, so this reads no column.
-        log.info("%s: %d rows", name, stored.count())
-        self.ws.put(name, stored)
+            metrics = write_table(
+                df, self.table_path(name), TABLE_ORDER.get(name, ()), buckets, PATIENT, "encounter_ts"
+            )
+        log.info("%s: %s", name, ", ".join(f"{k} {v}" for k, v in metrics.items()))
+        Manifest(
+            df.schema.json(), self._study(), inputs, metrics, buckets.number if buckets else 0
+        ).write(self.spark, self.manifest_path(name))
+        self.ws.put(name, self._stored(name))
 
     def _results(self, results: Mapping[str, Callable[[Workspace], DataFrame]]) -> None:
         for name, build in results.items():
             with timed(name):
                 write_result(build(self.ws), self.result_path(name))
 
+    def _load(self, name: str, multiline: Collection[str]) -> None:
+        self._store(name, load(self.spark, self.src, name, name in multiline or None))
+
     def load(self, multiline: Collection[str] = ()) -> None:
         check_inputs(self.spark, self.src)
         for name in RAW_TABLES:
-            self._store(name, load(self.spark, self.src, name, name in multiline or None))
+            self._load(name, multiline)
         for name in LOAD_TABLES:
             self._store(name, self.ws[name])
         self._results(QA_RESULTS)
 
-    def use_loaded(self) -> None:
-        """Take the loaded tables of an earlier run."""
+    def stale_tables(self) -> list[str]:
+        """Loaded tables whose source files are there, but are not those it was loaded from."""
+        stale = []
+        for name in RAW_TABLES:
+            inputs, manifest = self._inputs(name), self.manifest(name)
+            if inputs and manifest is not None and not manifest.is_of(inputs):
+                stale.append(name)
+        return stale
+
+    def use_loaded(self, multiline: Collection[str] = ()) -> None:
+        """Take the loaded tables of an earlier run of the same study.
+
+        Tables whose source files have changed since are named and loaded again. Where the source
+        files are gone, the tables are taken as they are.
+        """
         names = [*RAW_TABLES, *LOAD_TABLES]
         absent = [n for n in names if not table_is_complete(self.spark, self.table_path(n))]
         if absent:
             raise FileNotFoundError(f"not loaded yet in {self.out}: {', '.join(absent)}")
         for name in names:
-            self.ws.put(name, self._stored(name))
+            manifest, study = self.manifest(name), self._study()
+            before = study if manifest is None else dict(manifest.study)
+            changed = sorted(k for k in {*study, *before} if study.get(k) != before.get(k))
+            if changed:
+                raise ValueError(
+                    f"{name} in {self.out} is of a study with other parameters: {', '.join(changed)}"
+                )
+        stale = self.stale_tables()
+        for name in names:
+            if name in stale:
+                log.warning("%s: source files have changed, loading again", name)
+                self._load(name, multiline)
+            elif name in LOAD_TABLES and stale:
+                self._store(name, self.ws[name])
+            else:
+                self.ws.put(name, self._stored(name))
 
     def describe(self) -> None:
         self._results(EDA_RESULTS)
@@ -193,12 +265,14 @@ def run_all(
     skip_etl: bool = False,
     study: Study | None = None,
     multiline: Collection[str] = (),
+    buckets: int | None = None,
 ) -> Run:
     """Run every stage; ``skip_etl`` starts from the tables an earlier run loaded, ``multiline``
-    names the tables whose quoted fields may hold line breaks."""
-    run = Run(spark, src, out, study or Study())
+    names the tables whose quoted fields may hold line breaks, ``buckets`` is the number of files
+    of a table stored by patient."""
+    run = Run(spark, src, out, study or Study(), buckets)
     if skip_etl:
-        run.use_loaded()
+        run.use_loaded(multiline)
     else:
         run.load(multiline)
     for stage in (run.describe, run.journey, run.compare, run.figures, run.series):

@@ -6,30 +6,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortrail.functions.columns import ranked
-from cohortrail.operators.persontime import Calendar, person_time_rates
-from cohortrail.plans.tables import PATIENT, screened_patients
+from cohortrail.operators.persontime import (
+    Calendar,
+    observed_entities,
+    person_time_rates,
+    rates_of_members,
+)
+from cohortrail.plans.tables import PATIENT, screened_only, screened_patients
 from cohortrail.workspace import Workspace
 
 METRIC = "ed_per_person_year"
 
 
 def _rates(ws: Workspace, months: int) -> DataFrame:
-    """Rates per period and cohort; cohorts go by number until the rows are few."""
+    """Rates per period and cohort; cohorts go by number until the rows are few.
+
+    With a stored patient table the cohort's dates come from there, and counts from the stored days
+    or else the encounters, which date and flag filters reach. Without, dates and counts come from
+    one scan of the encounters.
+    """
     study = ws.study
+    calendar = Calendar(study.first_year, study.last_year, months)
+    columns = {"entity": PATIENT, "ts": "encounter_ts", "flag": "IsEdVisit"}
+    of_days = {"entity": PATIENT, "ts": "first_ts", "flag": "n_ed", "summed": True}
     status = F.col("transport_status")
-    members = screened_patients(ws).where(status.isin(*study.compared_statuses))
-    cohort = members.select(
-        PATIENT, ranked(status, study.compared_statuses).alias("number"), "first_ts", "last_ts"
-    )
-    rates = person_time_rates(
-        cohort,
-        ws["encounters"],
-        Calendar(study.first_year, study.last_year, months),
-        entity=PATIENT,
-        label="number",
-        ts="encounter_ts",
-        flag="IsEdVisit",
-    )
+    number = ranked(status, study.compared_statuses).alias("number")
+    if ws.is_stored("patient_analytic"):
+        members = screened_patients(ws).where(status.isin(*study.compared_statuses))
+        cohort = members.select(PATIENT, number, "first_ts", "last_ts")
+        events, named = (
+            (ws["patient_days"], of_days)
+            if ws.is_stored("patient_days")
+            else (ws["encounters"], columns)
+        )
+        rates = person_time_rates(cohort, events, calendar, label="number", **named)
+    else:
+        compared = ws["patient_transport"].where(status.isin(*study.compared_statuses))
+        observed = screened_only(observed_entities(ws["encounters"], calendar, **columns), ws)
+        # A patient counts as often as the analytic table has it: per listing and block.
+        blocks = ws["tiger"].select("FipsCode")
+        listed = ws["patients"].select(PATIENT, "FipsCode").join(blocks, "FipsCode", "left")
+        listed = listed.groupBy(PATIENT).agg(F.count(F.lit(1)).alias("rows"))
+        members = (
+            observed.join(compared.select(PATIENT, number), PATIENT)
+            .join(listed, PATIENT, "left")
+            .withColumn("times", F.coalesce("rows", F.lit(1).cast("long")))
+        )
+        rates = rates_of_members(members, calendar, label="number")
     names = F.array(*[F.lit(name) for _, name in study.compared])
     return rates.withColumn("cohort", F.element_at(names, F.col("number")))
 

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from cohortrail.operators.exposure import classify_answers
 from cohortrail.operators.journey import (
+    daily_rollup,
+    entity_profile,
     entity_summary,
     entity_totals,
     first_events,
     follow_up,
-    gap_profile,
+    gaps_of_days,
+    rollup_with_distinct,
 )
 from cohortrail.operators.profile import dedup_by_key
 from cohortrail.study import Study
@@ -57,17 +60,25 @@ def patient_transport(sdoh: DataFrame, study: Study) -> DataFrame:
     )
 
 
+# Distinct values of the journey table and the columns they count.
+SITES = {"n_departments": "DepartmentKey", "n_providers": "ProviderDurableKey"}
+JOURNEY_COUNTS = [*SITES, "n_distinct_days"]
+
+
+def patient_days(encounters: DataFrame) -> DataFrame:
+    """One row per patient and day, which totals, gaps, follow-up and rates are taken from."""
+    return daily_rollup(encounters, entity=PATIENT, ts="encounter_ts", flags=SETTING_FLAGS)
+
+
+def _journey_rows(encounters: DataFrame) -> DataFrame:
+    return rollup_with_distinct(
+        encounters, entity=PATIENT, ts="encounter_ts", flags=SETTING_FLAGS, distinct=SITES
+    )
+
+
 def patient_journey(encounters: DataFrame) -> DataFrame:
     return entity_summary(
-        encounters,
-        entity=PATIENT,
-        ts="encounter_ts",
-        flags=SETTING_FLAGS,
-        distinct={
-            "n_departments": F.col("DepartmentKey"),
-            "n_providers": F.col("ProviderDurableKey"),
-            "n_distinct_days": F.to_date("encounter_ts"),
-        },
+        _journey_rows(encounters), entity=PATIENT, sums=SETTING_FLAGS, counts=JOURNEY_COUNTS
     )
 
 
@@ -76,8 +87,27 @@ def patient_totals(encounters: DataFrame) -> DataFrame:
     return entity_totals(encounters, entity=PATIENT, ts="encounter_ts", flags=SETTING_FLAGS)
 
 
-def patient_gaps(encounters: DataFrame) -> DataFrame:
-    return gap_profile(encounters, entity=PATIENT, ts="encounter_ts")
+def patient_gaps(days: DataFrame) -> DataFrame:
+    return gaps_of_days(days, entity=PATIENT)
+
+
+def _named_gaps(profile: DataFrame) -> DataFrame:
+    """Gaps belong to a named patient: joined by key, they would not meet the NULL patient."""
+    named = F.col(PATIENT).isNotNull()
+    return profile.withColumns({c: F.when(named, F.col(c)) for c in GAP_COLUMNS})
+
+
+def journey_with_gaps(encounters: DataFrame) -> DataFrame:
+    """Journey and gaps of every patient from one exchange of the encounters."""
+    profile = entity_profile(
+        _journey_rows(encounters), entity=PATIENT, sums=SETTING_FLAGS, counts=JOURNEY_COUNTS
+    )
+    return _named_gaps(profile)
+
+
+def totals_with_gaps(days: DataFrame) -> DataFrame:
+    """The same without distinct counts, from the daily rollup."""
+    return _named_gaps(entity_profile(days, entity=PATIENT, sums=SETTING_FLAGS))
 
 
 def with_diagnosis(encounters: DataFrame, diagnosis: DataFrame) -> DataFrame:
@@ -92,9 +122,21 @@ def with_diagnosis(encounters: DataFrame, diagnosis: DataFrame) -> DataFrame:
 
 
 def chronic_index(encounters: DataFrame, diagnosis: DataFrame, study: Study) -> DataFrame:
+    """First encounters per (patient, diagnosis key) meet the dimension, not raw encounters.
+
+    The semi-join names the listed keys once more. Catalyst moves it below the aggregation where
+    their side is small enough to broadcast, so that unlisted encounters are never exchanged;
+    beyond that the hot diagnosis is already spread by patient.
+    """
     listed = diagnosis.where(F.col("GroupCode").isin(*study.group_codes))
+    keys = listed.select(F.col("DiagnosisKey").alias("PrimaryDiagnosisKey"))
+    firsts = (
+        encounters.groupBy(PATIENT, "PrimaryDiagnosisKey")
+        .agg(F.min("encounter_ts").alias("encounter_ts"))
+        .join(keys, "PrimaryDiagnosisKey", "left_semi")
+    )
     return first_events(
-        with_diagnosis(encounters, listed),
+        with_diagnosis(firsts, listed),
         entity=PATIENT,
         ts="encounter_ts",
         group="GroupCode",
@@ -102,7 +144,7 @@ def chronic_index(encounters: DataFrame, diagnosis: DataFrame, study: Study) ->
     )
 
 
-def chronic_followup(index: DataFrame, encounters: DataFrame) -> DataFrame:
+def chronic_followup(index: DataFrame, encounters: DataFrame, days: DataFrame) -> DataFrame:
     return follow_up(
         index,
         encounters,
@@ -111,6 +153,7 @@ def chronic_followup(index: DataFrame, encounters: DataFrame) -> DataFrame:
         group="GroupCode",
         name="GroupName",
         flag="IsEdVisit",
+        days=days.withColumnRenamed("n_ed", "IsEdVisit"),
     )
 
 
@@ -153,47 +196,58 @@ def patient_analytic(
     return attach_patient(journey.join(g, PATIENT, "left"), transport, patients, tiger, study)
 
 
-def analytic_patients(ws: Workspace, screened: bool = False) -> DataFrame:
+def _analytic(ws: Workspace) -> DataFrame:
+    """From stored journey and gap tables, or from one pass over the encounters."""
+    attributes = ws["patient_transport"], ws["patients"], ws["tiger"], ws.study
+    if ws.is_stored("patient_journey") and ws.is_stored("patient_gaps"):
+        return patient_analytic(ws["patient_journey"], ws["patient_gaps"], *attributes)
+    return attach_patient(journey_with_gaps(ws["encounters"]), *attributes)
+
+
+def screened_only(df: DataFrame, ws: Workspace) -> DataFrame:
+    """The rows of patients with an exposure status.
+
+    Without a hint: Catalyst moves this semi-join below the aggregation that made ``df`` where the
+    exposure table is small enough to broadcast, so that other patients' events are neither added up
+    nor exchanged. Beyond that it stays above, on rows of patients or days.
+    """
+    status = ws["patient_transport"].where(F.col("transport_status").isNotNull())
+    return df.join(status.select(PATIENT), PATIENT, "left_semi")
+
+
+def analytic_patients(ws: Workspace, screened: bool = False, gaps: bool = False) -> DataFrame:
     """The patient analytic table as the comparisons read it, optionally screened patients only.
 
-    From the stored table if there is one. Otherwise assembled without the distinct counts, by one
-    plan whatever the sizes: the encounters' partial sums per patient are shuffled, and patients
-    who were never screened leave after their aggregation. Catalyst drops the gap profile where a
-    query does not read it, because that is unique per patient.
+    From the stored table if there is one. Otherwise assembled without the distinct counts, and
+    with gap columns only if asked for: the encounters' partial sums per patient, or per patient
+    and day, are exchanged, by one plan whatever the sizes.
     """
     if ws.is_stored("patient_analytic"):
         analytic = ws["patient_analytic"]
     else:
-        encounters, transport = ws["encounters"], ws["patient_transport"]
-        analytic = patient_analytic(
-            patient_totals(encounters),
-            patient_gaps(encounters),
-            transport,
-            ws["patients"],
-            ws["tiger"],
-            ws.study,
+        rows = ws["patient_days"] if gaps else patient_totals(ws["encounters"])
+        rows = screened_only(rows, ws) if screened else rows
+        summary = totals_with_gaps(rows) if gaps else rows
+        analytic = attach_patient(
+            summary, ws["patient_transport"], ws["patients"], ws["tiger"], ws.study
         )
     return analytic.where(F.col("transport_status").isNotNull()) if screened else analytic
 
 
-def screened_patients(ws: Workspace) -> DataFrame:
+def screened_patients(ws: Workspace, gaps: bool = False) -> DataFrame:
     """The patients with an exposure status."""
-    return analytic_patients(ws, screened=True)
+    return analytic_patients(ws, screened=True, gaps=gaps)
 
 
 DERIVED = {
     "diagnosis_dedup": lambda ws: diagnosis_dedup(ws["diagnosis"]),
+    "patient_days": lambda ws: patient_days(ws["encounters"]),
     "patient_transport": lambda ws: patient_transport(ws["sdoh"], ws.study),
     "patient_journey": lambda ws: patient_journey(ws["encounters"]),
-    "patient_gaps": lambda ws: patient_gaps(ws["encounters"]),
+    "patient_gaps": lambda ws: patient_gaps(ws["patient_days"]),
     "chronic_index": lambda ws: chronic_index(ws["encounters"], ws["diagnosis_dedup"], ws.study),
-    "chronic_followup": lambda ws: chronic_followup(ws["chronic_index"], ws["encounters"]),
-    "patient_analytic": lambda ws: patient_analytic(
-        ws["patient_journey"],
-        ws["patient_gaps"],
-        ws["patient_transport"],
-        ws["patients"],
-        ws["tiger"],
-        ws.study,
+    "chronic_followup": lambda ws: chronic_followup(
+        ws["chronic_index"], ws["encounters"], ws["patient_days"]
     ),
+    "patient_analytic": _analytic,
 }

@@ -17,9 +17,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Split from the advisory partition size up, not only from four times that.
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
-    # Exact quantiles per patient are object aggregates; past this many keys a task sorts instead.
-    # The default of 128 makes every task sort. Their maps are small, about a kilobyte each.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
 }
 
 START_CONF = {

@@ -44,6 +44,72 @@ def test_events_are_aggregated_by_hash(spark, name):
     assert "SortAggregate" not in plan(direct(spark, name))
 
 
+def nodes(plan_node):
+    """All nodes of the plan that ran, in and below adaptive stages."""
+    kind = plan_node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        yield from nodes(plan_node.executedPlan())
+        return
+    yield plan_node
+    if kind.endswith("QueryStageExec"):
+        yield from nodes(plan_node.plan())
+        return
+    children = plan_node.children()
+    for k in range(children.size()):
+        yield from nodes(children.apply(k))
+
+
+def ran(df) -> list:
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return list(nodes(df._jdf.queryExecution().executedPlan()))
+
+
+@pytest.mark.parametrize(
+    "name", ["patient_days", "patient_journey", "patient_gaps", "patient_analytic", "chronic_followup", "ed_by_quarter"]
+)
+def test_no_entity_is_gathered_in_one_value(spark, name):
+    """Per-patient tables hold no object aggregate, whose maps fall back to sorting past a limit."""
+    assert "ObjectHashAggregate" not in plan(direct(spark, name))
+
+
+@pytest.mark.parametrize(
+    "name", ["journey_patient_summary_by_transport", "an_headline_by_transport", "eda_enc_per_patient", "fig5_age_density"]
+)
+def test_no_aggregate_falls_back_to_sorting(spark, name):
+    """Quantiles of groups stay within the default number of keys of an object aggregate."""
+    found = [n.metrics().get("numTasksFallBacked") for n in ran(direct(spark, name))]
+    metrics = [m.get() for m in found if m.isDefined()]
+    assert metrics and all(m.value() == 0 for m in metrics)
+
+
+def exchanges_of(df, column: str) -> list[str]:
+    return [
+        line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line and column in line
+    ]
+
+
+@pytest.mark.parametrize("name", ["patient_journey", "patient_analytic", "an_headline_by_transport", "ed_by_year"])
+def test_encounters_are_read_once(spark, name):
+    scans = re.findall(r"Scan parquet .*l_shipdate", plan(direct(spark, name)))
+    assert len(scans) == 1
+
+
+@pytest.mark.parametrize("name", ["an_setting_mix_by_transport", "an_headline_by_transport", "ed_by_year"])
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_screened_patients_alone_are_added_up_if_their_table_is_small(spark, conf, name, threshold):
+    """The semi-join on exposure stands below the events' aggregation where it can be broadcast, and
+    otherwise on its rows: sums of patients, or their days, which are added up further above."""
+    conf(spark__sql__autoBroadcastJoinThreshold=threshold)
+    df = direct(spark, name)
+    logical = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    semi = next(k for k, line in enumerate(logical) if "LeftSemi" in line)
+    above = [k for k in range(semi) if depth(logical[k]) < depth(logical[semi])]
+    added_up = any("Aggregate [PatientDurableKey" in logical[k] for k in above)
+    assert added_up == (threshold != "-1" or name == "an_headline_by_transport")
+
+
 def test_scan_reads_only_what_the_audit_needs(spark):
     text = plan(direct(spark, "qa_dept_join"))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)

@@ -89,3 +89,123 @@ def test_missing_input_stops_before_any_table(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match=r"patients\.csv"):
         run_all(spark, str(tmp_path), str(tmp_path / "out"))
     assert not (tmp_path / "out").exists()
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "name", ["patient_analytic", "an_chronic_followup_by_transport", "ed_by_year"]
+)
+def test_stored_patient_tables_join_without_exchange(spark, done, conf, name):
+    """Stored by patient, the chain of per-patient tables is not exchanged again by patient, even
+    where no side is small enough to broadcast; a few block codes are."""
+    from cohortrail.plans.catalog import CATALOG
+    from cohortrail.plans.run_all import JOURNEY_TABLES, Run
+    from cohortrail.plans.tables import patient_analytic
+
+    _, src, out = done
+    conf(spark__sql__autoBroadcastJoinThreshold="2KB", spark__sql__adaptive__enabled="false")
+    run = Run(spark, str(src), str(out), SAMPLE_STUDY)
+    for table in [*RAW_TABLES, *JOURNEY_TABLES]:
+        run.ws.put(table, run._stored(table))
+    ws = run.ws
+    if name == "patient_analytic":
+        df = patient_analytic(
+            ws["patient_journey"], ws["patient_gaps"], ws["patient_transport"], ws["patients"],
+            ws["tiger"], ws.study,
+        )
+    else:
+        df = CATALOG[name](ws)
+    text = plan(df)
+    assert "Bucketed: true" in text
+    by_patient = [
+        line for line in text.splitlines()
+        if "Exchange hashpartitioning(PatientDurableKey" in line
+    ]
+    # Patients are narrow rows that come back from their block codes; nothing else is exchanged.
+    assert len(by_patient) <= 1
+    assert "SortMergeJoin" in text
+
+
+def test_manifest_tells_what_a_table_holds(spark, done):
+    from cohortrail.plans.run_all import Run
+
+    ws, src, out = done
+    run = Run(spark, str(src), str(out), SAMPLE_STUDY)
+    manifest = run.manifest("encounters")
+    encounters = ws["encounters"]
+    first, last = encounters.selectExpr("min(encounter_ts)", "max(encounter_ts)").first()
+    assert manifest.metrics["rows"] == encounters.count()
+    assert manifest.metrics["null_keys"] == encounters.where("PatientDurableKey is null").count()
+    assert manifest.metrics["first"].startswith(str(first)) and manifest.metrics["last"].startswith(str(last))
+    assert [name for name, *_ in manifest.inputs] == sorted(
+        p.name for p in (src / RAW_TABLES["encounters"].file).glob("part-*")
+    )
+    assert manifest.study["first_year"] == SAMPLE_STUDY.first_year
+    assert run.manifest("patient_days").buckets == run.buckets
+    days = run._stored("patient_days")
+    assert days.agg({"n": "sum"}).first()[0] == encounters.count()
+
+
+def test_counts_of_a_stored_table_need_no_further_job(spark, tmp_path):
+    """Rows, NULL keys and dates come with the write: as many jobs as the write alone."""
+    from cohortrail.sources.store import write_table
+
+    df = spark.range(1000).selectExpr(
+        "if(id % 10 = 0, null, id) as PatientDurableKey",
+        "cast(date_add(date'2022-01-01', cast(id as int)) as timestamp_ntz) as encounter_ts",
+    )
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for k, write in enumerate(
+        (
+            lambda: df.repartitionByRange("encounter_ts").sortWithinPartitions("encounter_ts")
+            .write.parquet(str(tmp_path / "plain")),
+            lambda: found.update(
+                write_table(df, str(tmp_path / "t"), ["encounter_ts"], key="PatientDurableKey", ts="encounter_ts")
+            ),
+        )
+    ):
+        found = {}
+        spark.sparkContext.setJobGroup(f"write-{k}", "")
+        write()
+        jobs.append(len(tracker.getJobIdsForGroup(f"write-{k}")))
+    spark.sparkContext.setJobGroup("after", "")
+    assert jobs[0] == jobs[1] > 0
+    assert found == {
+        "rows": 1000, "null_keys": 100,
+        "first": "2022-01-01 00:00:00", "last": "2024-09-26 00:00:00",
+    }
+
+
+def test_skip_etl_refuses_another_study(spark, done):
+    from dataclasses import replace
+
+    _, src, out = done
+    other = replace(SAMPLE_STUDY, first_year=1995, yes="Y")
+    with pytest.raises(ValueError, match="first_year, yes"):
+        run_all(spark, str(src), str(out), skip_etl=True, study=other)
+
+
+def test_skip_etl_loads_changed_sources_again(spark, done, tmp_path, caplog):
+    """A table whose source file has changed is named and loaded again, the others are taken."""
+    import shutil
+
+    from cohortrail.plans.run_all import Run
+
+    _, src, out = done
+    new_src, new_out = tmp_path / "src", tmp_path / "out"
+    shutil.copytree(src, new_src, copy_function=shutil.copy2)
+    shutil.copytree(out, new_out, copy_function=shutil.copy2)
+    run = Run(spark, str(new_src), str(new_out), SAMPLE_STUDY)
+    assert run.stale_tables() == []
+    (part, *_) = sorted((new_src / RAW_TABLES["tiger"].file).glob("part-*"))
+    (part.parent / "part-99999.csv").write_text("\n".join(part.read_text().splitlines()[:2]) + "\n")
+    assert run.stale_tables() == ["tiger"]
+    before = run._stored("tiger").count()
+    with caplog.at_level("WARNING"):
+        run.use_loaded(["departments"])
+    assert "tiger: source files have changed" in caplog.text
+    assert run.ws["tiger"].count() == before + 1
+    assert run.stale_tables() == []
