@@ -3,26 +3,32 @@
 Each text gives base statistics and a vector of transformed ones. Within a language and source the
 minimum-covariance-determinant estimate of centre and scatter is approached by concentration steps:
 the half-sample (``support`` of the rows) with the smallest distances gives the next mean and
-covariance, until the determinant no longer falls. There are three starts, all from medians and
-median deviations, which stand up to half of the rows: no correlation, that of the rows' directions,
-and that of values bounded by tanh. Of all steps of all starts the least determinant counts. A text whose Mahalanobis distance is beyond the
-cut-off is rejected.
+covariance. There are three starts, all from medians and median deviations, which stand up to half
+of the rows: no correlation, that of the rows' directions, and that of values bounded by tanh. After
+two steps only the start with the least determinant goes on, until that no longer falls; of all
+steps the least determinant counts. A text whose Mahalanobis distance is beyond the cut-off is
+rejected.
 
 Statistics are computed within a row: shingles of a text are sorted in an array, never exploded,
-so nothing is shuffled for them. Estimates are partial aggregates, one row a group and task; the
-distances' quantile is a sketch of fixed accuracy. Estimates meet the rows in a join on the group,
-whose hot side adaptive execution can split.
+so nothing is shuffled for them. The vectors are stored once, narrow. A step is one pass over them:
+each row's distance puts it into a bin (``bins`` to a doubling), counts and moments of a bin are
+partial sums, and the half-sample is the nearest bins that hold half of the rows, whole. Estimates
+meet the rows in a join on the group, whose hot side adaptive execution can split.
+
+A group with fewer than ``least_rows`` rows that pass the base rule is judged by the estimate of its
+whole language; a language with fewer by that of all documents. If these are too few as well, their
+medians and median deviations judge, without correlation. ``judged_by`` says which one did.
 
 Statistics that are constant in most texts (no symbol, no repeated line) have no scatter of their
 own, so no standard deviation is below the resolution of measurement: what one more word,
 character, symbol or repeated line, or the least repetition of a window, makes of the statistic in
 a text of the group's median size. It is a maximum, so a statistic that scatters more is not
-touched; the factor that makes up for the left-out rows is that of as many dimensions as do. Groups with fewer than ``least_rows`` rows
-share one pooled estimate; if all of these are too few, the rules alone decide.
+touched; the factor that makes up for the left-out rows is that of as many dimensions as do.
 
 Awkward input: a null text has no words and fails the base rule; a null language or source counts
-as an empty one. Repeated rows count and are answered each. Null ids stay. An empty table gives an
-empty result.
+as an empty one. Very long texts are counted whole, in one row. Rows at equal distances are in one
+bin and are taken or left together. Repeated rows count and are answered each. Null ids stay. An
+empty table gives an empty result. Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortrail.llm.shared import Store
@@ -48,16 +54,17 @@ class OutlierParams:
     #: A text fails when this percentage of its words is in repeated windows.
     repeat_percent: int = 50
     support: float = 0.5
-    #: Of minimum_covariance_determinant; least_determinant goes on until ``least_fall``.
-    steps: int = 3
+    #: Steps of every start, before the least determinant goes on alone.
+    first_steps: int = 2
     #: A fall of the logarithm of a determinant that is none.
-    least_fall: float = 1e-6
+    least_fall: float = 1e-3
+    #: Bins of squared distances between a value and its double.
+    bins: int = 32
     #: Probability beyond the cut-off for texts of a normal distribution.
     tail: float = 1e-3
-    least_rows: int = 50
+    #: Rows of a group that has an estimate of its own: five to a dimension.
+    least_rows: int = 25
     accuracy: int = 2000
-    #: Standard deviations of VECTOR that minimum_covariance_determinant adds; texts get resolution().
-    floors: tuple[float, ...] = (0.5, 0.08, 0.06, 0.15, 0.15)
 
 
 VECTOR = ("log_words", "log_word_length", "symbol_rate", "repeated_lines", "repeated_words")
@@ -138,7 +145,7 @@ def base_statistics(docs: DataFrame, params: OutlierParams) -> DataFrame:
     )
 
 
-def _with_vector(stats: DataFrame) -> DataFrame:
+def _vector() -> list[Column]:
     words = F.greatest("n_words", F.lit(1))
     values = (
         F.log1p("n_words"),
@@ -147,7 +154,7 @@ def _with_vector(stats: DataFrame) -> DataFrame:
         F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))),
         F.sqrt(F.col("n_repeat_words") / words),
     )
-    return stats.withColumns(dict(zip(VECTOR, values, strict=True)))
+    return [value.alias(name) for name, value in zip(VECTOR, values, strict=True)]
 
 
 def _gamma_share(shape: float, x: float) -> float:
@@ -196,142 +203,69 @@ def _cholesky(estimate: DataFrame) -> DataFrame:
     return estimate
 
 
-_ESTIMATE = [f"m_{i}" for i in range(D)] + [f"l_{i}_{j}" for i, j in _PAIRS]
+_CENTRE = [f"m_{i}" for i in range(D)]
+_FLOORS = [f"f_{i}" for i in range(D)]
+_ESTIMATE = _CENTRE + [f"l_{i}_{j}" for i, j in _PAIRS]
 
 
-def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def _with_distance(rows: DataFrame, estimate: DataFrame, how: str) -> DataFrame:
     """Squared Mahalanobis distances by forward substitution."""
-    joined = rows.join(estimate.select("cell", *_ESTIMATE), "cell", "left")
+    joined = rows.join(estimate, "cell", how)
     for i in range(D):
         value = F.col(VECTOR[i]) - F.col(f"m_{i}")
         for k in range(i):
             value = value - F.col(f"l_{i}_{k}") * F.col(f"z_{k}")
         joined = joined.withColumn(f"z_{i}", value / F.col(f"l_{i}_{i}"))
     total = reduce(lambda a, b: a + b, (F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(D)))
-    return joined.withColumn("distance", total).select(*rows.columns, "distance")
+    return joined.withColumn("distance", total)
 
 
-def _covariance(rows: DataFrame, factor: float, floors: tuple[float, ...]) -> DataFrame:
-    """Mean and inflated covariance of each cell's rows; variances get their floors added."""
-    out = rows.groupBy("cell").agg(
-        *(F.avg(VECTOR[i]).alias(f"m_{i}") for i in range(D)),
-        *(F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS),
-    )
-    scaled = {
-        f"c_{i}_{j}": F.col(f"c_{i}_{j}") * factor + (floors[i] ** 2 if i == j else 0.0)
-        for i, j in _PAIRS
-    }
-    return out.withColumns(scaled)
+def _consistency(support: float, degrees: int) -> float:
+    """What the covariance of the ``support`` nearest rows of a normal distribution is short of."""
+    at = chi_square_quantile(support, degrees)
+    return support / _gamma_share(degrees / 2 + 1, at / 2)
 
 
-def resolution(stats: DataFrame, params: OutlierParams) -> DataFrame:
-    """f_i of each cell: the least change of each of VECTOR in a text of median size."""
-    sizes = stats.groupBy("cell").agg(
-        *(
-            F.greatest(F.percentile_approx(c, 0.5, params.accuracy), F.lit(1)).alias(c)
-            for c in ("n_words", "word_chars", "n_lines")
-        )
+def _scales(rows: DataFrame, params: OutlierParams, store: Store) -> DataFrame:
+    """Per cell: rows, medians m_i, scales s_i from median deviations, and resolutions f_i, the least
+    change of each of VECTOR in a text of median size."""
+    median = lambda c: F.percentile_approx(c, 0.5, params.accuracy)
+    medians = rows.groupBy("cell").agg(
+        F.count("*").alias("rows"),
+        *(median(v).alias(f"m_{i}") for i, v in enumerate(VECTOR)),
+        *(F.greatest(median(c), F.lit(1)).alias(c) for c in ("word_chars", "n_lines")),
     )
+    # The first of VECTOR rises with the words, so its median is that of the median words.
+    words = F.greatest(F.expm1("m_0"), F.lit(1.0))
     least = (
-        1 / F.col("n_words"),
+        1 / words,
         1 / F.col("word_chars"),
         F.sqrt(1 / F.col("word_chars")),
         F.sqrt(1 / F.col("n_lines")),
         # A window of three words that occurs twice covers four words at least.
-        F.sqrt(4 / F.col("n_words")),
-    )
-    return sizes.select("cell", *(value.alias(f"f_{i}") for i, value in enumerate(least)))
-
-
-def _consistency(support: float, degrees: int) -> float:
-    """What the covariance of the ``support`` nearest rows of a normal distribution is short of."""
-    at = chi_square_quantile(support, degrees)
-    return support / _gamma_share(degrees / 2 + 1, at / 2)
-
-
-def _floored_covariance(rows: DataFrame, floors: DataFrame, support: float) -> DataFrame:
-    """Mean and consistent covariance of each cell's nearest rows, variances at least f_i squared."""
-    out = rows.groupBy("cell").agg(
-        *(F.avg(VECTOR[i]).alias(f"m_{i}") for i in range(D)),
-        *(F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS),
+        F.sqrt(4 / words),
     )
-    least = [F.col(f"f_{i}") * F.col(f"f_{i}") for i in range(D)]
-    factors = [_consistency(support, k) for k in range(1, D + 1)]
-    own = (F.col(f"c_{i}_{i}") * factors[-1] > least[i] for i in range(D))
-    degrees = reduce(lambda a, b: a + b, (x.cast("int") for x in own))
-    factor = F.get(F.array(*(F.lit(x) for x in [1.0, *factors])), degrees)
-    scaled = {f"c_{i}_{j}": F.col(f"c_{i}_{j}") * F.col("factor") for i, j in _PAIRS}
-    for i in range(D):
-        scaled[f"c_{i}_{i}"] = F.greatest(scaled[f"c_{i}_{i}"], least[i])
-    return out.join(floors, "cell").withColumn("factor", factor).withColumns(scaled)
-
-
-def minimum_covariance_determinant(
-    rows: DataFrame, params: OutlierParams, store: Store
-) -> DataFrame:
-    """Centre and triangular scatter factor of each ``cell`` of rows with VECTOR columns.
-
-    Plain concentration from quantile ranges: one start, a fixed number of steps, constants added
-    to the variances. Texts are judged by least_determinant.
-    """
-    at = chi_square_quantile(params.support, D)
-    factor = params.support / _gamma_share(D / 2 + 1, at / 2)
-    quantiles = rows.groupBy("cell").agg(
-        *(
-            F.percentile_approx(v, [0.16, 0.5, 0.84], params.accuracy).alias(f"q_{i}")
-            for i, v in enumerate(VECTOR)
-        )
+    medians = store.keep(
+        medians.select("cell", "rows", *_CENTRE, *(x.alias(f) for x, f in zip(least, _FLOORS, strict=True)))
     )
-    estimate = quantiles.select(
-        "cell",
-        *(F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in range(D)),
-        *(
-            (
-                F.greatest(
-                    (F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 2,
-                    F.lit(params.floors[i]),
-                )
-                if i == j
-                else F.lit(0.0)
-            ).alias(f"l_{i}_{j}")
-            for i, j in _PAIRS
-        ),
+    away = [F.abs(F.col(v) - F.col(f"m_{i}")) for i, v in enumerate(VECTOR)]
+    deviations = rows.join(medians.select("cell", *_CENTRE), "cell").groupBy("cell").agg(
+        *(median(x).alias(f"d_{i}") for i, x in enumerate(away))
     )
-    for _ in range(params.steps):
-        estimate = store.keep(estimate)
-        near = _with_distance(rows, estimate)
-        limit = near.groupBy("cell").agg(
-            F.percentile_approx("distance", params.support, params.accuracy).alias("most")
-        )
-        half = near.join(store.keep(limit), "cell").where("distance <= most")
-        estimate = _cholesky(_covariance(half, factor, params.floors)).select("cell", *_ESTIMATE)
-    return store.keep(estimate)
+    # 1.4826 median deviations are a normal distribution's standard deviation.
+    scales = (F.greatest(F.col(f"d_{i}") * 1.4826, F.col(f"f_{i}")).alias(f"s_{i}") for i in range(D))
+    return store.keep(deviations.join(medians, "cell").select("cell", "rows", *_CENTRE, *_FLOORS, *scales))
 
 
 STARTS = ("plain", "directions", "bounded")
 
 
-def _starts(rows: DataFrame, floors: DataFrame, params: OutlierParams, store: Store) -> DataFrame:
-    """Centre and scatter factor of each cell and start; cells are named as in _for_each_start."""
-    medians = rows.groupBy("cell").agg(
-        *(F.percentile_approx(v, 0.5, params.accuracy).alias(f"m_{i}") for i, v in enumerate(VECTOR))
-    )
-    medians = store.keep(medians)
-    deviations = rows.join(medians, "cell").groupBy("cell").agg(
-        *(
-            F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5, params.accuracy).alias(f"d_{i}")
-            for i, v in enumerate(VECTOR)
-        )
-    )
-    # 1.4826 median deviations are a normal distribution's standard deviation.
-    scales = deviations.join(floors, "cell").join(medians, "cell").select(
+def _starts(rows: DataFrame, scales: DataFrame) -> DataFrame:
+    """Centre and scatter factor of each cell and start."""
+    parts = ("cell", *_CENTRE, *(f"s_{i}" for i in range(D)))
+    scaled = rows.join(scales.select(*parts), "cell").select(
         "cell",
-        *(f"m_{i}" for i in range(D)),
-        *(F.greatest(F.col(f"d_{i}") * 1.4826, F.col(f"f_{i}")).alias(f"s_{i}") for i in range(D)),
-    )
-    scales = store.keep(scales)
-    scaled = rows.join(scales, "cell").select(
-        "cell", *(((F.col(v) - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i, v in enumerate(VECTOR))
+        *(((F.col(v) - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i, v in enumerate(VECTOR)),
     )
     length = F.sqrt(reduce(lambda a, b: a + b, (F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(D))))
     forms = {
@@ -344,102 +278,155 @@ def _starts(rows: DataFrame, floors: DataFrame, params: OutlierParams, store: St
             for name, form in forms.items()
             for i, j in _PAIRS
         )
-    )
-    moments = store.keep(moments.join(scales, "cell"))
-
-    def scatter(name: str) -> DataFrame:
-        def correlation(i: int, j: int) -> Column:
-            if i == j or name == "plain":
-                return F.lit(float(i == j))
-            both = F.sqrt(F.col(f"{name}_{i}_{i}") * F.col(f"{name}_{j}_{j}"))
-            return F.when(both > 0, F.col(f"{name}_{i}_{j}") / both).otherwise(0.0)
-
-        return moments.select(
-            F.concat(F.lit(f"{name} "), "cell").alias("cell"),
-            *(f"m_{i}" for i in range(D)),
-            *((correlation(i, j) * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"c_{i}_{j}") for i, j in _PAIRS),
+    ).join(scales, "cell")
+
+    def correlation(name: str, i: int, j: int) -> Column:
+        if i == j or name == "plain":
+            return F.lit(float(i == j))
+        both = F.sqrt(F.col(f"{name}_{i}_{i}") * F.col(f"{name}_{j}_{j}"))
+        return F.when(both > 0, F.col(f"{name}_{i}_{j}") / both).otherwise(0.0)
+
+    each = F.array(
+        *(
+            F.struct(
+                F.lit(name).alias("start"),
+                *(
+                    (correlation(name, i, j) * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"c_{i}_{j}")
+                    for i, j in _PAIRS
+                ),
+            )
+            for name in STARTS
         )
+    )
+    starts = moments.select("cell", "rows", *_CENTRE, *_FLOORS, F.inline(each))
+    return _cholesky(starts).select("cell", "start", "rows", *_FLOORS, *_ESTIMATE)
 
-    estimates = reduce(DataFrame.unionAll, map(scatter, STARTS))
-    return _cholesky(estimates).select("cell", *_ESTIMATE)
 
+def _log_det() -> Column:
+    return 2 * reduce(lambda a, b: a + b, (F.ln(f"l_{i}_{i}") for i in range(D)))
 
-def _for_each_start(rows: DataFrame) -> DataFrame:
-    names = F.explode(F.array(*map(F.lit, STARTS)))
-    rows = rows.select(names.alias("start"), *rows.columns)
-    return rows.withColumn("cell", F.concat("start", F.lit(" "), "cell")).drop("start")
 
+def concentrate(rows: DataFrame, estimate: DataFrame, params: OutlierParams) -> DataFrame:
+    """The next estimate of each cell and start: mean and consistent covariance of its half-sample,
+    variances at least f_i squared."""
+    bin_ = F.floor(F.log2(F.greatest("distance", F.lit(1e-30))) * params.bins).cast("int")
+    near = _with_distance(rows, estimate, "inner")
+    away = [F.col(VECTOR[i]) - F.col(f"m_{i}") for i in range(D)]
+    binned = near.groupBy("cell", "start", bin_.alias("bin")).agg(
+        F.count("*").alias("n"),
+        *(F.sum(away[i]).alias(f"a_{i}") for i in range(D)),
+        *(F.sum(away[i] * away[j]).alias(f"b_{i}_{j}") for i, j in _PAIRS),
+    )
+    all_bins = Window.partitionBy("cell", "start")
+    nearer = all_bins.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    half = F.ceil(F.sum("n").over(all_bins) * params.support)
+    inside = binned.withColumn("before", F.sum("n").over(nearer) - F.col("n")).withColumn("half", half)
+    sums = inside.where("before < half").groupBy("cell", "start").agg(
+        F.sum("n").alias("n"),
+        *(F.sum(f"a_{i}").alias(f"a_{i}") for i in range(D)),
+        *(F.sum(f"b_{i}_{j}").alias(f"b_{i}_{j}") for i, j in _PAIRS),
+    )
+    known = estimate.select("cell", "start", "rows", *_FLOORS, *_CENTRE, F.col("log_det").alias("before"))
+    found = sums.join(known, ["cell", "start"])
+    share = [F.col(f"a_{i}") / F.col("n") for i in range(D)]
+    plain = {f"c_{i}_{j}": F.col(f"b_{i}_{j}") / F.col("n") - share[i] * share[j] for i, j in _PAIRS}
+    found = found.withColumns(plain)
+    least = [F.col(f) * F.col(f) for f in _FLOORS]
+    factors = [_consistency(params.support, k) for k in range(1, D + 1)]
+    own = (F.col(f"c_{i}_{i}") * factors[-1] > least[i] for i in range(D))
+    degrees = reduce(lambda a, b: a + b, (x.cast("int") for x in own))
+    factor = F.get(F.array(*(F.lit(x) for x in [1.0, *factors])), degrees)
+    scaled = {f"c_{i}_{j}": F.col(f"c_{i}_{j}") * F.col("factor") for i, j in _PAIRS}
+    for i in range(D):
+        scaled[f"c_{i}_{i}"] = F.greatest(scaled[f"c_{i}_{i}"], least[i])
+    moved = {f"m_{i}": F.col(f"m_{i}") + share[i] for i in range(D)}
+    return (
+        _cholesky(found.withColumn("factor", factor).withColumns(scaled).withColumns(moved))
+        .withColumn("log_det", _log_det())
+        .select("cell", "start", "rows", *_FLOORS, *_ESTIMATE, "log_det", "before")
+    )
 
-def least_determinant(
-    rows: DataFrame, floors: DataFrame, params: OutlierParams, store: Store
-) -> DataFrame:
-    """Centre, triangular scatter factor and ``log_det`` of each ``cell``, with its own floors f_i.
 
-    Cells and starts whose determinant has stopped falling take no further part.
+def _least(found: DataFrame) -> DataFrame:
+    """Of each cell the estimate with the least determinant."""
+    rest = [c for c in found.columns if c not in ("cell", "log_det")]
+    least = found.groupBy("cell").agg(F.min(F.struct("log_det", *rest)).alias("estimate"))
+    return least.select("cell", "estimate.*")
+
+
+def least_determinant(rows: DataFrame, params: OutlierParams, store: Store) -> DataFrame:
+    """Centre, triangular scatter factor and ``log_det`` of each ``cell`` of rows with VECTOR, word_chars
+    and n_lines.
+
+    Cells with fewer than ``least_rows`` rows have medians and scales without correlation. Cells whose
+    determinant has stopped falling take no further part.
     """
-    log_det = 2 * reduce(lambda a, b: a + b, (F.ln(f"l_{i}_{i}") for i in range(D)))
-    each_row, each_floor = _for_each_start(rows), store.keep(_for_each_start(floors))
-    falling = store.keep(
-        _starts(rows, floors, params, store).withColumn("log_det", F.lit(float("inf")))
-    )
-    steps = []
+    scales = _scales(rows, params, store)
+    starts = _starts(rows, scales).withColumn("log_det", F.lit(float("inf")))
+    starts = store.keep(starts)
+    enough = F.col("rows") >= params.least_rows
+    few = starts.where(~enough & (F.col("start") == STARTS[0])).withColumn("before", F.col("log_det"))
+    found = [few.select("cell", "start", "rows", *_FLOORS, *_ESTIMATE, "log_det", "before")]
+    falling = starts.where(enough)
+    for _ in range(params.first_steps):
+        found.append(store.keep(concentrate(rows, falling, params)))
+        falling = found[-1]
+    falling = _least(falling)
     while not falling.isEmpty():
-        near = _with_distance(each_row, falling).where("distance is not null")
-        limit = near.groupBy("cell").agg(
-            F.percentile_approx("distance", params.support, params.accuracy).alias("most")
-        )
-        half = near.join(store.keep(limit), "cell").where("distance <= most")
-        covariance = _floored_covariance(half, each_floor, params.support)
-        step = _cholesky(covariance).withColumn("log_det", log_det)
-        before = falling.select("cell", F.col("log_det").alias("before"))
-        step = step.join(before, "cell").select("cell", *_ESTIMATE, "log_det", "before")
-        steps.append(store.keep(step))
-        falling = steps[-1].where(F.col("log_det") < F.col("before") - params.least_fall)
-    if not steps:
-        return falling
-    found = reduce(DataFrame.unionAll, steps)
-    named = F.substring_index("cell", " ", 1)
-    least = found.select(
-        F.expr("substring(cell, locate(' ', cell) + 1)").alias("cell"),
-        F.struct("log_det", named.alias("start"), *_ESTIMATE).alias("estimate"),
+        found.append(store.keep(concentrate(rows, falling, params)))
+        falling = found[-1].where(F.col("log_det") < F.col("before") - params.least_fall)
+    return store.keep(_least(reduce(DataFrame.unionByName, found)).select("cell", *_ESTIMATE, "log_det"))
+
+
+def _cells(passed: DataFrame, params: OutlierParams, store: Store) -> DataFrame:
+    """Per language and source: ``cell`` and ``judged_by`` of its estimate, and all the cells ``fits``
+    whose estimates its rows take part in."""
+    groups = store.keep(passed.groupBy("lang", "source").agg(F.count("*").alias("n")))
+    languages = store.keep(
+        groups.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.min("n").alias("smallest"))
+    )
+    # One row: whether any language is too small for an estimate of its own.
+    rare = languages.agg(F.coalesce(F.min("of_lang") < params.least_rows, F.lit(False))).first()[0]
+
+    def name(*parts) -> Column:
+        return F.to_json(F.array(*parts))
+
+    own, whole = F.col("n") >= params.least_rows, F.col("of_lang") >= params.least_rows
+    group = F.when(own, name(F.lit("group"), "lang", "source"))
+    language = F.when(whole, name(F.lit("language"), "lang"))
+    everything = name(F.lit("all"))
+    fits = F.array(
+        group, F.when(F.col("smallest") < params.least_rows, language), F.when(F.lit(rare), everything)
+    )
+    return groups.join(languages, "lang").select(
+        "lang",
+        "source",
+        F.coalesce(group, language, everything).alias("cell"),
+        F.when(own, "group").when(whole, "language").otherwise("all").alias("judged_by"),
+        F.array_compact(fits).alias("fits"),
     )
-    least = least.groupBy("cell").agg(F.min("estimate").alias("estimate"))
-    return store.keep(least.select("cell", "estimate.*").drop("start"))
 
 
 def reject_outliers(
     docs: DataFrame, params: OutlierParams | None = None, store: Store | None = None
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang, source): doc_id, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, kept and the squared distance."""
+    n_dup_lines, n_repeat_words, base_failed, kept, the squared distance and judged_by."""
     params = params or OutlierParams()
     store = store or Store(docs.sparkSession, "outliers")
     stats = store.keep(base_statistics(docs, params))
-    passed = stats.where("not base_failed")
-    large = store.keep(
-        passed.groupBy("lang", "source")
-        .agg(F.count("*").alias("rows"))
-        .where(F.col("rows") >= params.least_rows)
-        .withColumn("cell", F.struct("lang", "source"))
-        .drop("rows")
-    )
-    pooled = F.struct(F.lit("").alias("lang"), F.lit("").alias("source"))
-    celled = (
-        _with_vector(stats)
-        .join(large, ["lang", "source"], "left")
-        .withColumn("cell", F.to_json(F.struct(F.col("cell").isNull(), F.coalesce("cell", pooled))))
-    )
-    fitted = celled.where("not base_failed")
-    enough = fitted.groupBy("cell").agg(F.count("*").alias("rows"))
-    floors = store.keep(resolution(fitted, params))
-    estimate = least_determinant(fitted.select("cell", *VECTOR), floors, params, store)
-    estimate = estimate.join(
-        enough.where(F.col("rows") >= params.least_rows).select("cell"), "cell", "left_semi"
+    cells = _cells(stats.where("not base_failed"), params, store)
+    celled = store.keep(stats.join(cells, ["lang", "source"], "left"))
+    fitted = celled.where("not base_failed").select(
+        F.explode("fits").alias("cell"), *_vector(), "word_chars", "n_lines"
     )
+    estimate = least_determinant(store.keep(fitted), params, store)
     cut = chi_square_quantile(1 - params.tail, D)
-    return _with_distance(celled, store.keep(estimate)).select(
+    judged = _with_distance(celled.select("*", *_vector()), estimate, "left")
+    return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"),
         "distance",
+        F.when(~F.col("base_failed"), F.col("judged_by")).alias("judged_by"),
     )
