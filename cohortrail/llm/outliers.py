@@ -182,6 +182,8 @@ def chi_square_quantile(p: float, degrees: int) -> float:
 
 
 D = len(VECTOR)
+#: Parts of a cell in a join with what is known of it.
+SALTS = 16
 _PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
 
@@ -208,9 +210,8 @@ _FLOORS = [f"f_{i}" for i in range(D)]
 _ESTIMATE = _CENTRE + [f"l_{i}_{j}" for i, j in _PAIRS]
 
 
-def _with_distance(rows: DataFrame, estimate: DataFrame, how: str) -> DataFrame:
-    """Squared Mahalanobis distances by forward substitution."""
-    joined = rows.join(estimate, "cell", how)
+def _with_distance(joined: DataFrame) -> DataFrame:
+    """Squared Mahalanobis distances, by forward substitution, of rows with their estimate."""
     for i in range(D):
         value = F.col(VECTOR[i]) - F.col(f"m_{i}")
         for k in range(i):
@@ -220,6 +221,13 @@ def _with_distance(rows: DataFrame, estimate: DataFrame, how: str) -> DataFrame:
     return joined.withColumn("distance", total)
 
 
+def _met(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows with what is known of their cell. Both are salted, so that where the cells are too many to
+    be broadcast, a cell with a third of the rows is spread over tasks."""
+    each = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(each, ["cell", "salt"])
+
+
 def _consistency(support: float, degrees: int) -> float:
     """What the covariance of the ``support`` nearest rows of a normal distribution is short of."""
     at = chi_square_quantile(support, degrees)
@@ -249,7 +257,7 @@ def _scales(rows: DataFrame, params: OutlierParams, store: Store) -> DataFrame:
         medians.select("cell", "rows", *_CENTRE, *(x.alias(f) for x, f in zip(least, _FLOORS, strict=True)))
     )
     away = [F.abs(F.col(v) - F.col(f"m_{i}")) for i, v in enumerate(VECTOR)]
-    deviations = rows.join(medians.select("cell", *_CENTRE), "cell").groupBy("cell").agg(
+    deviations = _met(rows, medians.select("cell", *_CENTRE)).groupBy("cell").agg(
         *(median(x).alias(f"d_{i}") for i, x in enumerate(away))
     )
     # 1.4826 median deviations are a normal distribution's standard deviation.
@@ -263,7 +271,7 @@ STARTS = ("plain", "directions", "bounded")
 def _starts(rows: DataFrame, scales: DataFrame) -> DataFrame:
     """Centre and scatter factor of each cell and start."""
     parts = ("cell", *_CENTRE, *(f"s_{i}" for i in range(D)))
-    scaled = rows.join(scales.select(*parts), "cell").select(
+    scaled = _met(rows, scales.select(*parts)).select(
         "cell",
         *(((F.col(v) - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i, v in enumerate(VECTOR)),
     )
@@ -310,7 +318,7 @@ def concentrate(rows: DataFrame, estimate: DataFrame, params: OutlierParams) ->
     """The next estimate of each cell and start: mean and consistent covariance of its half-sample,
     variances at least f_i squared."""
     bin_ = F.floor(F.log2(F.greatest("distance", F.lit(1e-30))) * params.bins).cast("int")
-    near = _with_distance(rows, estimate, "inner")
+    near = _with_distance(_met(rows, estimate))
     away = [F.col(VECTOR[i]) - F.col(f"m_{i}") for i in range(D)]
     binned = near.groupBy("cell", "start", bin_.alias("bin")).agg(
         F.count("*").alias("n"),
@@ -361,6 +369,8 @@ def least_determinant(rows: DataFrame, params: OutlierParams, store: Store) -> D
     Cells with fewer than ``least_rows`` rows have medians and scales without correlation. Cells whose
     determinant has stopped falling take no further part.
     """
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    rows = store.keep(rows.withColumn("salt", salt))
     scales = _scales(rows, params, store)
     starts = _starts(rows, scales).withColumn("log_det", F.lit(float("inf")))
     starts = store.keep(starts)
@@ -420,9 +430,9 @@ def reject_outliers(
     fitted = celled.where("not base_failed").select(
         F.explode("fits").alias("cell"), *_vector(), "word_chars", "n_lines"
     )
-    estimate = least_determinant(store.keep(fitted), params, store)
+    estimate = least_determinant(fitted, params, store)
     cut = chi_square_quantile(1 - params.tail, D)
-    judged = _with_distance(celled.select("*", *_vector()), estimate, "left")
+    judged = _with_distance(celled.select("*", *_vector()).join(estimate, "cell", "left"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed",
