@@ -7,19 +7,25 @@ under its identifier and counts only once its commit mark stands, which is put l
 is lost half way is run again under the same identifier, and a batch that is committed already is
 left alone.
 
-Only documents that a batch names are looked up in the log. Sums are partial before the shuffle,
-so a source with a third of all rows is one row a task.
+Only log rows of documents that a batch names are added up, behind a semi-join on its ids. Sums are
+partial before the shuffle, so a source with a third of all rows is one row a task.
+
+Very long texts are encoded whole. Runs of a thousand or more blanks or line ends are cut out first, by
+the rule that the pattern itself follows, and merged on their own: the pattern's look-ahead would
+overflow its stack in a run of a million.
 
 Awkward input: a null text has no tokens, a null source or language is a group of its own. Rows
 with a null id are one document without a name. A repeated change counts once; of different
 changes of one document and tokenizer in a batch a delete wins, else the largest count. Inserting
 a document that is there revises it; deleting or revising one that is not there takes back
-nothing. An empty batch commits and changes nothing.
+nothing. An empty batch commits and changes nothing, an empty table has no counts. Further columns of
+``changes`` are not read; those of ``docs`` pass through ``count_tokens``, but for its own two names.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -37,6 +43,9 @@ from cohortrail.sources.store import path_exists
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
+# The characters that the pattern's \\s stands for.
+_BLANK = "\t\n\v\f\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{_BLANK}]{{1000,}}")
 #: A vocabulary file larger than this is refused: it is broadcast.
 MOST_BYTES = 64 << 20
 
@@ -48,6 +57,18 @@ def _encoding(name: str, vocabulary: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def n_tokens(encoding: tiktoken.Encoding, text: str) -> int:
+    """Tokens of a text. A long run of blanks is one piece without its last character, which goes to
+    what follows; at the end of the text it is one piece."""
+    total, at = 0, 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoding.encode_ordinary(text[at : run.start()]))
+        total += len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:] if at else text))
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     """``docs`` with n_tokens of each whole ``text`` under the vocabulary ``tokenizer`` in
     ``folder``; the text goes."""
@@ -63,10 +84,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
                        if f.name != "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer, vocabulary.value).encode_ordinary
+        encoding = _encoding(tokenizer, vocabulary.value)
         for whole in batches:
             for batch in slices(whole, "text"):
-                n = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
+                n = [n_tokens(encoding, t) if t else 0 for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in rest] + [pa.array(n, pa.int64())],
                     names=[*rest, "n_tokens"],
@@ -104,11 +125,14 @@ class TokenRollup:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def documents(self) -> DataFrame:
-        """The present counts per document and tokenizer."""
+    def documents(self, named: DataFrame | None = None) -> DataFrame:
+        """The present counts per document and tokenizer; of those in ``named`` (id, t) only."""
+        log = self._read("log", LOG)
+        if named is not None:
+            same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("tokenizer").eqNullSafe(F.col("t"))
+            log = log.join(named, same, "left_semi")
         return (
-            self._read("log", LOG)
-            .groupBy("doc_id", *KEYS)
+            log.groupBy("doc_id", *KEYS)
             .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
             .where("n_docs > 0")
         )
@@ -142,11 +166,7 @@ class TokenRollup:
         signed = added
         if self._batches():
             named = changes.select(F.col("doc_id").alias("id"), F.col("tokenizer").alias("t"))
-            present = self.documents()
-            taken = present.join(
-                named,
-                F.col("doc_id").eqNullSafe(F.col("id")) & F.col("tokenizer").eqNullSafe(F.col("t")),
-            ).select(
+            taken = self.documents(named).select(
                 "doc_id", *KEYS, (-F.col("n_docs")).alias("n_docs"),
                 (-F.col("n_tokens")).alias("n_tokens"),
             )

@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import base64
 
+import pytest
 import tiktoken
 from cohortrail.llm.queries import TOKENIZERS, op3_token_rollup
 from cohortrail.llm.shared import Store
-from cohortrail.llm.token_rollup import PATTERN, TokenRollup, count_tokens
+from cohortrail.llm.token_rollup import PATTERN, TokenRollup, count_tokens, n_tokens
 from conftest import SF_DIR
 
 SCHEMA = "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint, change string"
@@ -78,6 +79,39 @@ def test_counts_of_whole_texts(spark):
     assert got == {k: len(enc.encode_ordinary(t or "")) for k, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "\t", "\u00a0", "\u2003 "])
+def test_long_runs_are_cut_as_the_pattern_cuts(run):
+    enc = encoding("byte_bpe_50k")
+    for n in (999, 1000, 1001, 4000):
+        for text in (run * n, f"a{run * n}b", f"a {run * n}\nb", f"{run * n}'s x{run * n}", f"x{run * n}\x1c1"):
+            assert n_tokens(enc, text) == len(enc.encode_ordinary(text)), (n, text[:3])
+
+
+def test_ten_megabytes_of_blanks_and_line_ends(spark):
+    """Counts are the sum of the pieces'; a run of a million overflows the pattern's own stack."""
+    size = 10 << 20
+    texts = [" " * size, "\n" * size, "a" + " " * size + "b", "a" + "\n" * size + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    enc = encoding("byte_bpe_50k")
+    got = {r.doc_id: r.n_tokens for r in count_tokens(df, "byte_bpe_50k", TOKENIZERS).collect()}
+    one = {c: len(enc._encode_single_piece(c * (size - 1))) for c in " \n"}
+    last = {0: 1, 1: 1 if len(enc._encode_single_piece("\n" * size)) > one["\n"] else 0}
+    assert got[0] == one[" "] + last[0] and got[1] == one["\n"] + last[1]
+    assert got[2] == 1 + one[" "] + len(enc.encode_ordinary(" b"))
+    assert got[3] == 1 + one["\n"] + len(enc.encode_ordinary("\nb"))
+
+
+def test_the_log_is_reduced_to_the_batch_before_it_is_added_up(spark):
+    rollup = TokenRollup(spark, Store(spark, "tokens").folder + "/r")
+    commit(rollup, "1", [(k, "s", "en", "v", k, "insert") for k in range(50)])
+    named = spark.createDataFrame([(3, "v"), (7, "v"), (None, "v")], "id bigint, t string")
+    present = rollup.documents(named)
+    lines = present._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = {word: next(k for k, line in enumerate(lines) if word in line) for word in ("Aggregate", "LeftSemi")}
+    assert at["Aggregate"] < at["LeftSemi"]
+    assert {r.doc_id: r.n_tokens for r in present.collect()} == {3: 3, 7: 7}
+
+
 def test_query_equals_recounting(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
     enc, first, want = encoding("byte_bpe_50k"), {}, {}
