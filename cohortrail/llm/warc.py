@@ -7,22 +7,25 @@ in parallel, groups continuation records by origin identifier, orders them by se
 verifies the total length, and decodes the chunked framing.
 
 A record's payload is the largest unit that one task holds; files have a bounded number of
-records. Records with equal payloads are never gathered: the largest id of a payload is a partial
+records, and of bytes. Records with equal payloads are never gathered: the largest id of a payload is a partial
 aggregate, and its join with the rows can be split by adaptive execution.
 
 Awkward input: a null payload is empty. Payloads under ``revisit_bytes`` never become revisits. A
 null id is written as such; rows that share a payload and the largest id are all responses. Rows
 equal in all columns give equal record identifiers: equal segments then count once, and the
 record is returned once for each copy. An incomplete or damaged record (missing segment, wrong
-total length, bad chunk framing, digest that differs) is returned with ``complete`` false and no
-payload. An empty table gives an empty archive.
+total length, bad chunk framing, digest that differs or cannot be read, length or segment number that
+is none, file that ends within it) is returned with ``complete`` false and no payload; reading goes on
+at the next record. A SHA-1 digest may be in base 32 or hexadecimal; a digest of another kind is not
+verified. An empty table gives an empty archive. Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,8 +43,15 @@ class WarcParams:
     chunk_bytes: int = 4096
     revisit_bytes: int = 1000
     records_per_file: int = 2000
+    #: A file is read as one row, which may not have more than two gigabytes.
+    file_bytes: int = 64 << 20
     date: str = "1970-01-01T00:00:00Z"
 
+    @property
+    def most_records(self) -> int:
+        """Of a file: records have a segment and a few hundred bytes of headers."""
+        return max(1, min(self.records_per_file, self.file_bytes // (self.segment_bytes + 4096)))
+
 
 # Names of the formats.
 _VERSION = b"WARC/1.1\r\n"
@@ -182,15 +192,36 @@ def write_warc(pages: DataFrame, path: str, store: Store, params: WarcParams) ->
         .select(F.col("record").cast("string").alias("value"))
         .write.mode("overwrite")
         .option("lineSep", "\r\n\r\n")
-        .option("maxRecordsPerFile", params.records_per_file)
+        .option("maxRecordsPerFile", params.most_records)
         .text(path)
     )
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of a file, gzipped or not."""
+def _unzipped(data: bytes) -> bytes:
+    """All gzip members of a file, as far as they can be read."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
+def _number(text: str | None, most: int) -> int | None:
+    """A decimal number up to ``most``, or None."""
+    if not text or not re.fullmatch("[0-9]{1,19}", text):
+        return None
+    return int(text) if int(text) <= most else None
+
+
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers (lower-case names) and block of each record of a file, gzipped or not; the block is
+    None if its length is no number or the file ends within it."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = _unzipped(data)
     at = 0
     while (begin := data.find(b"WARC/", at)) >= 0:
         head_end = data.find(b"\r\n\r\n", begin)
@@ -198,9 +229,24 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             return
         lines = data[begin:head_end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        length = int(headers.get("content-length", "0"))
-        yield headers, data[head_end + 4 : head_end + 4 + length]
-        at = head_end + 4 + length
+        at = head_end + 4
+        length = _number(headers.get("content-length", "0"), len(data) - at)
+        yield headers, None if length is None else data[at : at + length]
+        # Without a length the next record is where the next version stands.
+        at += length or 0
+
+
+def _sha1(header: str) -> str | None:
+    """The hexadecimal form of a SHA-1 digest, None for one of another kind; what cannot be read
+    stays as it is, and is equal to no payload's digest."""
+    kind, _, value = header.rpartition(":")
+    if not value or kind.lower() not in ("", "sha1", "sha-1"):
+        return None
+    if re.fullmatch("[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    if re.fullmatch("[A-Za-z2-7]{32}", value):
+        return base64.b32decode(value.upper()).hex()
+    return value
 
 
 PARTS = (
@@ -212,16 +258,18 @@ PARTS = (
 def _parts(files: DataFrame) -> DataFrame:
     """One row a record or segment; revisits and whole responses have no origin."""
 
-    def row_of(headers: dict[str, str], block: bytes) -> tuple:
+    def row_of(headers: dict[str, str], block: bytes | None) -> tuple:
         kind, segment = headers.get("warc-type"), headers.get("warc-segment-number")
         own = headers.get("warc-record-id")
         origin = headers.get("warc-segment-origin-id", own) if segment else None
-        digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-        total = headers.get("warc-segment-total-length")
+        number = _number(segment, (1 << 31) - 1)
+        total = _number(headers.get("warc-segment-total-length"), (1 << 63) - 1)
+        # A segment without a number or block stays with its record, which then is incomplete.
+        if origin and (number is None or block is None):
+            number = -1
         return (
             own, kind, headers.get("warc-target-uri"), headers.get("warc-refers-to"),
-            base64.b32decode(digest).hex() if digest else None, origin,
-            int(segment) if segment else None, int(total) if total else None, block,
+            _sha1(headers.get("warc-payload-digest", "")), origin, number, total, block,
         )
 
     types = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
@@ -240,7 +288,7 @@ def _parts(files: DataFrame) -> DataFrame:
                 for headers, block in parse_records(batch["content"][k].as_py()):
                     if headers.get("warc-type") in ("response", "revisit", "continuation"):
                         rows.append(row_of(headers, block))
-                        size += len(block)
+                        size += len(block or b"")
                     if size > 4 << 20:
                         yield batch_of(rows)
                         rows, size = [], 0

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import random
@@ -97,6 +98,61 @@ def test_broken_framing_and_segments():
     assert list(parse_records(b"not an archive")) == []
 
 
+def record(headers: dict, block: bytes) -> bytes:
+    lines = [f"{k}: {v}" for k, v in {"Content-Length": len(block), **headers}.items()]
+    return ("WARC/1.1\r\n" + "\r\n".join(lines)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_bad_headers_make_incomplete_records_and_no_error(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\n\r\npayload"
+    sha1 = hashlib.sha1(b"payload")
+    b32 = base64.b32encode(sha1.digest()).decode()
+
+    def named(name, block=body, **headers):
+        given = {k.replace("_", "-"): v for k, v in headers.items()}
+        return record({"WARC-Type": "response", "WARC-Record-ID": name, **given}, block)
+
+    good = {"b32": f"sha1:{b32}", "hex": f"sha1:{sha1.hexdigest().upper()}", "bare": b32.lower(),
+            "foreign": "md5:ffff", "other": "sha256:xyz"}
+    records = [named(k, WARC_Payload_Digest=v) for k, v in good.items()]
+    records += [
+        named("no-length", Content_Length="x1"), named("negative", Content_Length="-5"),
+        named("huge", Content_Length="9" * 30), named("wrong-digest", WARC_Payload_Digest="sha1:!!"),
+        named("no-number", WARC_Segment_Number="one"), named("big-number", WARC_Segment_Number="9" * 12),
+        named("bad-total", WARC_Segment_Number="1", WARC_Segment_Total_Length="many"),
+        named("whole", WARC_Segment_Number="1", WARC_Segment_Total_Length=str(len(body))),
+        named("after"),
+    ]
+    records.append(named("cut-off", Content_Length="500"))
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    data = gzip.compress(named("first")) + gzip.compress(named("second", b"HTTP/1.1 200 OK\r\n\r\n" + bytes(999)))
+    (tmp_path / "b.warc.gz").write_bytes(data[:-30])
+    (tmp_path / "c.warc.gz").write_bytes(b"\x1f\x8bnot gzip")
+    (tmp_path / "d.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 5")
+    (tmp_path / "e.warc").write_bytes(b"")
+    got = read_warc(spark, str(tmp_path)).collect()
+    complete = {r.record_id: r.complete for r in got}
+    assert len(got) == len(complete)
+    whole = {*good, "whole", "after", "first"}
+    assert {k for k, done in complete.items() if done} == whole
+    assert {"no-length", "negative", "huge", "wrong-digest", "no-number", "big-number", "bad-total",
+            "cut-off"} <= set(complete)
+    assert all(bytes(r.payload) == b"payload" for r in got if r.complete)
+    assert all(r.payload is None for r in got if not r.complete)
+    assert {r.record_id: r.digest for r in got}["hex"] == sha1.hexdigest()
+
+
+def test_files_are_bounded_in_bytes(spark, tmp_path):
+    params = WarcParams(segment_bytes=1 << 20, file_bytes=3 << 20)
+    assert params.most_records == 2 and WarcParams(segment_bytes=1 << 30).most_records == 1
+    rows = [(k, None, f"{k}" * 900_000) for k in range(8)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    write_warc(df, str(tmp_path / "warc"), Store(spark, "warc"), params)
+    sizes = [f.stat().st_size for f in (tmp_path / "warc").glob("part-*")]
+    assert len(sizes) >= 4 and max(sizes) <= 3 << 20
+    assert all(r.complete for r in read_warc(spark, str(tmp_path / "warc")).collect())
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id bigint, url string, html string, digest int")
     assert archive_round_trip(df).collect() == []
