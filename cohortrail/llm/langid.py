@@ -162,16 +162,17 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     All runs advance together, the longest first, so a step is one vector operation over the runs
     that still have words.
     """
-    labels = np.zeros(len(scores), dtype=np.uint8)
+    width = scores.shape[1]
+    kind = np.min_scalar_type(max(width - 1, 0))
+    labels = np.zeros(len(scores), dtype=kind)
     order = np.argsort(-counts, kind="stable")
     order = order[counts[order] > 0]
     if not len(order):
         return labels
     first = (np.cumsum(counts) - counts)[order]
     lengths = counts[order]
-    width = scores.shape[1]
-    came = np.zeros(scores.shape, dtype=np.uint8)
-    own = np.arange(width, dtype=np.uint8)
+    came = np.zeros(scores.shape, dtype=kind)
+    own = np.arange(width, dtype=kind)
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
     state = scores[first].astype(np.float64)
     for t in range(1, int(lengths[0])):
@@ -183,7 +184,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
         at = first[:m] + t
         came[at] = np.where(change, best[:, None], own)
         state[:m] = np.where(change, jump[:, None], now) + scores[at]
-    label = state.argmax(axis=1).astype(np.uint8)
+    label = state.argmax(axis=1).astype(kind)
     for t in range(int(lengths[0]) - 1, -1, -1):
         m = active[t]
         at = first[:m] + t

@@ -75,6 +75,13 @@ def test_viterbi_equals_search_over_all_paths():
         at += n
 
 
+def test_labels_beyond_a_byte():
+    """With 300 languages the last label comes back as itself, also after a switch."""
+    scores = np.zeros((6, 300), dtype=np.float32)
+    scores[:3, 299] = scores[3:, 43] = 9
+    assert viterbi(scores, np.array([6]), 1.5).tolist() == [299, 299, 299, 43, 43, 43]
+
+
 def test_words_break_at_scripts_and_rows():
     words = Words(pa.array(["ab1cd", "", "efЖж", None, "gh"]), LangIdParams().buckets)
     assert words.counts.tolist() == [2, 0, 2, 0, 1]
