@@ -10,8 +10,9 @@ windows are minima of minima. Every candidate is verified on exact shingle conta
 the whole item and the whole document.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, so punctuation and
-layout do not hide a passage; ASCII capitals count as small letters. A shingle is ``width`` words,
-or the whole sequence of a shorter text.
+layout do not hide a passage; ASCII capitals count as small letters. A shingle is ``width`` words. An
+item of fewer words is one n-gram of its own length, and is contained wherever its words follow each
+other, so a benchmark of single common words is in most documents.
 
 Documents are only scanned: nothing is shuffled, whatever passage many of them share. Items are
 broadcast in blocks of about ``block_bytes`` of text, one scan for each block.
@@ -88,6 +89,16 @@ class ItemIndex:
         ends = np.cumsum(n)
         self.ids = np.array(ids, dtype=object)
         self.sets = [np.unique(values[e - k : e]) for e, k in zip(ends, n, strict=True)]
+        # Items shorter than a shingle are looked up as n-grams of their own length.
+        self.short: dict[int, tuple] = {}
+        first = np.cumsum(counts) - counts
+        for size in range(1, params.width):
+            items = np.flatnonzero(counts == size)
+            if len(items):
+                own = words[(first[items, None] + np.arange(size)).ravel()]
+                grams, _ = shingle_hashes(own, np.full(len(items), size), size)
+                self.short[size] = self._table(grams[:, None], items)
+        n = np.where(counts < params.width, 0, n)
         self.params = params
         self.direct: tuple[np.ndarray, np.ndarray] = self._table([], [])
         self.classes: dict[int, tuple] = {}
@@ -161,9 +172,10 @@ class ItemIndex:
             window[joined] = np.minimum(sketch[joined], sketch[joined + 1])
             keys = _bands(window, bands, rows)
             pairs.append(self._hits(keys.ravel(), np.repeat(row, bands), tuple(table)))
+        found = self._search_short(words, counts)
         if not pairs:
-            return []
-        found, at, own = [], -1, None
+            return found
+        at, own = -1, None
         ends = np.cumsum(n)
         for r, item in np.unique(np.concatenate(pairs), axis=0).tolist():
             if r != at:
@@ -175,6 +187,15 @@ class ItemIndex:
                 found.append((r, item, shared))
         return found
 
+    def _search_short(self, words: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int]]:
+        """Items of fewer words than a shingle, wherever their words follow each other in a text."""
+        found = []
+        for size, table in self.short.items():
+            grams, n = shingle_hashes(words, counts, size, whole_if_short=False)
+            pairs = self._hits(grams, np.repeat(np.arange(len(n)), n), table)
+            found += [(r, item, 1) for r, item in np.unique(pairs, axis=0).tolist()]
+        return found
+
 
 def _item_blocks(items: DataFrame, params: ContainmentParams) -> Iterator[ItemIndex]:
     """Indexes over distinct items, each of about ``block_bytes`` of text."""

@@ -22,8 +22,16 @@ def _shingles(table: str, key: str) -> str:
         WHERE len(w) > 0)"""
 
 
+def _words(table: str, key: str) -> str:
+    """The words of each row as a list, and in one text with a blank on either side."""
+    return f"""
+    SELECT {key} AS id, w, ' ' || array_to_string(w, ' ') || ' ' AS line
+    FROM (SELECT {key}, regexp_extract_all({_ascii_lower("text")}, '{_WORDS}') AS w FROM {table})"""
+
+
+# Items of one to four words are contained where these follow each other.
 OP1 = f"""
-WITH item AS ({_shingles("benchmark", "item_id")}),
+WITH item AS (SELECT * FROM ({_shingles("benchmark", "item_id")}) WHERE len(string_split(s, ' ')) >= 5),
 sizes AS (SELECT id, count(*) AS n_item FROM item GROUP BY id),
 doc AS ({_shingles("documents", "doc_id")}),
 shared AS (
@@ -32,6 +40,11 @@ shared AS (
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
 FROM shared JOIN sizes ON item_id = sizes.id
 WHERE 100 * n_shared >= 80 * n_item
+UNION ALL
+SELECT d.id, i.id, 1, 1, 1.0::DOUBLE
+FROM ({_words("documents", "doc_id")}) AS d
+JOIN (SELECT DISTINCT id, line FROM ({_words("benchmark", "item_id")}) WHERE len(w) BETWEEN 1 AND 4) AS i
+ON contains(d.line, i.line)
 """
 
 OP5 = """

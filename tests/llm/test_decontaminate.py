@@ -14,16 +14,28 @@ from cohortrail.llm.decontaminate import (
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
+def words_of(text: str | None) -> list:
+    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
 def shingles(text: str | None) -> set:
-    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    w = WORD.findall(lowered)
+    w = words_of(text)
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
 def brute_force(docs, items) -> set:
     out, held = set(), {doc_id: shingles(doc) for doc_id, doc in docs}
+    grams = {
+        k: {d: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for d, w in words.items()}
+        for words in [{d: words_of(doc) for d, doc in docs}]
+        for k in range(1, 5)
+    }
     for item_id, text in set(items):
         wanted = shingles(text)
+        n = len(words_of(text))
+        if 0 < n < 5:
+            out |= {(d, item_id, 1, 1) for d, g in grams[n].items() if tuple(words_of(text)) in g}
+            continue
         for doc_id in held:
             shared = len(wanted & held[doc_id])
             if wanted and 100 * shared >= 80 * len(wanted):
@@ -67,6 +79,19 @@ def test_item_blocks_give_the_same_rows(spark):
     assert sorted(one) == sorted(many) and len(one) == 20
 
 
+def test_items_shorter_than_a_shingle_are_found_inside(spark):
+    docs = [(1, "zero one two three four five six seven eight"), (2, "One, two -- THREE four!"),
+            (3, "one two three"), (4, "four three two one"), (5, "two"), (6, None)]
+    items = [(1, "one two three four"), (2, "two three"), (3, "two"), (4, "..."), (5, "nine")]
+    got = contained_items(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(items, "item_id bigint, text string"),
+    ).collect()
+    found = {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in got}
+    assert found == brute_force(docs, items) and len(got) == len(found)
+    assert {(1, 1, 1, 1), (2, 1, 1, 1), (3, 2, 1, 1), (4, 3, 1, 1)} <= found
+
+
 def test_awkward_rows(spark):
     item = "one two three four five six seven"
     items = [(1, item), (1, item), (2, None), (3, ""), (4, "..."), (5, "solo"), (None, item)]
