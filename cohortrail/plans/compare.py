@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortrail.functions.columns import DAYS_PER_YEAR, quantile, quantiles, ranked, ratio, share
 from cohortrail.operators.logit import Factor, odds_ratios
+from cohortrail.plans import sketches
 from cohortrail.plans.tables import (
     PATIENT,
     analytic_patients,
@@ -75,8 +76,15 @@ def chronic_cohort_counts(ws: Workspace) -> DataFrame:
     )
 
 
+def from_sketches(ws: Workspace) -> bool:
+    """Whether reports are to be approximate and the sketches they merge are stored."""
+    return ws.study.approx and ws.is_stored("patient_sketches")
+
+
 def patient_summary_by_transport(ws: Workspace) -> DataFrame:
     """All patients; those never screened form the NULL status group."""
+    if from_sketches(ws):
+        return sketches.patient_summary(ws)
     return (
         analytic_patients(ws, gaps=True)
         .groupBy("transport_status")
@@ -96,6 +104,13 @@ def patient_summary_by_transport(ws: Workspace) -> DataFrame:
 
 def headline_by_transport(ws: Workspace) -> DataFrame:
     status = F.col("transport_status")
+    summary = sketches.headline(ws) if from_sketches(ws) else _headline(ws)
+    return summary.orderBy(
+        F.coalesce(ranked(status, ws.study.compared_statuses), F.lit(99)), status
+    )
+
+
+def _headline(ws: Workspace) -> DataFrame:
     return (
         screened_patients(ws, gaps=True)
         .groupBy("transport_status")
@@ -111,7 +126,6 @@ def headline_by_transport(ws: Workspace) -> DataFrame:
             quantile("gap_median", 0.5, ws.study.approx).alias("median_gap_days"),
             quantile("gap_q75", 0.5, ws.study.approx).alias("median_gap_q75"),
         )
-        .orderBy(F.coalesce(ranked(status, ws.study.compared_statuses), F.lit(99)), status)
     )
 
 

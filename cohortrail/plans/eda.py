@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortrail.operators.audit import key_overlap, match_audit
 from cohortrail.operators.profile import distribution, grouped_counts, top_groups
+from cohortrail.plans import sketches
 from cohortrail.plans.tables import PATIENT, with_diagnosis
 from cohortrail.workspace import Workspace
 
@@ -134,6 +135,8 @@ def patients_by_birthyearbin(ws: Workspace) -> DataFrame:
 
 
 def enc_per_patient(ws: Workspace) -> DataFrame:
+    if ws.study.approx and ws.is_stored("patient_sketches"):
+        return sketches.encounters_per_patient(ws)
     per_patient = ws["encounters"].groupBy(PATIENT).agg(F.count(F.lit(1)).alias("n_enc"))
     return distribution(per_patient, "n_enc", "n_patients", ws.study.approx)
 

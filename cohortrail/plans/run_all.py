@@ -16,6 +16,7 @@ from cohortrail.plans import figures
 from cohortrail.plans.compare import ANALYSIS_RESULTS, JOURNEY_RESULTS
 from cohortrail.plans.eda import EDA_RESULTS
 from cohortrail.plans.qa import QA_RESULTS
+from cohortrail.plans.sketches import patient_sketches
 from cohortrail.plans.series import SERIES, SERIES_AXES, line_chart_axis
 from cohortrail.plans.tables import PATIENT
 from cohortrail.sources.raw_csv import RAW_TABLES, check_inputs, load
@@ -41,6 +42,9 @@ JOURNEY_TABLES = [
     "patient_analytic",
 ]
 
+# Described after the journey where quantiles are approximate: they come from its sketches.
+FROM_SKETCHES = ("eda_enc_per_patient",)
+
 # How the rows of a stored table are ranged over its files: date filters then skip most of them.
 TABLE_ORDER = {"encounters": ("encounter_ts", "EncounterKey")}
 
@@ -209,11 +213,15 @@ class Run:
                 self.ws.put(name, self._stored(name))
 
     def describe(self) -> None:
-        self._results(EDA_RESULTS)
+        later = FROM_SKETCHES if self.ws.study.approx else ()
+        self._results({n: build for n, build in EDA_RESULTS.items() if n not in later})
 
     def journey(self) -> None:
         for name in JOURNEY_TABLES:
             self._store(name, self.ws[name])
+        if self.ws.study.approx:
+            self._store("patient_sketches", patient_sketches(self.ws))
+            self._results({name: EDA_RESULTS[name] for name in FROM_SKETCHES})
         self._results(JOURNEY_RESULTS)
 
     def compare(self) -> None:

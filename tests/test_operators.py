@@ -142,3 +142,31 @@ def test_density_bandwidth_fallbacks(spark):
     sd = np.std([10] * 20 + [30], ddof=1)
     assert found["a"][0][3] == pytest.approx(0.9 * sd * 21**-0.2)
     assert found["b"][0][3] == pytest.approx(0.9 * 5 * 3**-0.2)
+
+
+def test_binned_density_of_a_continuous_measure(spark):
+    """Near the exact kernel sum, by rows as many as the grid has points and not as there are values."""
+    rng = np.random.default_rng(4)
+    rows = [("a", float(v)) for v in rng.normal(50, 9, 4000)] + [("b", float(v)) for v in rng.gamma(4, 6, 3000)]
+    df = spark.createDataFrame(rows, "g string, age double")
+    exact = {(r.g, r.point): r for r in kernel_density(df, group="g", measure="age").collect()}
+    binned = kernel_density(df, group="g", measure="age", binned=True)
+    found = {(r.g, r.point): r for r in binned.collect()}
+    assert found.keys() == exact.keys()
+    step = (max(v for _, v in rows) - min(v for _, v in rows)) / 511
+    for g in "ab":
+        top = max(r.density for (k, _), r in exact.items() if k == g)
+        for point in range(512):
+            one, other = exact[g, point], found[g, point]
+            assert other.x == pytest.approx(one.x)
+            assert other.bw == pytest.approx(one.bw, rel=1e-3)
+            assert abs(other.density - one.density) <= top * ((step / one.bw) ** 2 / 8 + 2e-3)
+    # Only grid points reach the kernel's expansion.
+    text = binned._jdf.queryExecution().executedPlan().toString()
+    below = text[text.index("Generate explode(") :]
+    assert "HashAggregate(keys=[g" in below[: below.index("Generate inline(")]
+    empty = kernel_density(df.limit(0), group="g", measure="age", binned=True)
+    assert empty.collect() == []
+    same = kernel_density(spark.createDataFrame([("a", 5.0)] * 3, "g string, age double"),
+                          group="g", measure="age", binned=True).collect()
+    assert len(same) == 512
