@@ -1,4 +1,4 @@
-"""Command line: python -m cohortrail SRC OUT [--skip-etl] [--multiline TABLE...]."""
+"""Command line: python -m cohortrail SRC OUT [--skip-etl | --refresh] [--approx] [--multiline TABLE...]."""
 
 from __future__ import annotations
 
@@ -15,6 +15,10 @@ def main() -> None:
     parser.add_argument("src", help="folder of the seven CSV files")
     parser.add_argument("out", help="folder for tables and results")
     parser.add_argument("--skip-etl", action="store_true", help="reuse the loaded tables in OUT")
+    parser.add_argument(
+        "--refresh", action="store_true",
+        help="take in further parts of the encounters' folder, computing only their patients again",
+    )
     parser.add_argument(
         "--multiline", nargs="*", default=[], metavar="TABLE",
         help="tables whose quoted fields may hold line breaks",
@@ -37,7 +41,9 @@ def main() -> None:
         conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = args.partitions
     spark = build_session(master=args.master, **conf)
     study = Study(approx=args.approx)
-    run_all(spark, args.src, args.out, args.skip_etl, study, args.multiline, args.buckets)
+    run_all(
+        spark, args.src, args.out, args.skip_etl, study, args.multiline, args.buckets, args.refresh
+    )
     spark.stop()
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 import time
 from collections.abc import Callable, Collection, Iterator, Mapping
 from contextlib import contextmanager
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortrail.plans import figures
@@ -20,12 +22,15 @@ from cohortrail.plans.sketches import patient_sketches
 from cohortrail.plans.series import SERIES, SERIES_AXES, line_chart_axis
 from cohortrail.plans.tables import PATIENT
 from cohortrail.sources.raw_csv import RAW_TABLES, check_inputs, load
+from cohortrail.sources.scratch import scratch_dir
 from cohortrail.sources.store import (
     Buckets,
     Manifest,
     input_files,
     read_result,
     read_table,
+    replace_buckets,
+    rows_beside,
     table_is_complete,
     write_result,
     write_table,
@@ -52,6 +57,11 @@ TABLE_ORDER = {"encounters": ("encounter_ts", "EncounterKey")}
 # calendar day), so that no file is a hot patient's. Encounters stay ranged by time.
 BUCKETED = {"patients", *JOURNEY_TABLES}
 
+# Tables that may get further parts, each in a folder of its own that counts once the manifest lists
+# it: a refresh that is lost half way is run again without counting a row twice.
+GROWING = {"encounters"}
+FIRST_PART = "first"
+
 # Columns of the result files the figures read back, in the order written.
 RESULT_SCHEMAS = {
     "an_headline_by_transport": (
@@ -143,22 +153,30 @@ class Run:
             return read_table(self.spark, self.table_path(name))
         schema = T.StructType.fromJson(json.loads(manifest.schema))
         buckets = Buckets(PATIENT, manifest.buckets) if manifest.buckets else None
-        return read_table(self.spark, self.table_path(name), schema, buckets)
+        return read_table(self.spark, self.table_path(name), schema, buckets, manifest.parts)
 
     def _store(self, name: str, df: DataFrame) -> None:
         """Write a table and its manifest; the counts in the log are observed by the write."""
         inputs = self._inputs(name)
         buckets = Buckets(PATIENT, self.buckets) if name in BUCKETED else None
+        parts = [FIRST_PART] if name in GROWING else []
+        path = "/".join([self.table_path(name), *parts])
         with timed(name):
             metrics = write_table(
-                df, self.table_path(name), TABLE_ORDER.get(name, ()), buckets, PATIENT, "encounter_ts"
+                df, path, TABLE_ORDER.get(name, ()), buckets, PATIENT, "encounter_ts"
             )
         log.info("%s: %s", name, ", ".join(f"{k} {v}" for k, v in metrics.items()))
         Manifest(
-            df.schema.json(), self._study(), inputs, metrics, buckets.number if buckets else 0
+            df.schema.json(), self._study(), inputs, metrics, buckets.number if buckets else 0, parts
         ).write(self.spark, self.manifest_path(name))
         self.ws.put(name, self._stored(name))
 
+    def _is_complete(self, name: str) -> bool:
+        manifest = self.manifest(name)
+        parts = manifest.parts if manifest is not None else ()
+        paths = [f"{self.table_path(name)}/{part}" for part in parts] or [self.table_path(name)]
+        return all(table_is_complete(self.spark, path) for path in paths)
+
     def _results(self, results: Mapping[str, Callable[[Workspace], DataFrame]]) -> None:
         for name, build in results.items():
             with timed(name):
@@ -173,6 +191,9 @@ class Run:
             self._load(name, multiline)
         for name in LOAD_TABLES:
             self._store(name, self.ws[name])
+        self.audit()
+
+    def audit(self) -> None:
         self._results(QA_RESULTS)
 
     def stale_tables(self) -> list[str]:
@@ -184,14 +205,14 @@ class Run:
                 stale.append(name)
         return stale
 
-    def use_loaded(self, multiline: Collection[str] = ()) -> None:
+    def use_loaded(self, multiline: Collection[str] = (), refresh: bool = False) -> None:
         """Take the loaded tables of an earlier run of the same study.
 
         Tables whose source files have changed since are named and loaded again. Where the source
         files are gone, the tables are taken as they are.
         """
         names = [*RAW_TABLES, *LOAD_TABLES]
-        absent = [n for n in names if not table_is_complete(self.spark, self.table_path(n))]
+        absent = [n for n in names if not self._is_complete(n)]
         if absent:
             raise FileNotFoundError(f"not loaded yet in {self.out}: {', '.join(absent)}")
         for name in names:
@@ -202,7 +223,9 @@ class Run:
                 raise ValueError(
                     f"{name} in {self.out} is of a study with other parameters: {', '.join(changed)}"
                 )
-        stale = self.stale_tables()
+        stale = [n for n in self.stale_tables() if not (refresh and n in GROWING)]
+        if refresh and stale:
+            raise ValueError(f"source files have changed, load again: {', '.join(stale)}")
         for name in names:
             if name in stale:
                 log.warning("%s: source files have changed, loading again", name)
@@ -212,6 +235,77 @@ class Run:
             else:
                 self.ws.put(name, self._stored(name))
 
+    def _added_files(self, name: str) -> list[list]:
+        """Source files that have come since the table was loaded; the others must be the same."""
+        manifest, inputs = self.manifest(name), self._inputs(name)
+        if manifest is None:
+            raise FileNotFoundError(f"not loaded yet in {self.out}: {name}")
+        before = [list(x) for x in manifest.inputs]
+        if any(x not in inputs for x in before):
+            raise ValueError(f"{name}: source files have changed or gone, load again")
+        return [x for x in inputs if x not in before]
+
+    def refresh(self, multiline: Collection[str] = ()) -> list[str]:
+        """Take in further parts of the encounters' folder; only the patients in them are computed
+        again. Returns the names of the parts.
+
+        The journey tables keep their other buckets as they are; a bucket with a touched patient is
+        written again from its other patients' stored rows and the touched ones' new rows, which are
+        computed from all their encounters, so a repeated refresh gives the same tables.
+        """
+        name = "encounters"
+        self.use_loaded(multiline, refresh=True)
+        added, manifest = self._added_files(name), self.manifest(name)
+        if not added:
+            for table in JOURNEY_TABLES:
+                self.ws.put(table, self._stored(table))
+            return []
+        names = [x[0] for x in added]
+        part = f"added-{hashlib.md5(json.dumps(added).encode()).hexdigest()}"
+        new = load(self.spark, self.src, name, name in multiline or None, names)
+        with timed(f"{name}: {', '.join(names)}"):
+            metrics = write_table(
+                new, f"{self.table_path(name)}/{part}", TABLE_ORDER[name], None, PATIENT, "encounter_ts"
+            )
+        log.info("%s: %s added", name, ", ".join(f"{k} {v}" for k, v in metrics.items()))
+        parts = [*(p for p in manifest.parts if p != part), part]
+        schema = T.StructType.fromJson(json.loads(manifest.schema))
+        encounters = read_table(self.spark, self.table_path(name), schema, None, parts)
+
+        scratch = scratch_dir(self.spark, "refresh")
+
+        def staged(table: str, df: DataFrame) -> DataFrame:
+            write_table(df, f"{scratch}/{table}")
+            return read_table(self.spark, f"{scratch}/{table}", df.schema)
+
+        added_rows = read_table(self.spark, self.table_path(name), schema, None, [part])
+        touched = staged("touched", added_rows.select(PATIENT).distinct())
+
+        def of_touched(df: DataFrame) -> DataFrame:
+            keys = touched.select(F.col(PATIENT).alias("touched_key"))
+            return df.join(keys, F.col(PATIENT).eqNullSafe(F.col("touched_key")), "left_semi")
+
+        tables = {n: self.ws[n] for n in (*RAW_TABLES, *LOAD_TABLES)}
+        tables |= {n: of_touched(self.ws[n]) for n in ("sdoh", "patients")}
+        theirs = Workspace.of(tables | {name: of_touched(encounters)}, self.ws.study)
+        for table in JOURNEY_TABLES:
+            fresh = staged(f"fresh/{table}", theirs[table])
+            theirs.put(table, fresh)
+            before = self.manifest(table)
+            buckets = Buckets(PATIENT, before.buckets)
+            shape = T.StructType.fromJson(json.loads(before.schema))
+            path = self.table_path(table)
+            with timed(table):
+                beside = rows_beside(self.spark, path, shape, buckets, touched)
+                whole = staged(f"whole/{table}", beside.unionByName(fresh))
+                replace_buckets(whole, path, shape, buckets)
+            self.ws.put(table, self._stored(table))
+        replace(manifest, inputs=self._inputs(name), metrics={}, parts=parts).write(
+            self.spark, self.manifest_path(name)
+        )
+        self.ws.put(name, self._stored(name))
+        return names
+
     def describe(self) -> None:
         later = FROM_SKETCHES if self.ws.study.approx else ()
         self._results({n: build for n, build in EDA_RESULTS.items() if n not in later})
@@ -219,6 +313,9 @@ class Run:
     def journey(self) -> None:
         for name in JOURNEY_TABLES:
             self._store(name, self.ws[name])
+
+    def report(self) -> None:
+        """What the journey tables show, with their sketches if quantiles are approximate."""
         if self.ws.study.approx:
             self._store("patient_sketches", patient_sketches(self.ws))
             self._results({name: EDA_RESULTS[name] for name in FROM_SKETCHES})
@@ -274,15 +371,24 @@ def run_all(
     study: Study | None = None,
     multiline: Collection[str] = (),
     buckets: int | None = None,
+    refresh: bool = False,
 ) -> Run:
     """Run every stage; ``skip_etl`` starts from the tables an earlier run loaded, ``multiline``
     names the tables whose quoted fields may hold line breaks, ``buckets`` is the number of files
-    of a table stored by patient."""
+    of a table stored by patient. ``refresh`` starts from the stored tables of an earlier run, and
+    computes again only the patients that occur in further parts of the encounters."""
     run = Run(spark, src, out, study or Study(), buckets)
-    if skip_etl:
+    if refresh:
+        run.refresh(multiline)
+        run.audit()
+    elif skip_etl:
         run.use_loaded(multiline)
     else:
         run.load(multiline)
-    for stage in (run.describe, run.journey, run.compare, run.figures, run.series):
+    run.describe()
+    if not refresh:
+        run.journey()
+    run.report()
+    for stage in (run.compare, run.figures, run.series):
         stage()
     return run

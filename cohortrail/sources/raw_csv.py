@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,8 +132,14 @@ def check_inputs(spark: SparkSession, src: str) -> None:
         raise FileNotFoundError(f"missing in {src}: {', '.join(missing)}")
 
 
-def load(spark: SparkSession, src: str, name: str, multiline: bool | None = None) -> DataFrame:
-    """Read one raw table with its kept columns cleaned and typed.
+def load(
+    spark: SparkSession,
+    src: str,
+    name: str,
+    multiline: bool | None = None,
+    parts: Sequence[str] = (),
+) -> DataFrame:
+    """Read one raw table, or only these parts of its folder, with its kept columns cleaned and typed.
 
     Every field is read as text, by header name. A record with too few or too many fields fails
     the load, and so does a line break in quotes unless ``multiline`` (by default the table's own
@@ -150,7 +157,8 @@ def load(spark: SparkSession, src: str, name: str, multiline: bool | None = None
         .option("enforceSchema", False)
     )
     # Given as a schema, the first header is checked against that of every part.
-    raw = reader.schema(reader.csv(path).schema).csv(path)
+    paths = [f"{path}/{part}" for part in parts] or [path]
+    raw = reader.schema(reader.csv(paths).schema).csv(paths)
     df = raw.select(*[_typed(raw, field, table).alias(field.name) for field in table.fields])
     return with_event_time(df) if name == "encounters" else df
 

@@ -42,11 +42,18 @@ def input_files(spark: SparkSession, path: str) -> list[list]:
 @dataclass(frozen=True)
 class Buckets:
     """Rows of a stored table are dealt to ``number`` files by a hash of ``key``: joins and
-    aggregations on it then need no exchange."""
+    aggregations on it then need no exchange. Each file is a partition of its own, named by
+    ``COLUMN``, so that the buckets of some keys can be written again alone."""
 
     key: str
     number: int
 
+    COLUMN = "bucket_number"
+
+    def of(self) -> Column:
+        """The bucket of a row, as Spark deals rows to files."""
+        return F.pmod(F.hash(self.key), F.lit(self.number))
+
 
 @dataclass(frozen=True)
 class Manifest:
@@ -57,6 +64,8 @@ class Manifest:
     inputs: Sequence[Sequence] = ()
     metrics: Mapping[str, object] = field(default_factory=dict)
     buckets: int = 0
+    #: Folders below the table's that hold its rows; none: the table's own.
+    parts: Sequence[str] = ()
 
     def write(self, spark: SparkSession, path: str) -> None:
         hadoop_path, file_system = _hadoop(spark, path)
@@ -114,34 +123,82 @@ def write_table(
     if order:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     if buckets:
-        df = df.repartition(buckets.number, buckets.key).sortWithinPartitions(buckets.key)
+        df = _dealt(df, buckets)
     observed = Observation()
     # Behind the exchange: ranging the rows reads what is below it twice.
     writer = df.observe(observed, *_metrics(df, key, ts)).write.mode("overwrite")
     if buckets:
         writer = writer.format("parquet").bucketBy(buckets.number, buckets.key).sortBy(buckets.key)
-        writer.option("path", path).saveAsTable(_catalog_name(path))
+        writer.partitionBy(buckets.COLUMN).option("path", path).saveAsTable(_catalog_name(path))
     else:
         writer.parquet(path)
     return dict(observed.get)
 
 
+def _dealt(df: DataFrame, buckets: Buckets) -> DataFrame:
+    dealt = df.withColumn(buckets.COLUMN, buckets.of()).repartition(buckets.number, buckets.key)
+    return dealt.sortWithinPartitions(buckets.key)
+
+
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, buckets: Buckets | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    buckets: Buckets | None = None,
+    parts: Sequence[str] = (),
 ) -> DataFrame:
     """A stored table; a bucketed one is made known to the session's catalog by schema and buckets."""
     if buckets is None:
-        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+        paths = [f"{path}/{part}" for part in parts] or [path]
+        return (spark.read.schema(schema) if schema else spark.read).parquet(*paths)
+    return _bucketed(spark, path, schema, buckets).drop(buckets.COLUMN)
+
+
+def _bucketed(
+    spark: SparkSession, path: str, schema: T.StructType, buckets: Buckets
+) -> DataFrame:
     name = _catalog_name(path)
     if not spark.catalog.tableExists(name):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         spark.sql(
-            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{buckets.key}`) "
+            f"CREATE TABLE {name} ({columns}, {buckets.COLUMN} INT) USING parquet "
+            f"PARTITIONED BY ({buckets.COLUMN}) CLUSTERED BY (`{buckets.key}`) "
             f"SORTED BY (`{buckets.key}`) INTO {buckets.number} BUCKETS LOCATION '{path}'"
         )
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return spark.table(name)
 
 
+def rows_beside(
+    spark: SparkSession, path: str, schema: T.StructType, buckets: Buckets, keys: DataFrame
+) -> DataFrame:
+    """The rows that share a bucket with some of ``keys``, without those of the keys themselves."""
+    key = buckets.key
+    touched = keys.select(F.col(key).alias("touched_key"))
+    numbers = keys.select(buckets.of().alias("touched_bucket")).distinct()
+    return (
+        _bucketed(spark, path, schema, buckets)
+        .join(numbers, F.col(buckets.COLUMN) == F.col("touched_bucket"), "left_semi")
+        .join(touched, F.col(key).eqNullSafe(F.col("touched_key")), "left_anti")
+        .drop(buckets.COLUMN)
+    )
+
+
+def replace_buckets(df: DataFrame, path: str, schema: T.StructType, buckets: Buckets) -> None:
+    """Write the buckets that occur in ``df`` again, and leave the others as they are. ``df`` must not
+    read the table."""
+    spark = df.sparkSession
+    _bucketed(spark, path, schema, buckets)
+    columns = [*schema.fieldNames(), buckets.COLUMN]
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        _dealt(df, buckets).select(columns).write.insertInto(_catalog_name(path), overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
+
+
 def table_is_complete(spark: SparkSession, path: str) -> bool:
     """Whether an earlier run finished writing the table."""
     return path_exists(spark, f"{path}/_SUCCESS")

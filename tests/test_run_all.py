@@ -209,3 +209,51 @@ def test_skip_etl_loads_changed_sources_again(spark, done, tmp_path, caplog):
     assert "tiger: source files have changed" in caplog.text
     assert run.ws["tiger"].count() == before + 1
     assert run.stale_tables() == []
+
+
+def test_refresh_equals_a_full_run(spark, tmp_path):
+    """Encounters come in a further part, for known, new and unnamed patients: tables and results are
+    those of a run over all parts, and buckets without a touched patient keep their files."""
+    from cohortrail.plans.run_all import JOURNEY_TABLES, Run
+
+    ws = Workspace(source_tables(spark, "/root/testdata/sf0.001"), SAMPLE_STUDY)
+    src = tmp_path / "src"
+    write_raw(ws, str(src), list(RAW_TABLES))
+    folder = src / RAW_TABLES["encounters"].file
+    header, *lines = [line for p in sorted(folder.glob("part-*")) for line in p.read_text().splitlines()]
+    names = header.split(",")
+    patient, key = names.index("PatientDurableKey"), names.index("EncounterKey")
+    rows = [next(csv.reader([line])) for line in lines if line != header]
+    known = next(r[patient] for r in rows if r[patient].isdigit())
+    few = [r for r in rows if r[patient] == known] + [r for r in rows if not r[patient].isdigit()][:3]
+    few = [[*r] for r in few] + [[*r] for r in few[:2]]
+    few[-1][patient] = few[-2][patient] = "987654321"
+    for k, row in enumerate(few):
+        row[key] = str(900_000_000 + k)
+
+    out = tmp_path / "out"
+    run_all(spark, str(src), str(out), study=SAMPLE_STUDY, multiline=["departments"], buckets=16)
+    files = {p: p.stat().st_mtime_ns for p in (out / "tables" / "patient_days").rglob("*.parquet")}
+    with (folder / "part-99999.csv").open("w", newline="") as file:
+        csv.writer(file).writerows([names, *few])
+    run = run_all(
+        spark, str(src), str(out), study=SAMPLE_STUDY, multiline=["departments"], buckets=16, refresh=True
+    )
+    again = run_all(
+        spark, str(src), str(out), study=SAMPLE_STUDY, multiline=["departments"], buckets=16, refresh=True
+    )
+    assert again.refresh(["departments"]) == []
+    whole = run_all(
+        spark, str(src), str(tmp_path / "whole"), study=SAMPLE_STUDY, multiline=["departments"], buckets=16
+    )
+    for name in ["encounters", *JOURNEY_TABLES]:
+        got, want = (sorted(map(repr, r.ws[name].collect())) for r in (run, whole))
+        assert got == want, name
+    for name in RESULTS:
+        assert sorted(result_rows(out, name)) == sorted(result_rows(tmp_path / "whole", name)), name
+    kept = [p for p, t in files.items() if p.exists() and p.stat().st_mtime_ns == t]
+    assert len(kept) >= 16 - 3 and len(kept) < 16
+    with (folder / "part-99999.csv").open("a", newline="") as file:
+        csv.writer(file).writerow(few[0])
+    with pytest.raises(ValueError, match="changed or gone"):
+        Run(spark, str(src), str(out), SAMPLE_STUDY).refresh(["departments"])
