@@ -61,6 +61,33 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 FROM f
 """
 
+# Sizes of sets bound their similarity, so only sets of near sizes are compared.
+OP7 = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id AS id, regexp_extract_all({_ascii_lower("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents),
+shingle AS (
+    SELECT DISTINCT id, s FROM (
+        SELECT id, unnest(list_transform(range(1, greatest(len(w) - 1, 1) + 1),
+                                         lambda i: array_to_string(w[i:i + 1], ' '))) AS s
+        FROM words WHERE len(w) > 0)),
+sizes AS (SELECT id, count(*) AS n FROM shingle GROUP BY id),
+sized AS (SELECT id, s, n FROM shingle JOIN sizes USING (id)),
+links AS (
+    SELECT x.id AS a, y.id AS b
+    FROM sized AS x JOIN sized AS y
+        ON x.s = y.s AND x.id <> y.id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+    GROUP BY x.id, y.id, x.n, y.n
+    HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (
+    SELECT id AS a, id AS b FROM words
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept
+FROM least LEFT JOIN sizes USING (id)
+"""
+
 OP10 = """
 WITH RECURSIVE hashed AS (
     SELECT k, ('0x' || substr(md5(name || '/offset'), 1, 15))::BIGINT % 4099 AS first_slot,
@@ -186,6 +213,7 @@ FROM d JOIN done USING (id) JOIN sources USING (tree) JOIN top ON top.n = 1
 LLM_ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": OP1,
     "op5_warc_segments": OP5,
+    "op7_minhash_near_dedup": OP7,
     "op10_shard_placement": OP10,
     "op11_fill_in_middle": OP11,
     "op13_merkle_manifest": OP13,
