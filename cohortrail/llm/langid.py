@@ -13,7 +13,8 @@ Awkward input: a null text, or one without a letter, is ``und`` with score 0 and
 in a script that no language of the training texts writes count for every language alike; a text
 with only such letters gets the most frequent language with score 0. Ties go to the first language
 in alphabetical order, or to no change. Without any labelled text every document is ``und``.
-Repeated rows and null ids are answered row by row.
+Repeated rows and null ids are answered row by row. Very long texts are labelled whole. An empty table
+gives an empty result. Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ over ``MOST_BYTES`` is refused.
 
 Awkward input: a null or empty text has no pieces. Decoding gives back the text, but for the space
 mark itself, which comes back as a space. Ties go to the longer last piece. Repeated rows and null
-ids are encoded row by row.
+ids are encoded row by row. An empty table gives an empty result. Further columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

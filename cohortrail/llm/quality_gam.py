@@ -11,7 +11,8 @@ at most ``sample_rows`` labelled rows, those with the smallest hash of their id,
 Awkward input: a null text counts as an empty one, and is scored. Rows of ``labels`` without a
 quality are left out; a document labelled twice has the smaller label. Without labelled rows every
 score is 0.5; with one label only, the model is its constant. Repeated rows and null ids are
-scored row by row.
+scored row by row. Very long texts are counted whole. An empty table gives an empty result. Further
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
