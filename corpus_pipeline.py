@@ -12,6 +12,9 @@ figures for each document left.
 - pieces: encoding into pieces and back.
 
 Row-wise stages carry whole rows through their operator; nothing is joined by id there.
+
+Texts that are null or have no letter go in the first stage. Very long texts pass whole. Columns may
+have any names beside doc_id and text, since whole rows are carried. An empty table gives empty stages.
 """
 
 from __future__ import annotations
