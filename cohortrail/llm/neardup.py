@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortrail.llm.components import connected_components
-from cohortrail.llm.shared import IdBitmap, Store, tidy
+from cohortrail.llm.places import choose, in_files, place
+from cohortrail.llm.shared import Store, tidy
 from cohortrail.llm.textscan import (
     SPACED,
     distinct_per_row,
@@ -104,11 +105,15 @@ def _sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct_per_row(*shingle_hashes(words, counts, width))
 
 
-SKETCH = "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>"
+SKETCH = (
+    "doc_id bigint, file string, position bigint, "
+    "n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>"
+)
+SKETCH_NAMES = ["doc_id", "file", "position", "n_shingles", "print_a", "print_b", "bands"]
 
 
 def sketches(docs: DataFrame, params: NearDupParams) -> DataFrame:
-    """Size, fingerprint and band keys of every document."""
+    """Size, fingerprint and band keys of every document (doc_id, text, file, position)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -121,6 +126,8 @@ def sketches(docs: DataFrame, params: NearDupParams) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("file"),
+                        batch.column("position"),
                         pa.array(counts.astype(np.int64)),
                         pa.array(row_sums(mix(values, 5), counts).view(np.int64)),
                         pa.array(row_sums(mix(values, 6), counts).view(np.int64)),
@@ -128,23 +135,20 @@ def sketches(docs: DataFrame, params: NearDupParams) -> DataFrame:
                             pa.array(offsets, pa.int32()), pa.array(keys.ravel().view(np.int64))
                         ),
                     ],
-                    names=["doc_id", "n_shingles", "print_a", "print_b", "bands"],
+                    names=SKETCH_NAMES,
                 )
 
     return docs.mapInArrow(tidy(scan), SKETCH)
 
 
-def _partner_sets(docs: DataFrame, nodes: DataFrame, params: NearDupParams) -> DataFrame:
-    """The full sets, as sorted 64-bit hashes, of at least the documents in ``nodes``."""
-    bitmap = IdBitmap(nodes)
-    shared, hits = bitmap.shared, bitmap.hits
-    slotted = docs.withColumn("slot", bitmap.slot(F.col("doc_id")))
+def _partner_sets(
+    docs: DataFrame, places: DataFrame, params: NearDupParams, store: Store
+) -> DataFrame:
+    """The full sets, as sorted 64-bit hashes, of the documents at ``places``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            slot = whole.column("slot").to_numpy(zero_copy_only=False).astype(np.int64)
-            wanted = whole.filter(pa.array(hits(shared.value, slot)))
-            for batch in slices(wanted, "text"):
+            for batch in slices(whole, "text"):
                 values, counts = _sets(batch, params.width)
                 offsets = np.concatenate([[0], np.cumsum(counts)]) * 8
                 yield pa.RecordBatch.from_arrays(
@@ -163,7 +167,12 @@ def _partner_sets(docs: DataFrame, nodes: DataFrame, params: NearDupParams) -> D
                     names=["node", "shingles"],
                 )
 
-    return slotted.where("doc_id is not null").mapInArrow(tidy(scan), "node bigint, shingles binary")
+    def sets(chosen: DataFrame) -> DataFrame:
+        return chosen.select("doc_id", "text").mapInArrow(
+            tidy(scan), "node bigint, shingles binary"
+        )
+
+    return choose(docs, places, store, inside=True, then=sets)
 
 
 def _close(shared: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndarray:
@@ -297,14 +306,27 @@ def near_duplicates(
     Components are those of the links whose sets have at least ``percent`` per cent of their
     union in common; the component's id is its smallest document, which alone is kept.
     """
+    return placed_duplicates(docs, params, store).drop("file", "position")
+
+
+def placed_duplicates(
+    docs: DataFrame, params: NearDupParams | None = None, store: Store | None = None
+) -> DataFrame:
+    """``near_duplicates`` with the place (file, position) of each row."""
     params = params or NearDupParams()
     store = store or Store(docs.sparkSession, "neardup")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = in_files(docs, store)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *place(docs))
     prints = ["n_shingles", "print_a", "print_b"]
     scanned = store.keep(sketches(docs, params))
     linkable = scanned.where("n_shingles > 0 and doc_id is not null")
     classes = store.keep(
-        linkable.groupBy(*prints).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+        linkable.groupBy(*prints)
+        .agg(
+            F.min(F.struct("doc_id", "file", "position")).alias("first"),
+            F.first("bands").alias("bands"),
+        )
+        .select(*prints, F.col("first.doc_id").alias("node"), "first.file", "first.position", "bands")
     )
 
     banded = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
@@ -314,7 +336,8 @@ def near_duplicates(
         .where("size > 1")
     )
     members = store.keep(banded.join(heads, "key"))
-    sets = store.keep(_partner_sets(docs, members.select("node").distinct(), params))
+    partners = classes.join(members.select("node").distinct(), "node", "left_semi")
+    sets = store.keep(_partner_sets(docs, partners.select("file", "position"), params, store))
 
     by_agreement = Window.partitionBy("b").orderBy(F.desc("agreeing"), "a")
     first_pairs = store.keep(
@@ -349,7 +372,7 @@ def near_duplicates(
     final = connected_components(links, store)
 
     classes = store.keep(
-        classes.drop("bands")
+        classes.select("node", *prints)
         .join(final, "node", "left")
         .select(*prints, F.coalesce("component", "node").alias("component"))
     )
@@ -358,6 +381,8 @@ def near_duplicates(
         .join(classes, prints, "left")
         .select(
             "doc_id",
+            "file",
+            "position",
             "n_shingles",
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias(
                 "component_id"
