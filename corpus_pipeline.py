@@ -19,14 +19,15 @@ have any names beside doc_id and text, since whole rows are carried. An empty ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortrail.llm import langid, quality_gam
 from cohortrail.llm.decontaminate import drop_contaminated
-from cohortrail.llm.neardup import NearDupParams, near_duplicates
+from cohortrail.llm.neardup import NearDupParams, placed_duplicates
 from cohortrail.llm.pieces import round_trips
-from cohortrail.llm.shared import IdBitmap, Store
+from cohortrail.llm.places import choose, in_files, place
+from cohortrail.llm.shared import Store
 
 #: Where the vocabulary files of public tokenizers are.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -54,25 +55,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only rows whose id may be one to look at (removed, or of several rows) are shuffled."""
+    """Rows that go are named by file and position; only these names and ids are shuffled."""
     store = Store(spark, "verdicts")
-    found = near_duplicates(docs, NearDupParams(width=5)).where("doc_id is not null")
-    verdicts = found.groupBy(F.col("doc_id").alias("id")).agg(
-        F.max("kept").alias("stays"), F.count("*").alias("rows")
-    )
+    docs = in_files(docs, store)
+    found = placed_duplicates(docs, NearDupParams(width=5), store).where("doc_id is not null")
+    found = store.keep(found.select("doc_id", "kept", "file", "position"))
+    verdicts = found.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))
     special = store.keep(verdicts.where("not stays or rows > 1"))
-    bitmap = IdBitmap(special.select("id"))
-    named = F.col("doc_id").cast("bigint")
-    rows = _whole_rows(docs).withColumn("look", bitmap.may_hold(named) & named.isNotNull())
-    looked_at = store.keep(rows.where("look").join(special, named == F.col("id"), "left"))
-    first = Window.partitionBy("id").orderBy(F.xxhash64("text"), F.xxhash64("row"))
-    repeated = looked_at.where("stays and rows > 1").withColumn("place", F.row_number().over(first))
-    return (
-        rows.where("not look")
-        .select("row.*")
-        .unionAll(looked_at.where("id is null").select("row.*"))
-        .unionAll(repeated.where("place = 1").select("row.*"))
+    gone = found.join(special.where("not stays"), "doc_id", "left_semi").select("file", "position")
+    repeated = special.where("stays and rows > 1")
+    if not repeated.isEmpty():
+        gone = gone.unionByName(_further_rows(docs, repeated, store))
+    rows = _whole_rows(docs).select("row", *place(docs))
+    return choose(rows, gone, store, inside=False).select("row.*")
+
+
+def _further_rows(docs: DataFrame, repeated: DataFrame, store: Store) -> DataFrame:
+    """Places of all rows of each id but one, the first by the hashes of text and row."""
+    hashed = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.struct(
+            F.xxhash64("text").alias("text"),
+            F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+            *place(docs),
+        ).alias("at"),
     )
+    rows = store.keep(hashed.join(repeated, "doc_id", "left_semi"))
+    first = rows.groupBy("doc_id").agg(F.min("at").alias("first"))
+    return rows.join(first, "doc_id").where("at > first").select("at.file", "at.position")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
