@@ -9,8 +9,8 @@ certain. Bands of coordinates are bucketed, and links are confirmed on full sets
 
 Nothing depends on the size of a group. Each document is first held against the smallest ones of
 the buckets that it shares most of. What these links leave apart within a bucket is compared in
-full: in small buckets pair by pair, in large ones block against block, only documents outside
-the largest component against all. A link is lost only if no band agrees, with a probability of
+full: in small buckets pair by pair, in large ones blocks of documents outside the largest component
+against blocks of all whose sizes are near theirs, by their rarest shingles. A link is lost only if no band agrees, with a probability of
 6e-7 at the threshold.
 
 Awkward input: a null or empty text, or one without words, has an empty set and links with
@@ -52,9 +52,9 @@ class NearDupParams:
     percent: int = 80
     bands: int = 36
     rows: int = 5
-    #: Buckets up to this size compare pair by pair, larger ones in blocks of ``block``.
+    #: Buckets up to this size compare pair by pair, larger ones in blocks of so many shingles.
     small_bucket: int = 64
-    block: int = 256
+    block_shingles: int = 1 << 19
     #: How many bucket heads a document is first held against.
     heads: int = 2
 
@@ -224,13 +224,61 @@ def _pairs_of_small_buckets(members: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _size_blocks(
+    inside: DataFrame, params: NearDupParams, store: Store
+) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the members (cluster, n, asks) of clusters: of every size n, and the pairs to compare.
+
+    A block takes consecutive sizes until it holds about ``block_shingles`` shingles; one that
+    holds more, since many sets are of one size, is compared in parts. A pair of blocks is
+    compared if one of them asks and sets of their sizes can be similar.
+    """
+    by_size = inside.groupBy("cluster", "n").agg(
+        (F.col("n") * F.count("*")).alias("volume"),
+        (F.col("n") * F.count_if("asks")).alias("asked"),
+    )
+    smaller = Window.partitionBy("cluster").orderBy("n").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    below = F.coalesce(F.sum("volume").over(smaller), F.lit(0))
+    of_size = store.keep(
+        by_size.withColumn("block", F.floor(below / params.block_shingles).cast("int"))
+    )
+    blocks = store.keep(
+        of_size.groupBy("cluster", "block").agg(
+            F.min("n").alias("low"),
+            F.max("n").alias("high"),
+            F.ceil(F.sum("volume") / params.block_shingles).cast("int").alias("parts"),
+            F.ceil(F.sum("asked") / params.block_shingles).cast("int").alias("asking"),
+        )
+    )
+    held = blocks.select("cluster", "block", "parts", F.col("low").alias("a"), F.col("high").alias("b"))
+    asking = blocks.where("asking > 0").select(
+        "cluster", F.col("block").alias("query_block"), "asking", "low", "high"
+    )
+    similar = (100 * F.col("b") >= params.percent * F.col("low")) & (
+        100 * F.col("high") >= params.percent * F.col("a")
+    )
+    pairs = held.join(asking, "cluster").where(similar)
+    return (
+        of_size.select("cluster", "n", "block"),
+        store.keep(pairs.select("cluster", "block", "parts", "query_block", "asking")),
+    )
+
+
+def _hits(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All positions of runs of ``length`` from ``begin``."""
+    return np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
 def _links_of_large_buckets(
     members: DataFrame, sets: DataFrame, params: NearDupParams, store: Store
 ) -> DataFrame:
     """Links between different components of documents that meet in large buckets.
 
     Buckets that share documents form a cluster, so that a document counts once and not once a
-    band. Within it, blocks of documents outside the largest component meet blocks of all.
+    band. Within it, blocks of documents outside the largest component meet the blocks of all
+    whose sizes are near theirs.
     """
     heads = members.groupBy("key").agg(F.min("node").alias("a"))
     edges = members.join(heads, "key").select("a", F.col("node").alias("b"))
@@ -241,27 +289,33 @@ def _links_of_large_buckets(
     by_component = inside.groupBy("cluster", "component").agg(F.count("*").alias("size"))
     largest = by_component.groupBy("cluster").agg(
         F.max(F.struct("size", F.negative("component").alias("minus"))).alias("top"),
-        F.sum("size").alias("size"),
+        F.count("*").alias("components"),
     )
-    largest = largest.select(
-        "cluster",
-        F.negative("top.minus").alias("largest"),
-        F.ceil(F.col("size") / params.block).cast("int").alias("blocks"),
-        F.ceil((F.col("size") - F.col("top.size")) / params.block).cast("int").alias("asking"),
-    ).where("asking > 0")
-    placed = inside.join(largest, "cluster").join(sets, "node")
+    largest = largest.where("components > 1").select("cluster", F.negative("top.minus").alias("largest"))
+    inside = store.keep(
+        inside.join(largest, "cluster").select(
+            "cluster", "node", "component", "n", (F.col("component") != F.col("largest")).alias("asks")
+        )
+    )
+    of_size, pairs = _size_blocks(inside, params, store)
+    placed = store.keep(inside.join(of_size, ["cluster", "n"]))
     hashed = F.xxhash64("node")
-    members_side = placed.select(
-        "cluster", "node", "component", "n", "shingles",
-        F.pmod(hashed, F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("query_block"),
+    held_side = placed.join(pairs, ["cluster", "block"]).select(
+        "cluster", "node", "component", "n", "block", "query_block",
+        F.pmod(hashed, F.col("parts")).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("query_part"),
         F.lit(False).alias("asks"),
     )
-    asking_side = placed.where("component <> largest").select(
-        "cluster", "node", "component", "n", "shingles",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(hashed, F.col("asking")).cast("int").alias("query_block"),
-        F.lit(True).alias("asks"),
+    asking_side = (
+        placed.where("asks")
+        .withColumnRenamed("block", "query_block")
+        .join(pairs, ["cluster", "query_block"])
+        .select(
+            "cluster", "node", "component", "n", "block", "query_block",
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+            F.pmod(hashed, F.col("asking")).cast("int").alias("query_part"),
+            F.lit(True).alias("asks"),
+        )
     )
 
     def compare(unit: pd.DataFrame) -> pd.DataFrame:
@@ -281,19 +335,25 @@ def _links_of_large_buckets(
             own = np.frombuffer(own, np.uint64)
             begin = np.searchsorted(values, own, side="left")
             length = np.searchsorted(values, own, side="right") - begin
-            hit = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
-            shared = np.bincount(owner[hit], minlength=len(node))
-            linked = np.flatnonzero(
-                _close(shared, len(own), size, params.percent) & (component != c)
-            )
+            # A similar set lacks few of these shingles, so it has one of any few and one more:
+            # those that are rarest here give all candidates.
+            few = len(own) + 1 + (-len(own) * params.percent) // 100
+            rarest = np.argpartition(length, few - 1)[:few]
+            near = np.unique(owner[_hits(begin[rarest], length[rarest])])
+            near = near[component[near] != c]
+            if not len(near):
+                continue
+            shared = np.bincount(owner[_hits(begin, length)], minlength=len(node))[near]
+            linked = near[_close(shared, len(own), size[near], params.percent)]
             _, first = np.unique(component[linked], return_index=True)
             b += node[linked[first]].tolist()
             a += [x] * len(first)
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return (
-        members_side.unionByName(asking_side)
-        .groupBy("cluster", "block", "query_block")
+        held_side.unionByName(asking_side)
+        .join(sets, "node")
+        .groupBy("cluster", "block", "part", "query_block", "query_part")
         .applyInPandas(compare, "a bigint, b bigint")
     )
 

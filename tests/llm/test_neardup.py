@@ -7,7 +7,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from cohortrail.llm.components import connected_components
-from cohortrail.llm.neardup import NearDupParams, near_duplicates, similarity_sketch
+from cohortrail.llm.neardup import (
+    NearDupParams,
+    _size_blocks,
+    near_duplicates,
+    similarity_sketch,
+)
 from cohortrail.llm.shared import Store
 from cohortrail.llm.textscan import shingle_hashes, slices, word_hashes
 
@@ -71,10 +76,48 @@ def test_components_equal_brute_force(spark, width):
 def test_large_buckets_lose_no_link(spark):
     rows = rows_of(5, groups=3, copies=150, words=50)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    params = replace(NearDupParams(width=2), small_bucket=4, block=16, heads=1)
+    params = replace(NearDupParams(width=2), small_bucket=4, block_shingles=800, heads=1)
     assert result(near_duplicates(df, params)) == brute_force(rows, 2)
 
 
+def test_clusters_of_many_sizes_lose_no_link(spark):
+    """Texts of one boilerplate, cut at many lengths and with own words among it."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for doc_id in range(260):
+        words = base[: rng.randint(20, 120)]
+        for _ in range(rng.choice([0, 1, 3, 9, 30])):
+            words.insert(rng.randrange(len(words)), f"own{rng.randrange(400)}")
+        rows.append((doc_id, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block_shingles in (300, 1 << 19):
+        params = replace(
+            NearDupParams(width=2), small_bucket=4, block_shingles=block_shingles, heads=1
+        )
+        assert result(near_duplicates(df, params)) == brute_force(rows, 2)
+
+
+def test_blocks_are_compared_only_if_their_sizes_are_near(spark):
+    sizes = [10] * 40 + [11, 12, 40, 45, 100, 130] + [1000] * 3
+    members = [(7, n, k % 5 == 0 or n == 40) for k, n in enumerate(sizes)]
+    members += [(8, 10, True), (8, 12, False)]
+    inside = spark.createDataFrame(members, "cluster bigint, n bigint, asks boolean")
+    params = replace(NearDupParams(), block_shingles=100)
+    of_size, pairs = _size_blocks(inside, params, Store(spark, "blocks"))
+    block = {(r.cluster, r.n): r.block for r in of_size.collect()}
+    assert len(block) == len({(c, n) for c, n, _ in members})
+    got = {(r.cluster, r.block, r.query_block): (r.parts, r.asking) for r in pairs.collect()}
+    for c, n, _ in members:
+        for d, m, asks in members:
+            if c == d and asks and 100 * min(n, m) >= 80 * max(n, m):
+                assert (c, block[c, n], block[d, m]) in got
+    assert (7, block[7, 10], block[7, 1000]) not in got
+    assert (7, block[7, 1000], block[7, 10]) not in got
+    # 40 sets of 10 are in four parts, eight of them ask.
+    assert got[7, block[7, 10], block[7, 10]] == (4, 1)
+
+
 def test_awkward_rows(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [
