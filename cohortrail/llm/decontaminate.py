@@ -15,7 +15,8 @@ item of fewer words is one n-gram of its own length, and is contained wherever i
 other, so a benchmark of single common words is in most documents.
 
 Documents are only scanned: nothing is shuffled, whatever passage many of them share. Items are
-broadcast in blocks of about ``block_bytes`` of text, one scan for each block.
+broadcast in blocks of about ``block_bytes`` of text, one scan for each block. With more than one, a
+block's findings are written before the next is indexed, so memory holds one block at a time.
 
 Awkward input: an item without words is never found, a document without words contains nothing.
 Repeated items (same id and text) count once; repeated documents and null ids are reported row by
@@ -24,16 +25,18 @@ row. An empty table on either side gives an empty result. Other columns are not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortrail.llm.shared import text_batches, tidy
+from cohortrail.llm.places import choose, in_files, place
+from cohortrail.llm.shared import Store, text_batches, tidy
 from cohortrail.llm.textscan import ALNUM, mix, shingle_hashes, slices, word_hashes
 
 
@@ -197,15 +200,39 @@ class ItemIndex:
         return found
 
 
-def _item_blocks(items: DataFrame, params: ContainmentParams) -> Iterator[ItemIndex]:
-    """Indexes over distinct items, each of about ``block_bytes`` of text."""
+def _item_blocks(items: DataFrame, params: ContainmentParams) -> tuple[DataFrame, int]:
+    """Distinct items (item_id, text, block) and the number of blocks, each of about
+    ``block_bytes`` of text."""
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // params.block_bytes))
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    return items.withColumn("block", number), blocks
+
+
+def _shared_index(items: DataFrame, block: int, params: ContainmentParams) -> Broadcast:
+    own = items.where(F.col("block") == block).toPandas()
+    ids = [None if i is None or i != i else int(i) for i in own["item_id"].tolist()]
+    return items.sparkSession.sparkContext.broadcast(
+        ItemIndex(ids, own["text"].tolist(), params)
+    )
+
+
+def _block_by_block(
+    search: Callable[[Broadcast], DataFrame],
+    items: DataFrame,
+    blocks: int,
+    params: ContainmentParams,
+    store: Store,
+) -> DataFrame:
+    """What ``search`` finds with each block's index. A block's rows are written before the next
+    one is read, so that no more than one index is held, however many items there are."""
+    found = []
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toPandas()
-        ids = [None if i is None or i != i else int(i) for i in block["item_id"].tolist()]
-        yield ItemIndex(ids, block["text"].tolist(), params)
+        index = _shared_index(items, k, params)
+        found.append(store.keep(search(index)))
+        index.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def contained_items(
@@ -213,15 +240,17 @@ def contained_items(
 ) -> DataFrame:
     """Rows (doc_id, item_id, n_item, n_shared, containment) for every item (item_id, text) of
     which a document (doc_id, text) holds at least ``percent`` per cent of the shingles."""
+    params = params or ContainmentParams()
     text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    indexes = _item_blocks(items, params or ContainmentParams())
-    return reduce(DataFrame.unionByName, (_found(docs, index) for index in indexes))
-
+    items, blocks = _item_blocks(items, params)
+    if blocks == 1:
+        return _found(docs, _shared_index(items, 0, params))
+    store = Store(docs.sparkSession, "contained")
+    return _block_by_block(partial(_found, docs), items, blocks, params, store)
 
-def _found(docs: DataFrame, own: ItemIndex) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast(own)
 
+def _found(docs: DataFrame, index: Broadcast) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = index.value
         for whole in batches:
@@ -250,15 +279,32 @@ def drop_contaminated(
     docs: DataFrame, items: DataFrame, params: ContainmentParams | None = None
 ) -> DataFrame:
     """The rows of ``docs``, with all columns, that contain no item."""
+    params = params or ContainmentParams()
     text_batches(docs.sparkSession)
-    for own in _item_blocks(items, params or ContainmentParams()):
-        docs = _without(docs, own)
-    return docs
+    items, blocks = _item_blocks(items, params)
+    if blocks == 1:
+        return _without(docs, _shared_index(items, 0, params))
+    store = Store(docs.sparkSession, "contaminated")
+    docs = in_files(docs, store)
+    texts = docs.select("text", *place(docs))
+    gone = _block_by_block(partial(_places, texts), items, blocks, params, store)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return choose(docs.select(whole, *place(docs)), gone, store, inside=False).select("row.*")
+
+
+def _places(texts: DataFrame, index: Broadcast) -> DataFrame:
+    """Places (file, position) of the texts that contain an item."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                rows = sorted({r for r, _, _ in index.value.search(batch.column("text"))})
+                yield batch.select(["file", "position"]).take(pa.array(rows, pa.int64()))
 
+    return texts.mapInArrow(tidy(scan), "file string, position bigint")
 
-def _without(docs: DataFrame, own: ItemIndex) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast(own)
 
+def _without(docs: DataFrame, index: Broadcast) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):

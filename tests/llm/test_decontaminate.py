@@ -9,6 +9,7 @@ from cohortrail.llm.decontaminate import (
     ItemIndex,
     choose_bands,
     contained_items,
+    drop_contaminated,
 )
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -79,6 +80,23 @@ def test_item_blocks_give_the_same_rows(spark):
     assert sorted(one) == sorted(many) and len(one) == 20
 
 
+def test_item_blocks_drop_the_same_rows(spark, tmp_path):
+    items = [(k, f"alpha{k} beta gamma delta epsilon zeta eta theta") for k in range(20)]
+    docs = [(k % 30, "noise " * 50 + (items[k % 40][1] if k % 40 < 20 else "end"), k) for k in range(80)]
+    docs += [(None, None, -1), (None, "x " + items[3][1], -2), (5, "", -3)]
+    i = spark.createDataFrame([*items, (None, None)], "item_id bigint, text string")
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, position int")
+    kept = sorted(r.position for r in drop_contaminated(d, i).collect())
+    assert kept == sorted([k for k in range(80) if k % 40 >= 20] + [-1, -3])
+    many = ContainmentParams(block_bytes=200)
+    d.repartition(3).write.parquet(f"{tmp_path}/docs")
+    for table in (d, spark.read.parquet(f"{tmp_path}/docs")):
+        got = drop_contaminated(table, i, many)
+        assert got.columns == d.columns
+        assert sorted(r.position for r in got.collect()) == kept
+    assert drop_contaminated(d.limit(0), i, many).collect() == []
+
+
 def test_items_shorter_than_a_shingle_are_found_inside(spark):
     docs = [(1, "zero one two three four five six seven eight"), (2, "One, two -- THREE four!"),
             (3, "one two three"), (4, "four three two one"), (5, "two"), (6, None)]
