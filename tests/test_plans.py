@@ -1,12 +1,14 @@
 """What the physical plans must and must not contain."""
 
+import os
 import re
 
 import pytest
 
 import __spark_entry__ as driver
+from cohortrail import session
 from cohortrail.plans.catalog import CATALOG
-from cohortrail.sources.sample import SAMPLE_STUDY, source_tables
+from cohortrail.sources.sample import SAMPLE_STUDY, SCHEMAS, source_tables
 from cohortrail.workspace import Workspace
 from tests.compare import assert_same, duck
 from tests.conftest import SF_DIR
@@ -110,6 +112,29 @@ def test_screened_patients_alone_are_added_up_if_their_table_is_small(spark, con
     assert added_up == (threshold != "-1" or name == "an_headline_by_transport")
 
 
+INITIAL_PARTITIONS = session.INITIAL_PARTITIONS.replace(".", "__")
+
+
+def dealt_to(df) -> set[int]:
+    """Numbers of partitions of the exchanges by patient."""
+    found = [re.search(r"hashpartitioning\(.*, (\d+)\)", line) for line in exchanges_of(df, "PatientDurableKey")]
+    return {int(m.group(1)) for m in found}
+
+
+@pytest.mark.parametrize("name", ["q26_patient_gaps", "q31_journey_patient_summary_by_transport"])
+def test_exchanges_grow_with_the_input(spark, conf, monkeypatch, name):
+    """A task's share of the tables does not grow with them, whatever number the session has."""
+    conf(**{INITIAL_PARTITIONS: "8"})
+    query = driver.queries()[name]
+    assert dealt_to(query(spark, SF_DIR)) == {8}
+    size = sum(os.path.getsize(f"{SF_DIR}/{table}.parquet") for table in SCHEMAS)
+    monkeypatch.setattr(session, "PARTITION_BYTES", size // 40)
+    assert min(dealt_to(query(spark, SF_DIR))) >= 40
+    # A smaller input afterwards: the number is not kept.
+    monkeypatch.undo()
+    assert dealt_to(query(spark, SF_DIR)) == {8}
+
+
 def test_scan_reads_only_what_the_audit_needs(spark):
     text = plan(direct(spark, "qa_dept_join"))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
