@@ -128,24 +128,23 @@ def entity_profile(
     """Totals and gaps of each entity from rows of a daily rollup, in one pass.
 
     A gap counts midnights: n events on a day are n - 1 gaps of zero and one gap to the entity's
-    next day. The rows of an entity are exchanged once. Gaps of equal length are added up, and a
-    running sum of their number brackets each quartile between two gaps, so quartiles are exact and
-    interpolated without gathering an entity's gaps in one value. Undated events and rows of
-    distinct values open and close no gap. Entities without a gap have NULLs in its columns.
+    next day. The rows of an entity are exchanged once and sorted twice, by day and by gap, with no
+    table of gaps by hash between, which had a task hold its rows twice more. A running number of
+    the gaps brackets each quartile between two of them, so quartiles are exact and interpolated
+    without gathering an entity's gaps in one value. Undated events and rows of distinct values open
+    and close no gap. Entities without a gap have NULLs in its columns.
     """
     following = F.lead("day").over(Window.partitionBy(entity).orderBy("day"))
     dated = F.col("day").isNotNull()
-    lengths = (
-        rows.withColumn("gap", F.when(dated, days_between(F.col("day"), following)))
-        .groupBy(entity, "gap")
-        .agg(
-            F.count("gap").alias("times"),
-            F.sum(F.when(dated, F.col("n") - 1).otherwise(0)).alias("zeros"),
-            F.sum("n").alias("n"),
-            F.min("first_ts").alias("first_ts"),
-            F.max("last_ts").alias("last_ts"),
-            *[F.sum(name).alias(name) for name in (*sums, *counts)],
-        )
+    lengths = rows.select(
+        entity,
+        F.when(dated, days_between(F.col("day"), following)).alias("gap"),
+        F.when(dated, F.col("n") - 1).otherwise(0).alias("zeros"),
+        "n",
+        "first_ts",
+        "last_ts",
+        *sums,
+        *counts,
     )
     whole = Window.partitionBy(entity)
     rising = whole.orderBy("gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -153,11 +152,11 @@ def entity_profile(
         {
             # All zero gaps come before the others, which are at least a day long.
             "all_zeros": F.sum("zeros").over(whole),
-            "n_gaps": F.sum(F.col("zeros") + F.col("times")).over(whole),
-            "up_to": F.sum("zeros").over(whole) + F.sum("times").over(rising),
+            "n_gaps": F.sum(F.col("zeros") + F.col("gap").isNotNull().cast("long")).over(whole),
+            "up_to": F.sum("zeros").over(whole) + F.count("gap").over(rising),
         }
     )
-    gap, times, zeros, n = F.col("gap"), F.col("times"), F.col("all_zeros"), F.col("n_gaps")
+    gap, zeros, n = F.col("gap"), F.col("all_zeros"), F.col("n_gaps")
     place = {name: (n - 1) * q for name, q in GAP_QUARTILES.items()}
 
     def at(rank: Column) -> Column:
@@ -165,7 +164,7 @@ def entity_profile(
         return F.min(F.when(zeros > rank, 0).when(F.col("up_to") > rank, gap))
 
     def band(test: Column) -> Column:
-        return F.sum(F.when(test, times).otherwise(0))
+        return F.count_if(test)
 
     profile = placed.groupBy(entity).agg(
         *_totals([*sums, *counts]),
@@ -173,7 +172,7 @@ def entity_profile(
         F.max(zeros).alias("all_zeros"),
         *[at(F.floor(h)).cast("double").alias(f"{name}_lo") for name, h in place.items()],
         *[at(F.ceil(h)).cast("double").alias(f"{name}_hi") for name, h in place.items()],
-        F.sum(gap * times).alias("gap_days"),
+        F.sum(gap).alias("gap_days"),
         band(gap <= 30).alias("le30"),
         band(gap <= 90).alias("le90"),
         band(gap > 180).alias("gt180"),

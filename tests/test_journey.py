@@ -82,6 +82,27 @@ def test_busy_patient_is_reduced_to_days_before_the_window(spark):
     assert df.first().n_gaps == 2999
 
 
+def test_days_are_sorted_by_gap_without_a_table_by_hash(spark):
+    """Between the days of a patient and its profile stand two sorts, and no aggregate by gap, which
+    held the rows of a task twice more."""
+    rows = [(p, at("2022-01-01") + timedelta(days=p * i * i)) for p in (1, 2) for i in range(9)]
+    df = gap_profile(spark.createDataFrame(rows, EVENTS), entity="p", ts="ts")
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [line for line in lines if "Aggregate(keys=[p" in line and "gap" in line.split("]")[0]]
+    assert len([line for line in lines if "Sort [p" in line]) == 2
+    assert {r.p: r.gap_median for r in df.collect()} == {1: 8.0, 2: 16.0}
+
+
+def test_equal_gaps_and_zero_gaps_keep_their_ranks(spark):
+    """Ties of gaps, zeros of days with several events, a NULL patient and undated events."""
+    days = [0, 0, 0, 3, 6, 9, 9, 40, 300]
+    rows = [(p, at("2022-01-01") + timedelta(days=d)) for p in (None, 4) for d in days]
+    for row in gaps(spark, [*rows, (None, None), (4, None), (4, None)]).values():
+        # 0 0 0 3 3 3 31 260
+        assert (row.n_gaps, row.gap_q25, row.gap_median, row.gap_q75) == (8, 0.0, 3.0, 10.0)
+        assert (row.gap_mean, row.n_gap_le30, row.n_gap_le90, row.n_gap_gt180) == (37.5, 6, 7, 1)
+
+
 INDEX_EVENTS = "p long, g string, name string, ts timestamp_ntz, ed int"
 
 
